@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality
+from . import decontaminate, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
+    "op3_simhash": simhash.op3_simhash,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op10_quality_rules": quality.op10_quality_rules,
 }
