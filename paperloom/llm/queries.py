@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, simhash
+from . import decontaminate, licenses, packing, pseudonyms, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
+    "op2_pii": pseudonyms.op2_pii,
     "op3_simhash": simhash.op3_simhash,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op6_license_scan": licenses.op6_license_scan,
     "op10_quality_rules": quality.op10_quality_rules,
 }
