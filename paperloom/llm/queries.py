@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing, pseudonyms, quality, simhash
+from . import chat, decontaminate, licenses, packing, pages, pseudonyms, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_pii": pseudonyms.op2_pii,
     "op3_simhash": simhash.op3_simhash,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_html_extraction": pages.op5_html_extraction,
     "op6_license_scan": licenses.op6_license_scan,
+    "op8_warc": warc.op8_warc,
+    "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_quality_rules": quality.op10_quality_rules,
 }
