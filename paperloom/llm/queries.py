@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, packing, pages, pseudonyms, quality, simhash, warc
+from . import chat, decontaminate, licenses, packing, pages, pseudonyms, quality, scoring, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_html_extraction": pages.op5_html_extraction,
     "op6_license_scan": licenses.op6_license_scan,
+    "op7_lm_scoring": scoring.op7_lm_scoring,
     "op8_warc": warc.op8_warc,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_quality_rules": quality.op10_quality_rules,
