@@ -82,9 +82,13 @@ def _writing(folder: str, roll_bytes: int):
             name = f"pages-{part:06}-{seq:05}.warc.gz"
             return (f"{temporary}/{name}", f"{base}/{name}", len(pages), size, pages[0], pages[-1])
 
-        last = None
+        last = marked = None
         for batch in batches:
-            for page_id, url, html, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True):
+            for page_id, digest, is_page, url, html, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "digest", "is_page", "url", "html", "first")), strict=True):
+                if not is_page:  # says of the pages of this id and payload that they revisit another
+                    marked = (page_id, digest, first)
+                    continue
+                first = marked[2] if marked and marked[:2] == (page_id, digest) else None
                 payload = (html or "").encode()
                 refers = first if first is not None and page_id is not None and first != page_id else None
                 if page_id is not None and refers is None and (page_id, payload) == last:
@@ -135,10 +139,13 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pages = pages.select("page_id", "url", "html").withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     firsts = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = pages.join(firsts, "digest", "left").repartitionByRange(shards, "page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
+    # only ids and digests meet the first pages; payloads move once, and marks of revisits are sorted in before them
+    marks = pages.select("page_id", "digest").join(firsts, "digest").where(F.col("page_id") > F.col("first")).distinct()
+    both = pages.withColumn("is_page", F.lit(True)).unionByName(marks.withColumn("is_page", F.lit(False)), allowMissingColumns=True)
+    near = both.repartitionByRange(shards, "page_id", "digest").sortWithinPartitions("page_id", "digest", "is_page", "url")
     near.mapInArrow(_writing(folder, roll_bytes), FILES).write.parquet(f"{folder}/_listed")
     listed = spark.read.parquet(f"{folder}/_listed")
-    listed.repartition("path").mapInArrow(_committing(folder), FILES.split(", ", 1)[1]).write.json(f"{folder}/manifest")
+    listed.repartition(shards, "path").mapInArrow(_committing(folder), FILES.split(", ", 1)[1]).write.json(f"{folder}/manifest")
     path = spark._jvm.org.apache.hadoop.fs.Path
     store = path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     for gone in ("_temporary", "_listed"):
@@ -203,7 +210,8 @@ def _reading(folder: str, payloads: bool):
 
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """A row for each record of the manifest's files; digests and lengths are checked on the way."""
-    return manifest.select("path").repartition("path").mapInArrow(_reading(folder, payloads), RECORDS)
+    shards = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("path").repartition(shards, "path").mapInArrow(_reading(folder, payloads), RECORDS)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
