@@ -1,0 +1 @@
+"""Column functions: text, policy, invariants and masking."""

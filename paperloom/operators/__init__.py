@@ -1,0 +1 @@
+"""Operators on tables: chunking, column rules, joins and windows, evaluation, packages."""

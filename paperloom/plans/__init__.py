@@ -1,0 +1 @@
+"""Plans: the flagship query, the upload lifecycle and the registered queries."""
