@@ -56,16 +56,22 @@ def initial(counts: np.ndarray, others: int, seed: int = 7) -> np.ndarray:
     return flat
 
 
-def _gates(p: dict[str, np.ndarray], h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-    g, a = h @ p["u"], p["x"][x]
+def _gates(u: np.ndarray, h: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Next state, update and reset gates, candidate and its recurrent part, from the state and the inputs' rows of the table."""
+    g = h @ u
     zr = a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
     zr *= np.float32(0.5)
     np.tanh(zr, out=zr)
     zr *= np.float32(0.5)
     zr += np.float32(0.5)
     z, r, gn = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
-    n = np.tanh(a[:, 2 * HIDDEN :] + r * gn)
-    return n + z * (h - n), z, r, n, gn
+    n = r * gn
+    n += a[:, 2 * HIDDEN :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, gn
 
 
 def _output(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -137,7 +143,7 @@ class Trainer:
         y = np.concatenate(self.waiting)
         first = np.zeros(len(y), bool)
         first[np.cumsum([0, *map(len, self.waiting[:-1])])] = True
-        x = np.r_[self.n + 1, y[:-1]]
+        x = np.r_[self.n + 1, y[:-1]].astype(np.int32)
         x[first] = self.n + 1
         streams = max(1, min(STREAMS, len(y) // STEPS))
         length = -(-len(y) // streams)
@@ -152,37 +158,44 @@ class Trainer:
 
     def _window(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, h: np.ndarray) -> np.ndarray:
         steps, streams = x.shape
-        p, before, kept, hs = self.p, [], [], np.empty((steps, streams, HIDDEN), np.float32)
+        p = self.p
+        rows = p["x"][x]
+        before, z, r, n, gn, hs = (np.empty((steps, streams, HIDDEN), np.float32) for _ in range(6))
         for t in range(steps):
             h = h * keep[t][:, None]
-            before.append(h)
-            h, *inner = _gates(p, h, x[t])
-            kept.append(inner)
+            before[t] = h
+            h, z[t], r[t], n[t], gn[t] = _gates(p["u"], h, rows[t])
             hs[t] = h
         flat = np.zeros_like(self.flat)
         grads = unpacked(flat, self.n)
         logp, dhs = _output(p, hs.reshape(-1, HIDDEN), y.ravel(), grads)
         self.loss = -float(logp.mean())
         dhs = dhs.reshape(steps, streams, HIDDEN)
+        # what turns a state's gradient into those of the gates does not depend on it, so it is made for all steps at once
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (before - n) * z * (1 - z)
+        to_r = gn * r * (1 - r)
         da = np.empty((steps, streams, 3 * HIDDEN), np.float32)
         dg = np.empty_like(da)
         back = np.zeros((streams, HIDDEN), np.float32)
         ut = np.ascontiguousarray(p["u"].T)
         for t in range(steps - 1, -1, -1):
-            z, r, n, gn = kept[t]
             dh = dhs[t] + back
-            dn = dh * (1 - z) * (1 - n * n)
-            da[t, :, :HIDDEN] = dh * (before[t] - n) * z * (1 - z)
-            da[t, :, HIDDEN : 2 * HIDDEN] = dn * gn * r * (1 - r)
+            dn = dh * to_n[t]
+            np.multiply(dh, to_z[t], out=da[t, :, :HIDDEN])
+            np.multiply(dn, to_r[t], out=da[t, :, HIDDEN : 2 * HIDDEN])
             da[t, :, 2 * HIDDEN :] = dn
-            dg[t] = da[t]
-            dg[t, :, 2 * HIDDEN :] *= r
-            back = (dh * z + dg[t] @ ut) * keep[t][:, None]
-        grads["u"][:] = np.concatenate(before).T @ dg.reshape(-1, 3 * HIDDEN)
-        ids = x.ravel()
+            dg[t, :, : 2 * HIDDEN] = da[t, :, : 2 * HIDDEN]
+            np.multiply(dn, r[t], out=dg[t, :, 2 * HIDDEN :])
+            dh *= z[t]
+            dh += dg[t] @ ut
+            back = dh * keep[t][:, None]
+        grads["u"][:] = before.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
+        ids = x.ravel().astype(np.int16)
         order = np.argsort(ids, kind="stable")
-        begin = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
-        grads["x"][ids[order][begin]] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[order], begin)
+        ids = ids[order]
+        begin = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        grads["x"][ids[begin]] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[order], begin)
         self.t += 1
         self.m += (flat - self.m) * np.float32(0.1)
         self.v += (flat * flat - self.v) * np.float32(0.01)
@@ -233,7 +246,7 @@ def score(flat: np.ndarray, n_words: int, docs: list[np.ndarray], lanes: int = S
         for t in range(a, b):
             m = int(active[t])
             h = h[:m] * (x[t, :m] != n_words + 1)[:, None]
-            h = _gates(p, h, x[t, :m])[0]
+            h = _gates(p["u"], h, p["x"][x[t, :m]])[0]
             hs[at : at + m] = h
             at += m
         ys = np.concatenate([y[t, : active[t]] for t in range(a, b)])

@@ -95,11 +95,11 @@ def _rate(name: str) -> Column:
     return F.expr(f"({factor} * {top}) div greatest({under}, 1)")
 
 
-def _bucket(v: str) -> str:
+def bucket_of(v: str) -> str:
     return f"CASE WHEN {v} < {2**BITS} THEN {v} ELSE (length(bin({v})) - {BITS}) * {2 ** (BITS - 1)} + shiftright({v}, length(bin({v})) - {BITS}) END"
 
 
-def _value(b: str) -> str:
+def value_of(b: str) -> str:
     """Least rate of a bucket."""
     half = 2 ** (BITS - 1)
     return f"CASE WHEN {b} < {2**BITS} THEN {b} ELSE shiftleft({b} - ({b} div {half} - 1) * {half}, cast({b} div {half} - 1 as int)) END"
@@ -112,7 +112,7 @@ def base_failed() -> Column:
 def sketch(feats: DataFrame) -> DataFrame:
     """lang, source, rate, bucket, n: the mergeable histogram of each group, from documents that pass the base rule."""
     rates = F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), _rate(r).alias("v")) for r in RATES))).alias("r")
-    long = feats.where(~base_failed()).select("lang", "source", rates).select("lang", "source", "r.rate", F.expr(_bucket("r.v")).cast("bigint").alias("bucket"))
+    long = feats.where(~base_failed()).select("lang", "source", rates).select("lang", "source", "r.rate", F.expr(bucket_of("r.v")).cast("bigint").alias("bucket"))
     return long.groupBy("lang", "source", "rate", "bucket").agg(F.count("*").alias("n"))
 
 
@@ -123,8 +123,8 @@ def _limits(hist: DataFrame, keys: list[str], width: int) -> DataFrame:
     cum = cum.withColumn("up", F.sum("n").over(by.orderBy("bucket"))).withColumn("docs", F.sum("n").over(by))
     q = cum.groupBy(*keys, "rate").agg(
         F.max("docs").alias("docs"),
-        F.min(F.expr(f"CASE WHEN 10 * up >= docs THEN {_value('bucket')} END")).alias("low"),
-        F.min(F.expr(f"CASE WHEN 2 * up >= docs THEN {_value('bucket')} END")).alias("mid"),
+        F.min(F.expr(f"CASE WHEN 10 * up >= docs THEN {value_of('bucket')} END")).alias("low"),
+        F.min(F.expr(f"CASE WHEN 2 * up >= docs THEN {value_of('bucket')} END")).alias("mid"),
     )
     floor = F.create_map(*(F.lit(x) for r, (_, _, _, least) in RATES.items() for x in (r, least)))
     return q.select(*keys, "rate", "docs", (F.col("mid") + width * F.greatest(F.col("mid") - F.col("low"), floor[F.col("rate")])).alias("limit"))

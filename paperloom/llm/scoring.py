@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import gru
 from .common import rows_of, small_batches, table, written
+from .quality import bucket_of, value_of
 
 FOLDS, HELD_OUT = 7, 2
 N_WORDS = 2048
@@ -72,15 +73,34 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(_counting, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Ids(dict):
+    """Numbers of words; ``other`` for all that are not there."""
+
+    def __init__(self, words=(), other: int = -1):
+        super().__init__(words)
+        self.other = other
+
+    def __missing__(self, word: bytes) -> int:
+        return self.other
+
+    def __reduce__(self):
+        return Ids, (list(self.items()), self.other)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
 class Lexicon:
-    """The ``N_SENT`` most frequent words with their counts, and the totals of all."""
+    """The most frequent words (``N_SENT`` at most) with their counts, and the totals of all."""
 
-    def __init__(self, top: list[tuple[bytes, int]], total: int, distinct: int):
-        self.id = {bytes(w): k for k, (w, _) in enumerate(top)}
+    def __init__(self, top: list[tuple[bytes, int]], total: int, distinct: int, least: int):
+        top = sorted(((bytes(w), n) for w, n in top), key=lambda x: (-x[1], x[0]))
+        self.own = min(N_WORDS, len(top))
+        self.ids = Ids((w, k) for k, (w, _) in enumerate(top))
+        self.own_ids = Ids(((w, k) for k, (w, _) in enumerate(top[: self.own])), self.own)
         self.counts = np.array([n for _, n in top], np.int64)
         self.log = np.log10(self.counts + 1.0)
-        self.total, self.distinct = total, distinct
-        self.own = min(N_WORDS, len(top))
+        self.total, self.distinct, self.least = total, distinct, least
         own = int(self.counts[: self.own].sum())
         self.other_total = total - own
         self.base_norm = math.log10(total + distinct + 1)
@@ -88,18 +108,28 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
+    """Words of at least ``least`` occurrences, the smallest number (of those that start a bucket) that at most ``N_SENT`` words have.
+
+    The cut comes from a histogram of a few thousand buckets, so neither it nor the words need sorting or more than a bounded collect.
+    """
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    return Lexicon(counts.orderBy(F.desc("n"), "word").limit(N_SENT).collect(), total, distinct)
+    hist = counts.groupBy(F.expr(bucket_of("n")).alias("b")).agg(F.count("*").alias("words")).withColumn("low", F.expr(value_of("b"))).collect()
+    least, words = 1 << 62, 0
+    for row in sorted(hist, key=lambda r: -r["low"]):
+        words += row["words"]
+        if words > N_SENT:
+            break
+        least = row["low"]
+    return Lexicon(counts.where(F.col("n") >= least).collect(), total, distinct, least)
 
 
 def _training(lex, start):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own = lex.value.id, lex.value.own
-        trainer = gru.Trainer(start.value, own)
+        ids = lex.value.own_ids
+        trainer = gru.Trainer(start.value, lex.value.own)
         for _, texts in rows_of(batches):
             for t in texts:
-                ids = np.array([words.get(w, own) for w in tokens_of(t)], np.int64)
-                trainer.feed(np.minimum(ids, own))
+                trainer.feed(ids.of(tokens_of(t)))
         trainer.flush()
         if trainer.tokens:
             slots = range(0, len(trainer.flat), SLOT)
@@ -143,7 +173,7 @@ SCORED = "doc_id bigint, h bigint, held_out boolean, n_tokens bigint, n_known bi
 def _scoring(lex, flat):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexi: Lexicon = lex.value
-        get, own = lexi.id.get, lexi.own
+        own = lexi.own
         keys, ids, held = [], [], 0
 
         def done() -> pa.RecordBatch:
@@ -161,7 +191,7 @@ def _scoring(lex, flat):
             for key, t in zip(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "held_out")), strict=True), texts, strict=True):
                 words = tokens_of(t)
                 keys.append(key)
-                ids.append(np.fromiter((get(w, -1) for w in words), np.int32, len(words)))
+                ids.append(lexi.ids.of(words))
                 held += len(words)
                 if held >= BUNCH:
                     yield done()
@@ -174,7 +204,7 @@ def _scoring(lex, flat):
 
 def _rare(lex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = lex.value.id
+        sent = lex.value.ids
         for batch, texts in rows_of(batches):
             doc, h, word, n = [], [], [], []
             for d, k, t in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), texts, strict=True):
@@ -200,7 +230,7 @@ def score(docs: DataFrame) -> DataFrame:
     sent = sc.broadcast(lex)
     keyed = docs.withColumn("h", F.xxhash64("text"))
     each = written(keyed.mapInArrow(_scoring(sent, flat), SCORED))
-    seldom = counts.where(F.col("n") <= int(lex.counts[-1])) if len(lex.counts) == N_SENT else counts.limit(0)
+    seldom = counts.where(F.col("n") < lex.least)
     rare = keyed.select("doc_id", "h", "text").mapInArrow(_rare(sent), "doc_id bigint, h bigint, word binary, tf bigint").join(seldom, "word")
     sums = rare.groupBy("doc_id", "h").agg(F.sum("tf").alias("rare_n"), F.sum(F.col("tf") * F.log10(F.col("n") + 1.0)).alias("rare_log"))
     copies = each.groupBy("doc_id", "h").agg(F.count("*").alias("copies"))
