@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_blank, js_trim
+from .text import is_blank
 
 #: Fixed values, in order where order counts.
 SENSITIVITIES = ("Public", "Internal", "Confidential", "Restricted")
@@ -36,8 +36,39 @@ def status_of_decision(decision: Column) -> Column:
 
 
 def risk_consistent(detected: Column, recommended: Column, reasons: Column) -> Column:
-    """Detected exactly if Restricted is recommended; then one to five reasons, else none."""
-    return ((detected == (recommended == "Restricted")) & F.when(detected, F.size(reasons).between(1, 5)).otherwise(F.size(reasons) == 0)).cast("boolean")
+    """Restricted is recommended exactly if a risk was detected, else Confidential; there are one to five reasons."""
+    return F.coalesce((recommended == F.when(detected, "Restricted").otherwise("Confidential")) & F.size(reasons).between(1, 5), F.lit(False))
+
+
+def label_violation(sensitivity: Column, policy: Column) -> Column:
+    """What a classifier's labels break, if anything."""
+    wanted = policy_of(sensitivity)
+    said = F.concat(F.lit("sensitivity が "), sensitivity, F.lit(" のとき aiUsePolicy は "), wanted, F.lit(" である必要があります（実際: "), policy, F.lit("）"))
+    return F.when(~policy.eqNullSafe(wanted), F.coalesce(said, F.lit("sensitivity is not known")))
+
+
+def rehydratable(status: Column, curator: Column, masker: Column, masked_path: Column, reason: Column, original: Column) -> Column:
+    """Whether a stored document still has all that its processing answered."""
+    full = status.isin("curated", "blocked") | ((status == "ai_safe") & masker.isNotNull() & masked_path.isNotNull()) | ((status == "restricted") & masker.isNotNull() & reason.isNotNull() & original.isNotNull())
+    return F.coalesce(curator.isNotNull() & full, F.lit(False))
+
+
+def flag_choice(flags, tenant: Column, now: Column, order: tuple[str, ...] = ("pdf-conversion-subtype-3", "pdf-conversion-subtype-2", "pdf-conversion")):
+    """One row: the one enabled flag of ``order``, or the code of what is wrong (none, or several)."""
+    on = flags.where(F.col("flagId").isin(*order) & flag_enabled(F.col("defaultEnabled"), F.col("enabledTenants"), F.col("expiresAt"), tenant, now))
+    got = on.agg(F.count("*").alias("n"), F.min("flagId").alias("first"))
+    return got.select(F.when(F.col("n") == 1, F.col("first")).alias("flagId"), F.when(F.col("n") == 0, "not_enabled").when(F.col("n") > 1, "conflicting_flags").alias("code"))
+
+
+def auth_context(tenant_header: Column, actor_header: Column, proxy_header: Column, local: bool = False) -> Column:
+    """tenantId, email and provider of a request, by forwarded headers, else the proxy's, else (if allowed) a local one; null if none fits."""
+    from .text import proxy_email, tenant_normalized, tenant_of_email
+
+    made = lambda t, e, p: F.struct(t.alias("tenantId"), e.alias("email"), F.lit(p).alias("provider"))
+    tenant, actor, email = F.nullif(tenant_normalized(tenant_header), F.lit("")), proxy_email(actor_header), proxy_email(proxy_header)
+    forwarded = F.coalesce((tenant_header != "") & (actor_header != ""), F.lit(False))
+    got = F.when(forwarded & tenant.isNotNull() & actor.isNotNull(), made(tenant, actor, "iap")).when(~forwarded & email.isNotNull(), made(tenant_of_email(email), email, "iap"))
+    return got.when(~forwarded & email.isNull(), made(F.lit("local-dev"), F.lit("local-dev@localhost.local"), "local-dev")) if local else got
 
 
 def decision_of(recommended: Column) -> Column:
@@ -180,6 +211,14 @@ def token_cost(model: Column, tokens_in: Column, tokens_out: Column, rate_in: Co
     return tokens_in / 1_000_000 * first + tokens_out / 1_000_000 * second
 
 
-def response_state(status: Column, masked: Column) -> Column:
-    """What an upload is answered with, beside its labels."""
-    return F.when(status == "ai_safe", F.struct(status.alias("status"), js_trim(masked).alias("maskedContent"))).otherwise(F.struct(status.alias("status"), F.lit(None).cast("string").alias("maskedContent")))
+def response(status: Column, masked_path: Column, masker: Column, reason: Column, original: Column, pending: Column) -> Column:
+    """What an upload is answered with beside its labels; what does not belong to the status is null."""
+    safe, held = status == "ai_safe", status == "restricted"
+    return F.struct(
+        status.alias("status"), F.when(safe, masked_path).alias("aiSafeStoragePath"), F.when(safe | held, masker).alias("masker"), F.when(held, reason).alias("sensitivityReason"),
+        F.when(held, original).alias("originalCuratorSensitivity"), F.when((status == "curated") & pending, True).alias("maskingPending"),
+    )
+
+
+def size_text(size: Column) -> Column:
+    return F.concat(F.floor(size / (1024 * 1024)).cast("string"), F.lit(" MB"))

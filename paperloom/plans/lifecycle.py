@@ -76,6 +76,40 @@ def health(chunks: DataFrame) -> DataFrame:
     return evaluated(readiness(chunks), "health")
 
 
+def regenerated(files: DataFrame, store=None, mask: Callable[[DataFrame, str], DataFrame] = masking.simple_rule, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Masked chunks of files (docId, fileName, content, sensitivity, aiUsePolicy), and files that gave none.
+
+    Without ``dry_run`` they replace those documents' chunks in ``store``.
+    """
+    from ..sources.files import extracted
+
+    chunks, bad = extracted(files)
+    done = masking.mask_chunks(chunks, mask)
+    if store is not None and not dry_run:
+        store.replace(done)
+    return done, bad
+
+
+def layout_lifecycle(docs: DataFrame, curate: Step, risk: Step, now: Column, now_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with pages (docId, id, text, pages, sourceSubtype, extractorInput) to their state, their chunks and evaluations.
+
+    Chunks come of documents that end curated or ai_safe; those of the latter are masked one by one.
+    """
+    from ..operators.chunking import ir_chunks
+
+    done = text_lifecycle(docs, curate, risk, now)
+    chunks = masking.mask_chunks(ir_chunks(done.where(F.col("status").isin("curated", "ai_safe")).select("docId", "sourceSubtype", "extractorInput", "sensitivity", "aiUsePolicy", "pages"), now_text))
+    return done, chunks, health(chunks)
+
+
+def conversion_audit(evals: DataFrame, docs: DataFrame) -> DataFrame:
+    """docId, result and details of the audit of each conversion: partial where the evaluation failed."""
+    from ..functions.policy import audit_result
+
+    met = evals.join(docs.select("docId", "sourceSubtype").distinct(), "docId", "left")
+    return met.select("docId", audit_result(F.col("status")).alias("result"), F.map_from_arrays(F.array(F.lit("sourceSubtype"), F.lit("evalStatus")), F.array(F.coalesce("sourceSubtype", F.lit("")), "status")).alias("details"))
+
+
 def text_lifecycle(docs: DataFrame, curate: Step, risk: Step, now: Column) -> DataFrame:
     """Initial rows with text to their terminal state."""
     return masked(curated(to_curating(docs, now), curate, now), risk)

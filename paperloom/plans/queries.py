@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import masking, policy, text
 from ..functions.invariants import chunk_violations, document_violations, violations
-from ..operators import chunking, columns, compare, evaluation, packages
+from ..operators import chunking, columns, compare, evaluation, packages, reports
 from ..sources import layouts
 from . import lifecycle
 
@@ -460,3 +460,52 @@ def one_flag_only(spark: SparkSession, d: str) -> DataFrame:
 def ordinal_index(spark: SparkSession, d: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     return table(spark, d, "conversations").select("conv_id", place.alias("p")).groupBy("conv_id").agg(F.max("p").cast("bigint").alias("last_place"), F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS total, count_if(quality = 1) AS passed, round(CAST(count_if(quality = 1) AS DOUBLE) / count(*), 6) AS rate FROM labels")
+def pass_rate(spark: SparkSession, d: str) -> DataFrame:
+    got = reports.pass_rate(table(spark, d, "labels").select((F.col("quality") == 1).alias("passed")))
+    return got.withColumn("rate", F.round("rate", 6))
+
+
+@query("SELECT conv_id AS \"docId\", CAST(count(*) AS BIGINT) AS total, CAST(count_if(role <> 'assistant') AS BIGINT) AS maskable, CAST(count_if(role = 'assistant') AS BIGINT) AS unmaskable, count_if(role <> 'assistant') = 0 AS all_unmaskable FROM conversations GROUP BY 1")
+def finding_split(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("role") == "assistant", "unmaskable").otherwise("maskable")
+    got = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("docId")).agg(F.collect_list(F.struct(kind.alias("maskability"))).alias("f"))
+    return got.select("docId", reports.finding_split(F.col("f")).alias("x")).select("docId", "x.*")
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[1:3], chr(10)) AS preview FROM documents")
+def preview_lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", reports.preview_lines(F.col("text"), 3).alias("preview"))
+
+
+@query("""SELECT conv_id AS "docId", round(avg(CASE WHEN """ + sql_trim("coalesce(text, '')") + """ <> '' THEN 1.0 ELSE 0.0 END), 6) AS "maskableChunkRate" FROM conversations GROUP BY 1""")
+def non_empty_rate(spark: SparkSession, d: str) -> DataFrame:
+    got = reports.non_empty_rate(table(spark, d, "conversations").select(F.col("conv_id").alias("docId"), "text"))
+    return got.withColumn("maskableChunkRate", F.round("maskableChunkRate", 6))
+
+
+@query(DOCS + """SELECT sensitivity, lang, count(*) AS n FROM lab WHERE lang <> 'en' AND "aiUsePolicy" <> 'direct' GROUP BY ALL""")
+def classifier_violations(spark: SparkSession, d: str) -> DataFrame:
+    given = labelled(spark, d).withColumn("aiUsePolicy", F.when(F.col("lang") == "en", F.col("aiUsePolicy")).otherwise("direct"))
+    return given.where(policy.label_violation(F.col("sensitivity"), F.col("aiUsePolicy")).isNotNull()).groupBy("sensitivity", "lang").agg(F.count("*").alias("n"))
+
+
+@query(DOCS + """SELECT "docId", CASE WHEN status = 'masking' THEN false WHEN lang = 'fr' THEN false ELSE true END AS whole FROM lab""")
+def rehydration(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    whole = policy.rehydratable(F.col("status"), F.when(F.col("lang") != "fr", F.lit("curator")), none, none, none, none)
+    return labelled(spark, d).select("docId", whole.alias("whole"))
+
+
+@query(DOCS + """SELECT lang AS "docId", count_if(status = 'masking') = 0 AS passed, count_if(status = 'masking') AS errors FROM lab GROUP BY 1""")
+def schema_validity(spark: SparkSession, d: str) -> DataFrame:
+    rows = labelled(spark, d).select(F.col("lang").alias("docId"), F.col("doc_id").alias("ord"), "status")
+    broken = F.filter(F.array(F.when(F.col("status") == "masking", F.struct(F.lit("status").alias("path"), F.lit("not terminal").alias("message")))), lambda x: x.isNotNull())
+    return reports.schema_validity(rows, broken).select("docId", "passed", F.size("errors").cast("bigint").alias("errors"))
+
+
+@query()
+def ci_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.ci_report(evaluation.evaluated(_conversation_measures(spark, d), "heuristic", F.lit("scan-pdf")), "heuristic")

@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import chunking, columns, compare, evaluation, packages
+from paperloom.functions import policy
+from paperloom.operators import chunking, columns, compare, evaluation, packages, reports
+from paperloom.plans import lifecycle
 from paperloom.schemas import PAGES
 
 
@@ -184,3 +186,39 @@ def test_plans(spark):
     assert "TakeOrderedAndProject" in plan and "BroadcastHashJoin" in plan
     with pytest.raises(ValueError, match="limit"):
         packages.top_inventory(docs, 0)
+
+
+def test_reports(spark):
+    drafts = {r["blockId"]: r for r in reports.chunk_drafts(chunking.ir_blocks(layout(spark, PAGES_GIVEN))).collect()}
+    assert set(drafts) == {"p1-b1", "p1-t0-r1", "i"} and drafts["p1-b1"]["meta"] == {"headingLevel": "2"} and drafts["p1-t0-r1"]["meta"]["bbox"] == "[0.0,0.5,2.0,3.0]"
+    got = layout(spark, PAGES_GIVEN).select(reports.block_counts(F.col("pages")).alias("b"), reports.slide_measures(F.col("pages")).alias("s")).first()
+    assert got["b"].asDict() == {"blocks": 4, "tables": 1} and got["s"]["hasTableLocators"] and got["s"]["pageCoverage"] == 0.5 and len(got["s"]["textDensityWarnings"]) == 2
+    assert reports.pass_rate(spark.createDataFrame([], "passed boolean")).first()["rate"] == 0.0
+    fixtures = spark.createDataFrame([("a", "a")], "documentId string, expectedId string")
+    expected = spark.createDataFrame([("a", ["x"]), ("b", [])], "documentId string, expectedFields array<string>")
+    assert reports.expectations(fixtures, expected).first()["expectedFields"] == ["x"]
+    with pytest.raises(Exception, match="documentId must be"):
+        reports.expectations(spark.createDataFrame([("a", "z")], fixtures.schema), expected).collect()
+    assert [r["maskedName"] for r in reports.paired_names(spark.createDataFrame([("a",), ("b",)], "fileName string"), {"a": "m"}).collect()] == ["m", None]
+    shown = reports.prompt_chunks(packages.with_chunks(inventory(spark), chunks(spark))).where("id = 'a1'").first()["prompt"]
+    assert shown.startswith("### chunk\n- fileName: a.txt") and shown.endswith("```text\n t \n```")
+
+
+def test_flag_choice_and_auth(spark):
+    flags = spark.createDataFrame([("pdf-conversion", True, [], None), ("pdf-conversion-subtype-2", False, ["t"], None), ("other", True, [], None)], "flagId string, defaultEnabled boolean, enabledTenants array<string>, expiresAt string")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    assert tuple(policy.flag_choice(flags, F.lit("u"), now).first()) == ("pdf-conversion", None)
+    assert tuple(policy.flag_choice(flags, F.lit("t"), now).first()) == (None, "conflicting_flags")
+    assert tuple(policy.flag_choice(flags.where("flagId = 'other'"), F.lit("t"), now).first()) == (None, "not_enabled")
+    rows = spark.createDataFrame([("T", "a@b.c", None), ("T", "bad", None), (None, None, "x:a@b.co"), (None, None, None)], "t string, a string, p string")
+    got = [r[0] for r in rows.select(policy.auth_context(F.col("t"), F.col("a"), F.col("p"))).collect()]
+    assert [g and (g["tenantId"], g["email"]) for g in got] == [("t", "a@b.c"), None, ("b.co", "a@b.co"), None]
+
+
+def test_layout_lifecycle(spark):
+    docs = layout(spark, PAGES_GIVEN).select("docId", F.col("docId").alias("id"), "sourceSubtype", "extractorInput", "pages", F.lit("x@y.com").alias("text"), F.lit("uploaded").alias("status"), F.lit("h").alias("contentSha256"), *(F.lit(None).cast("string").alias(c) for c in ("originalCuratorSensitivity", "sensitivityReason", "aiSafeStoragePath")), F.lit(None).cast("timestamp").alias("updatedAt"))
+    curate = lambda d: d.withColumns({"c_sensitivity": F.lit("Confidential"), "c_rationale": F.lit("r")})
+    risk = lambda d: d.withColumns({"detected": F.lit(False), "recommendedSensitivity": F.lit("Confidential"), "reasons": F.array(F.lit("fine")), "riskRationale": F.lit("w")})
+    done, made, evals = lifecycle.layout_lifecycle(docs, curate, risk, F.lit("2024-01-01 00:00:00").cast("timestamp"), "2024-01-01T00:00:00.000Z")
+    assert done.first()["status"] == "ai_safe" and made.count() == 3 and made.where("maskedText IS NULL").count() == 0
+    assert lifecycle.conversion_audit(evals, docs).first()["result"] == "success"
