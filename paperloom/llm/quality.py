@@ -150,20 +150,28 @@ def judge(feats: DataFrame, limits: DataFrame) -> DataFrame:
     return met.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over)
 
 
-def apply(docs: DataFrame, min_docs: int = MIN_DOCS, width: int = WIDTH) -> DataFrame:
-    """``docs`` with counts, limits, base_failed and kept; counted once, into the shared folder."""
-    feats = written(features(docs))
-    return judge(feats, thresholds(sketch(feats), min_docs, width))
-
-
 def _without_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _counting(batches):
         yield plus(batch, ("text",), {})
 
 
+def counts_only(docs: DataFrame) -> DataFrame:
+    """``features`` without the text."""
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(_without_text, schema_plus(docs, ("text",), ", ".join(f"{c} bigint" for c in COUNTS)))
+
+
+def apply(docs: DataFrame, min_docs: int = MIN_DOCS, width: int = WIDTH) -> DataFrame:
+    """``docs`` with counts, limits, base_failed and kept.
+
+    Texts are counted twice, for the sketch and for the verdict, and neither stored nor shuffled in between. Limits are
+    a table in the shared folder, so that their join knows their size and broadcasts them only if they are small.
+    """
+    limits = written(thresholds(sketch(counts_only(docs.select("lang", "source", "text"))), min_docs, width))
+    return judge(features(docs), limits)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    small_batches(spark)
-    feats = written(docs.mapInArrow(_without_text, schema_plus(docs, ("text",), ", ".join(f"{c} bigint" for c in COUNTS))))
+    feats = written(counts_only(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")))
     out = judge(feats, thresholds(sketch(feats)))
     return out.select("doc_id", *COUNTS[:5], "base_failed", "kept")
