@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -58,9 +61,19 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches with rows, with their texts; at the end, memory that this worker no longer needs goes back to the system."""
     for batch in batches:
         if batch.num_rows:
             yield batch, texts_of(batch, column)
+    release()
+
+
+def release() -> None:
+    """Workers live on between tasks; what their allocators keep would count against their executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def plus(batch: pa.RecordBatch, drop: Iterable[str], columns: dict[str, pa.Array]) -> pa.RecordBatch:
