@@ -38,7 +38,7 @@ SHAPES = (
     ("date", r"(?<![0-9A-Za-z./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"),
     ("card", r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])"),
-    ("phone", r"(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z+])\+[0-9]{8,15}" + _E),
+    ("phone", r"(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}" + _E),
 )
 FIND = re.compile("|".join(f"(?P<{kind}>{shape.replace(chr(92) + '1', '(?P=sep1)').replace(chr(92) + '2', '(?P=sep2)').replace('([-/.])', '(?P<sep1>[-/.])', 1).replace('([-/.])', '(?P<sep2>[-/.])', 1)})" for kind, shape in SHAPES))
 HINT = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|key)")
