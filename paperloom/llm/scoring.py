@@ -177,14 +177,17 @@ def _scoring(lex, flat):
         keys, ids, held = [], [], 0
 
         def done() -> pa.RecordBatch:
-            logp = gru.score(flat.value, own, [np.minimum(np.where(i < 0, own, i), own) for i in ids]) / math.log(10)
-            known = [i[i >= 0] for i in ids]
-            other = [i[i >= own] for i in known]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat_ids, owner = np.concatenate(ids), np.repeat(np.arange(len(ids)), sizes)
+            other = (flat_ids < 0) | (flat_ids >= own)
+            logs = np.where(flat_ids >= 0, lexi.log[flat_ids], 0.0) if len(lexi.log) else np.zeros(len(flat_ids))
+            each = lambda w: np.bincount(owner, w, len(ids))
+            capped = np.split(np.where(other, own, flat_ids), np.cumsum(sizes)[:-1])
+            logp = gru.score(flat.value, own, capped) / math.log(10)
             cols = {n: pa.array(c, t) for n, c, t in zip(("doc_id", "h", "held_out"), zip(*keys, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)}
             return pa.RecordBatch.from_pydict(cols | {
-                "n_tokens": pa.array(map(len, ids), pa.int64()), "n_known": pa.array(map(len, known), pa.int64()),
-                "n_other": pa.array([int(((i < 0) | (i >= own)).sum()) for i in ids], pa.int64()),
-                "log_known": pa.array([float(lexi.log[k].sum()) for k in known]), "log_other": pa.array([float(lexi.log[k].sum()) for k in other]), "log_model": pa.array(logp),
+                "n_tokens": pa.array(sizes), "n_known": pa.array(each(flat_ids >= 0).astype(np.int64)), "n_other": pa.array(each(other).astype(np.int64)),
+                "log_known": pa.array(each(logs)), "log_other": pa.array(each(logs * other)), "log_model": pa.array(logp),
             })
 
         for batch, texts in rows_of(batches):
@@ -206,14 +209,14 @@ def _rare(lex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = lex.value.ids
         for batch, texts in rows_of(batches):
-            doc, h, word, n = [], [], [], []
-            for d, k, t in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), texts, strict=True):
-                rare = Counter(w for w in tokens_of(t) if w not in sent)
-                doc += [d] * len(rare)
-                h += [k] * len(rare)
-                word += rare
-                n += rare.values()
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "h": pa.array(h, pa.int64()), "word": pa.array(word, pa.binary()), "tf": pa.array(n, pa.int64())})
+            words, counts, sizes = [], [], []
+            for t in texts:
+                rare = Counter([w for w in tokens_of(t) if w not in sent])
+                words += rare
+                counts += rare.values()
+                sizes.append(len(rare))
+            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(at), "h": batch.column("h").take(at), "word": pa.array(words, pa.binary()), "tf": pa.array(counts, pa.int64())})
 
     return run
 
