@@ -78,14 +78,14 @@ def release() -> None:
 
 def plus(batch: pa.RecordBatch, drop: Iterable[str], columns: dict[str, pa.Array]) -> pa.RecordBatch:
     """``batch`` without ``drop`` and with new columns at its end; a clashing old column gives way."""
-    gone = {*drop, *columns}
-    kept = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n not in gone}
+    gone = {n.lower() for n in (*drop, *columns)}
+    kept = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n.lower() not in gone}
     return pa.RecordBatch.from_pydict(kept | columns)
 
 
-def schema_plus(df: DataFrame, drop: Iterable[str], columns: str) -> str:
-    """DDL of ``df`` without ``drop``, then ``columns`` (name type, ...), matching ``plus``."""
-    new = [c.strip() for c in columns.split(",")]
-    gone = {*drop, *(c.split()[0] for c in new)}
-    old = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema if f.name not in gone]
+def schema_plus(df: DataFrame, drop: Iterable[str], columns: str | list[str]) -> str:
+    """DDL of ``df`` without ``drop``, then ``columns`` (each a name and a type; one string only of plain types), matching ``plus``."""
+    new = [c.strip() for c in (columns.split(",") if isinstance(columns, str) else columns)]
+    gone = {n.lower() for n in (*drop, *(c.split()[0] for c in new if " " in c))}
+    old = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema if f.name.lower() not in gone]
     return ", ".join(old + new)

@@ -96,7 +96,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, size: int = SIZE, block_cha
     spark = docs.sparkSession
     small_batches(spark)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    schema = schema_plus(docs, (), "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint;end:bigint>>".replace(";", "\0")).replace("\0", ",")
+    schema = schema_plus(docs, (), ["n_words bigint", "n_hit bigint", "items array<string>", "spans array<struct<start:bigint,end:bigint>>"])
     parts = blocks(bench, block_chars)
     block, first = next(parts), True
     while block is not None:

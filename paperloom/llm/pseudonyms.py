@@ -243,7 +243,7 @@ class Pseudonymizer:
 
 
 _COMPILED = [(kind, re.compile(shape)) for kind, shape in SHAPES[:5]] + [("date", re.compile(SHAPES[5][1]))] + [(kind, re.compile(shape)) for kind, shape in SHAPES[6:]]
-FOUND = "array<struct<kind:string;start:bigint;end:bigint>>"
+FOUND = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
 def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -257,7 +257,7 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             got = [change(t) if t else (t, []) for t in batch.column("text").to_pylist()]
             yield plus(batch, (), {"text": pa.array([t for t, _ in got], pa.string()), "found": pa.array([[dict(zip(("kind", "start", "end"), f, strict=True)) for f in fs] for _, fs in got], kind)})
 
-    return docs.mapInArrow(run, schema_plus(docs, (), f"text string, found {FOUND}").replace(";", ","))
+    return docs.mapInArrow(run, schema_plus(docs, (), ["text string", f"found {FOUND}"]))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

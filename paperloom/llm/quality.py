@@ -142,8 +142,9 @@ def thresholds(hist: DataFrame, min_docs: int = MIN_DOCS, width: int = WIDTH) ->
 
 def judge(feats: DataFrame, limits: DataFrame) -> DataFrame:
     """``feats`` with base_failed and kept. A document whose group has no sketch failed the base rule itself."""
-    limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(f"limit_{r}" for r in RATES))
-    met = feats.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
+    limits = limits.select(F.col("lang").alias("_limits_lang"), F.col("source").alias("_limits_source"), *(f"limit_{r}" for r in RATES))
+    feats = feats.drop(*limits.columns)
+    met = feats.join(limits, F.col("lang").eqNullSafe(F.col("_limits_lang")) & F.col("source").eqNullSafe(F.col("_limits_source")), "left").drop("_limits_lang", "_limits_source")
     over = F.lit(False)
     for r in RATES:
         over = over | F.coalesce(_rate(r) > F.col(f"limit_{r}"), F.lit(False))

@@ -279,12 +279,13 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, words: int = WORDS, di
     one component, as in ``near_duplicates``.
     """
     names = docs.columns
+    docs = docs.withColumnsRenamed({n: f"_kept_{k}" for k, n in enumerate(names) if n not in ("doc_id", "text")})  # none clashes then
     fps = written(fingerprints(docs, shingle, words).withColumn("_row", F.monotonically_increasing_id()))
     each = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("low"))
     root = each.join(groups(fps, distance=distance, words=words, bands=bands, width=width, turns=turns), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     kept = root.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low._row").alias("_row"))
     # texts move once, at every size alike: how many rows stay follows the input, so they are never broadcast
-    return fps.join(kept.hint("merge"), "_row", "left_semi").select(*names)
+    return fps.join(kept.hint("merge"), "_row", "left_semi").select(*(n if n in ("doc_id", "text") else F.col(f"_kept_{k}").alias(n) for k, n in enumerate(names)))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ def odd(spark):
         (1, "alpha beta gamma delta epsilon", "en", "s", 7), (1, "alpha beta gamma delta epsilon", "en", "s", 7), (1, "another text of the same id here", "en", "s", 7), (2, "", "en", None, 7), (3, None, None, "s", 7),
         (None, "no id at all but some words", "de", "s", 7), (4, LONG, "en", "s", 7), (5, LONG, None, None, None), (6, " \t\n ", "en", "s", 7), (None, None, None, None, None),
     ]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, kept int").repartition(3)
+    clashing = ("fp", "_row", "N_Words", "limit_symbols", "_lang", "component_id", "found", "items", "h", "start", "held_out")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, kept int").repartition(3)
+    return docs.selectExpr("*", *(f"'old' AS `{c}`" for c in clashing))
 
 
 @pytest.fixture(scope="session")
