@@ -16,13 +16,18 @@ from .common import removed, written
 
 def _round(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = _apart(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    least = _apart(large.groupBy("u").agg(F.min("v").alias("m")))
     met = large.join(least, "u").select("u", "v", "m")
     return met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
 
 
+def _apart(minima: DataFrame) -> DataFrame:
+    """Minima dealt out otherwise than their aggregation left them: the join then shuffles both sides itself, and so can split a hot vertex."""
+    return minima.repartition(F.xxhash64("u", F.lit(1)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """u, root: each vertex that has an edge to a lesser root of its component; roots have no row.
 
