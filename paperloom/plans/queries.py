@@ -50,11 +50,14 @@ def sql_trim(c: str) -> str:
 QUERIES, SQL = {}, {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, whole: tuple[str, ...] = ()):
+    """Registers a query; ``whole`` names results that DuckDB makes wider than 64 bits."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            casts = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in whole)
+            SQL[f.__name__] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if whole else sql
         return f
 
     return add
@@ -179,7 +182,7 @@ MEASURES = """WITH turns AS (SELECT conv_id AS "docId", turn, role, text, length
 ), ov AS (SELECT *, CASE WHEN 'fail' IN (coverage, "locatorQuality", "contextPackageReadiness") THEN 'warn' ELSE 'pass' END AS status FROM ax) """
 
 
-@query(MEASURES + """SELECT "docId", round("pageCoverage", 6) AS "pageCoverage", "tableCandidates", warnings, "hasPageLocators", "hasTableLocators", "chunkCount", round("averageChunkLength", 6) AS "averageChunkLength", "emptyChunks" FROM m""")
+@query(MEASURES + """SELECT "docId", round("pageCoverage", 6) AS "pageCoverage", "tableCandidates", warnings, "hasPageLocators", "hasTableLocators", "chunkCount", round("averageChunkLength", 6) AS "averageChunkLength", "emptyChunks" FROM m""", whole=("tableCandidates", "warnings", "emptyChunks"))
 def conversation_ir_coverage(spark: SparkSession, d: str) -> DataFrame:
     m = _conversation_measures(spark, d)
     return m.select("docId", F.round("pageCoverage", 6).alias("pageCoverage"), "tableCandidates", F.size("textDensityWarnings").cast("bigint").alias("warnings"), "hasPageLocators", "hasTableLocators", "chunkCount", F.round("averageChunkLength", 6).alias("averageChunkLength"), "emptyChunks")
@@ -192,20 +195,20 @@ def eval_rollup(spark: SparkSession, d: str) -> DataFrame:
     return e.select("docId", "coverage", "locatorQuality", "contextPackageReadiness", "status", F.array_join("reasons", "|").alias("reasons"))
 
 
-@query(MEASURES + "SELECT count_if(status = 'pass') AS pass, count_if(status = 'warn') AS warn, count_if(status = 'fail') AS fail FROM ov")
+@query(MEASURES + "SELECT count_if(status = 'pass') AS pass, count_if(status = 'warn') AS warn, count_if(status = 'fail') AS fail FROM ov", whole=("pass", "warn", "fail"))
 def status_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.status_summary(evaluation.evaluated(_conversation_measures(spark, d), "heuristic", F.lit("scan-pdf")))
 
 
 @query(MEASURES + """SELECT axis, count_if(s = 'pass') AS pass, count_if(s = 'warn') AS warn, count_if(s = 'fail') AS fail FROM (
-    SELECT 'coverage' AS axis, coverage AS s FROM ov UNION ALL SELECT 'locator_quality', "locatorQuality" FROM ov UNION ALL SELECT 'safety_readiness', 'pass' FROM ov) GROUP BY axis""")
+    SELECT 'coverage' AS axis, coverage AS s FROM ov UNION ALL SELECT 'locator_quality', "locatorQuality" FROM ov UNION ALL SELECT 'safety_readiness', 'pass' FROM ov) GROUP BY axis""", whole=("pass", "warn", "fail"))
 def axis_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.axis_summary(evaluation.evaluated(_conversation_measures(spark, d), "heuristic", F.lit("scan-pdf")))
 
 
 @query(r"""WITH c AS (SELECT lang, regexp_replace(string_agg(text, chr(10) ORDER BY doc_id), '[\s]+', '', 'g') AS corpus FROM documents GROUP BY lang),
     f AS (SELECT c.lang, b.item_id, regexp_replace(b.text, '[\s]+', '', 'g') AS k, c.corpus FROM c CROSS JOIN benchmark b)
-    SELECT lang AS "docId", round(CAST(count_if(contains(corpus, k)) AS DOUBLE) / count(*), 6) AS "keyFieldRecall", count_if(NOT contains(corpus, k)) AS missing FROM f GROUP BY lang""")
+    SELECT lang AS "docId", round(CAST(count_if(contains(corpus, k)) AS DOUBLE) / count(*), 6) AS "keyFieldRecall", count_if(NOT contains(corpus, k)) AS missing FROM f GROUP BY lang""", whole=("missing",))
 def semantic_retention(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "documents").select(F.col("lang").alias("docId"), F.col("doc_id").alias("ord"), "text")
     fields = table(spark, d, "benchmark").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]).alias("expectedFields"))
@@ -230,7 +233,7 @@ def chunk_offsets(spark: SparkSession, d: str) -> DataFrame:
 @query(RANGES + """, s AS (SELECT conv_id AS "docId", turn * 100 AS "start", turn * 100 + 30 AS "end" FROM conversations),
     j AS (SELECT s."docId", r.ord FROM s LEFT JOIN r ON s."docId" = r."docId" AND s."start" >= r."start" AND s."end" <= r."start" + length(r.text))
     SELECT t."docId", coalesce(u.bad, 0) AS "unmaskablePiiFindings", round(CAST(coalesce(u.good, 0) AS DOUBLE) / t.n, 6) AS "maskableChunkRate" FROM (SELECT "docId", count(*) AS n FROM r GROUP BY 1) t
-    LEFT JOIN (SELECT "docId", count_if(ord IS NULL) AS bad, count(DISTINCT ord) AS good FROM j GROUP BY 1) u USING ("docId")""")
+    LEFT JOIN (SELECT "docId", count_if(ord IS NULL) AS bad, count(DISTINCT ord) AS good FROM j GROUP BY 1) u USING ("docId")""", whole=("unmaskablePiiFindings",))
 def span_containment(spark: SparkSession, d: str) -> DataFrame:
     r = _ranges(spark, d).withColumns({"structureType": F.lit("paragraph"), "locator": F.lit("paragraph")})
     spans = table(spark, d, "conversations").select(F.col("conv_id").alias("docId"), (F.col("turn") * 100).alias("start"), (F.col("turn") * 100 + 30).alias("end"))
@@ -462,7 +465,7 @@ def ordinal_index(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", place.alias("p")).groupBy("conv_id").agg(F.max("p").cast("bigint").alias("last_place"), F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS total, count_if(quality = 1) AS passed, round(CAST(count_if(quality = 1) AS DOUBLE) / count(*), 6) AS rate FROM labels")
+@query("SELECT count(*) AS total, count_if(quality = 1) AS passed, round(CAST(count_if(quality = 1) AS DOUBLE) / count(*), 6) AS rate FROM labels", whole=("passed",))
 def pass_rate(spark: SparkSession, d: str) -> DataFrame:
     got = reports.pass_rate(table(spark, d, "labels").select((F.col("quality") == 1).alias("passed")))
     return got.withColumn("rate", F.round("rate", 6))
@@ -499,7 +502,7 @@ def rehydration(spark: SparkSession, d: str) -> DataFrame:
     return labelled(spark, d).select("docId", whole.alias("whole"))
 
 
-@query(DOCS + """SELECT lang AS "docId", count_if(status = 'masking') = 0 AS passed, count_if(status = 'masking') AS errors FROM lab GROUP BY 1""")
+@query(DOCS + """SELECT lang AS "docId", count_if(status = 'masking') = 0 AS passed, count_if(status = 'masking') AS errors FROM lab GROUP BY 1""", whole=("errors",))
 def schema_validity(spark: SparkSession, d: str) -> DataFrame:
     rows = labelled(spark, d).select(F.col("lang").alias("docId"), F.col("doc_id").alias("ord"), "status")
     broken = F.filter(F.array(F.when(F.col("status") == "masking", F.struct(F.lit("status").alias("path"), F.lit("not terminal").alias("message")))), lambda x: x.isNotNull())
