@@ -1,7 +1,8 @@
 """A gated recurrent language model in numpy.
 
-Words ``0 .. n_words - 1`` are in order of frequency; classes are runs of ``CLASS_SIZE`` of them, and one
-more class stands for every other word. The probability of a word is that of its class, given the state,
+Words ``0 .. n_words - 1`` are in order of frequency; classes are runs of them with equal sums of the square
+roots of their counts, so frequent words, which cost most, have small classes. One more class stands for every
+other word. ``cuts`` says where classes begin and where the last one ends. The probability of a word is that of its class, given the state,
 times its probability in the class. Training runs many streams of text side by side by truncated
 backpropagation: windows of ``STEPS`` tokens, the state carried from one to the next and cleared where a
 document starts. Scoring carries each document's state from its first token to its last.
@@ -14,45 +15,49 @@ import heapq
 import numpy as np
 
 HIDDEN = 16
-CLASS_SIZE = 64
+CLASSES = 32
 STREAMS, STEPS = 512, 16
 RATE = 0.01
 
 
-def classes(n_words: int) -> int:
-    return -(-n_words // CLASS_SIZE)
+def cuts_of(counts: np.ndarray) -> np.ndarray:
+    """Where classes begin, and the number of words; no class is empty."""
+    if not len(counts):
+        return np.zeros(1, np.int64)
+    sums = np.cumsum(np.sqrt(counts))
+    inner = np.searchsorted(sums, sums[-1] * np.arange(1, CLASSES) / CLASSES) + 1
+    return np.unique(np.r_[0, np.minimum(inner, len(counts)), len(counts)])
 
 
-def shapes(n_words: int) -> dict[str, tuple[int, ...]]:
+def shapes(cuts: np.ndarray) -> dict[str, tuple[int, ...]]:
     """Parameters: input table (words, other, start), recurrence, class and word outputs with biases."""
-    c = classes(n_words)
-    return {"x": (n_words + 2, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, c + 1), "bc": (c + 1,), "wo": (c, CLASS_SIZE, HIDDEN), "bo": (c, CLASS_SIZE)}
+    n, c = int(cuts[-1]), len(cuts) - 1
+    return {"x": (n + 2, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, c + 1), "bc": (c + 1,), "wo": (n, HIDDEN), "bo": (n,)}
 
 
-def unpacked(flat: np.ndarray, n_words: int) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in shapes(n_words).items():
+def unpacked(flat: np.ndarray, cuts: np.ndarray) -> dict[str, np.ndarray]:
+    out, at = {"cuts": cuts}, 0
+    for name, shape in shapes(cuts).items():
         size = int(np.prod(shape))
         out[name] = flat[at : at + size].reshape(shape)
         at += size
     return out
 
 
-def size(n_words: int) -> int:
-    return sum(int(np.prod(s)) for s in shapes(n_words).values())
+def size(cuts: np.ndarray) -> int:
+    return sum(int(np.prod(s)) for s in shapes(cuts).values())
 
 
 def initial(counts: np.ndarray, others: int, seed: int = 7) -> np.ndarray:
     """Small random weights; biases give each word its share of the counts."""
-    n = len(counts)
-    flat = np.random.default_rng(seed).normal(0, 0.1, size(n)).astype(np.float32)
-    p = unpacked(flat, n)
-    padded = np.zeros(classes(n) * CLASS_SIZE)
-    padded[:n] = counts + 1.0
-    p["bo"][:] = np.log(np.where(padded, padded, 1e-9)).reshape(-1, CLASS_SIZE)
-    p["bo"][:] -= p["bo"].max(1, keepdims=True)
-    p["bc"][:] = np.log(np.r_[padded.reshape(-1, CLASS_SIZE).sum(1), others + 1.0])
+    cuts = cuts_of(counts)
+    flat = np.random.default_rng(seed).normal(0, 0.1, size(cuts)).astype(np.float32)
+    p = unpacked(flat, cuts)
+    sums = [counts[a:b].sum() + 1.0 for a, b in zip(cuts, cuts[1:], strict=False)]
+    p["bc"][:] = np.log(np.r_[sums, others + 1.0])
     p["bc"][:] -= p["bc"].max()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        p["bo"][a:b] = np.log(counts[a:b] + 1.0) - np.log(counts[a:b].max() + 1.0)
     return flat
 
 
@@ -79,8 +84,9 @@ def _output(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray, grads: dict
 
     States lie in (-1, 1), so logits stay small enough for exp as they are.
     """
-    n, c = len(y), len(p["bo"])
-    cls = np.where(y < n_words_of(p), y // CLASS_SIZE, c)
+    cuts, n = p["cuts"], len(y)
+    c = len(cuts) - 1
+    cls = np.repeat(np.arange(c + 1, dtype=np.int16), np.r_[np.diff(cuts), 1])[y]
     e = hs @ p["wc"]
     e += p["bc"]
     rows = np.arange(n)
@@ -94,15 +100,16 @@ def _output(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray, grads: dict
         e[rows, cls] -= np.float32(1 / n)
         grads["wc"][:], grads["bc"][:] = hs.T @ e, e.sum(0)
         dh = e @ p["wc"].T
-    order = np.argsort(cls.astype(np.int16), kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(c + 1))
+    order = np.argsort(cls, kind="stable")
+    runs = np.searchsorted(cls[order], np.arange(c + 1))
     for k in range(c):
-        at = order[cuts[k] : cuts[k + 1]]
-        if not len(at):
+        at = order[runs[k] : runs[k + 1]]
+        if not len(at) or cuts[k + 1] - cuts[k] == 1:  # the only word of its class
             continue
-        own, inside, place = hs[at], y[at] - k * CLASS_SIZE, np.arange(len(at))
-        e = own @ p["wo"][k].T
-        e += p["bo"][k]
+        of = slice(cuts[k], cuts[k + 1])
+        own, inside, place = hs[at], y[at] - cuts[k], np.arange(len(at))
+        e = own @ p["wo"][of].T
+        e += p["bo"][of]
         lp = e[place, inside]
         np.exp(e, out=e)
         total = e.sum(1)
@@ -110,21 +117,17 @@ def _output(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray, grads: dict
         if grads is not None:
             e *= (np.float32(1 / n) / total)[:, None]
             e[place, inside] -= np.float32(1 / n)
-            grads["wo"][k], grads["bo"][k] = e.T @ own, e.sum(0)
-            dh[at] += e @ p["wo"][k]
+            grads["wo"][of], grads["bo"][of] = e.T @ own, e.sum(0)
+            dh[at] += e @ p["wo"][of]
     return logp, dh
 
 
-def n_words_of(p: dict[str, np.ndarray]) -> int:
-    return len(p["x"]) - 2
-
-
 class Trainer:
     """Adam over windows; ``feed`` takes the ids of whole documents, each ending in the end word."""
 
-    def __init__(self, flat: np.ndarray, n_words: int, rate: float = RATE):
-        self.flat, self.n, self.rate = flat.astype(np.float32).copy(), n_words, rate
-        self.p = unpacked(self.flat, n_words)
+    def __init__(self, flat: np.ndarray, cuts: np.ndarray, rate: float = RATE):
+        self.flat, self.cuts, self.n, self.rate = flat.astype(np.float32).copy(), cuts, int(cuts[-1]), rate
+        self.p = unpacked(self.flat, cuts)
         self.m, self.v, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
         self.waiting: list[np.ndarray] = []
         self.held = self.tokens = 0
@@ -167,7 +170,7 @@ class Trainer:
             h, z[t], r[t], n[t], gn[t] = _gates(p["u"], h, rows[t])
             hs[t] = h
         flat = np.zeros_like(self.flat)
-        grads = unpacked(flat, self.n)
+        grads = unpacked(flat, self.cuts)
         logp, dhs = _output(p, hs.reshape(-1, HIDDEN), y.ravel(), grads)
         self.loss = -float(logp.mean())
         dhs = dhs.reshape(steps, streams, HIDDEN)
@@ -204,9 +207,9 @@ class Trainer:
         return h
 
 
-def score(flat: np.ndarray, n_words: int, docs: list[np.ndarray], lanes: int = STREAMS) -> np.ndarray:
+def score(flat: np.ndarray, cuts: np.ndarray, docs: list[np.ndarray], lanes: int = STREAMS) -> np.ndarray:
     """Natural log-probability of each document (ids with their end word): classes, and words in theirs."""
-    p = unpacked(flat, n_words)
+    p, n_words = unpacked(flat, cuts), int(cuts[-1])
     total = np.zeros(len(docs))
     if not docs:
         return total

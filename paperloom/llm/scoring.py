@@ -99,6 +99,7 @@ class Lexicon:
         self.ids = Ids((w, k) for k, (w, _) in enumerate(top))
         self.own_ids = Ids(((w, k) for k, (w, _) in enumerate(top[: self.own])), self.own)
         self.counts = np.array([n for _, n in top], np.int64)
+        self.cuts = gru.cuts_of(self.counts[: self.own])
         self.log = np.log10(self.counts + 1.0)
         self.total, self.distinct, self.least = total, distinct, least
         own = int(self.counts[: self.own].sum())
@@ -126,7 +127,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
 def _training(lex, start):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = lex.value.own_ids
-        trainer = gru.Trainer(start.value, lex.value.own)
+        trainer = gru.Trainer(start.value, lex.value.cuts)
         for _, texts in rows_of(batches):
             for t in texts:
                 trainer.feed(ids.of(tokens_of(t)))
@@ -183,7 +184,7 @@ def _scoring(lex, flat):
             logs = np.where(flat_ids >= 0, lexi.log[flat_ids], 0.0) if len(lexi.log) else np.zeros(len(flat_ids))
             each = lambda w: np.bincount(owner, w, len(ids))
             capped = np.split(np.where(other, own, flat_ids), np.cumsum(sizes)[:-1])
-            logp = gru.score(flat.value, own, capped) / math.log(10)
+            logp = gru.score(flat.value, lexi.cuts, capped) / math.log(10)
             cols = {n: pa.array(c, t) for n, c, t in zip(("doc_id", "h", "held_out"), zip(*keys, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)}
             return pa.RecordBatch.from_pydict(cols | {
                 "n_tokens": pa.array(sizes), "n_known": pa.array(each(flat_ids >= 0).astype(np.int64)), "n_other": pa.array(each(other).astype(np.int64)),
@@ -234,7 +235,8 @@ def score(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("h", F.xxhash64("text"))
     each = written(keyed.mapInArrow(_scoring(sent, flat), SCORED))
     seldom = counts.where(F.col("n") < lex.least)
-    rare = keyed.select("doc_id", "h", "text").mapInArrow(_rare(sent), "doc_id bigint, h bigint, word binary, tf bigint").join(seldom, "word")
+    # seldom words are far fewer than their places, so a partition's share of them makes the hash table; nothing is sorted
+    rare = keyed.select("doc_id", "h", "text").mapInArrow(_rare(sent), "doc_id bigint, h bigint, word binary, tf bigint").join(seldom.hint("shuffle_hash"), "word")
     sums = rare.groupBy("doc_id", "h").agg(F.sum("tf").alias("rare_n"), F.sum(F.col("tf") * F.log10(F.col("n") + 1.0)).alias("rare_log"))
     copies = each.groupBy("doc_id", "h").agg(F.count("*").alias("copies"))
     sums = sums.withColumnsRenamed({"doc_id": "r_id", "h": "r_h"}).join(copies, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h"))).select("r_id", "r_h", "rare_n", "rare_log", "copies")

@@ -11,6 +11,7 @@ from paperloom.llm import gru, scoring
 def test_gradients():
     """Of all parameters, against differences of the loss, with states carried and cleared."""
     n = 70
+    cuts = gru.cuts_of(np.arange(n, 0, -1))
     flat = gru.initial(np.arange(n, 0, -1), 30, seed=1)
     rng = np.random.default_rng(0)
     flat = (flat + rng.normal(0, 0.3, len(flat))).astype(np.float64)
@@ -21,17 +22,17 @@ def test_gradients():
     class Probe(gru.Trainer):
         pass
 
-    t = Probe(flat, n, rate=0.0)
+    t = Probe(flat, cuts, rate=0.0)
     t.flat = flat.copy()
-    t.p = gru.unpacked(t.flat, n)
+    t.p = gru.unpacked(t.flat, cuts)
     t.m, t.v = np.zeros_like(flat), np.zeros_like(flat)
     t._window(x, y, keep, np.zeros((6, gru.HIDDEN)))
     grad = t.m / 0.1
 
     def loss(f):
-        u = Probe(f, n, rate=0.0)
+        u = Probe(f, cuts, rate=0.0)
         u.flat = f
-        u.p = gru.unpacked(f, n)
+        u.p = gru.unpacked(f, cuts)
         u.m, u.v = np.zeros_like(f), np.zeros_like(f)
         u._window(x, y, keep, np.zeros((6, gru.HIDDEN)))
         return u.loss
@@ -45,9 +46,17 @@ def test_gradients():
     assert np.abs(a - b).max() < 2e-4 and np.abs(a).max() > 1e-2
 
 
+def test_classes():
+    counts = np.sort(np.random.default_rng(0).zipf(1.3, 2048))[::-1]
+    cuts = gru.cuts_of(counts)
+    sizes = np.diff(cuts)
+    assert cuts[0] == 0 and cuts[-1] == 2048 and len(sizes) <= gru.CLASSES and (sizes > 0).all() and sizes[0] < sizes[-1]
+    assert gru.cuts_of(np.array([5])).tolist() == [0, 1] and gru.cuts_of(np.array([], np.int64)).tolist() == [0]
+
+
 def test_probabilities_sum_to_one():
     n = 100
-    p = gru.unpacked(gru.initial(np.arange(n, 0, -1), 30), n)
+    p = gru.unpacked(gru.initial(np.arange(n, 0, -1), 30), gru.cuts_of(np.arange(n, 0, -1)))
     total = 0.0
     for w in range(n + 1):
         total += math.exp(gru._output(p, np.full((1, gru.HIDDEN), 0.3, np.float32), np.array([w]), None)[0][0])
@@ -59,8 +68,9 @@ def test_scores_do_not_depend_on_company():
     flat = gru.initial(np.arange(n, 0, -1), 30)
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, n + 1, k) for k in (1, 2, 3, 700, 50, 1, 20)]
-    both = gru.score(flat, n, docs, lanes=3)
-    assert np.allclose(both, [gru.score(flat, n, [d])[0] for d in docs], rtol=1e-5) and len(gru.score(flat, n, [])) == 0
+    cuts = gru.cuts_of(np.arange(n, 0, -1))
+    both = gru.score(flat, cuts, docs, lanes=3)
+    assert np.allclose(both, [gru.score(flat, cuts, [d])[0] for d in docs], rtol=1e-5) and len(gru.score(flat, cuts, [])) == 0
 
 
 def test_training_learns_what_a_unigram_cannot():
@@ -68,11 +78,12 @@ def test_training_learns_what_a_unigram_cannot():
     flat = gru.initial(np.full(n, 100), 1)
     rng = np.random.default_rng(0)
     docs = [np.r_[(rng.integers(0, n) + np.arange(60)) % n] for _ in range(3000)]
-    t = gru.Trainer(flat, n)
+    cuts = gru.cuts_of(np.full(n, 100))
+    t = gru.Trainer(flat, cuts)
     for d in docs[100:]:
         t.feed(d)
     t.flush()
-    before, after = gru.score(flat, n, docs[:100]).sum(), gru.score(t.flat, n, docs[:100]).sum()
+    before, after = gru.score(flat, cuts, docs[:100]).sum(), gru.score(t.flat, cuts, docs[:100]).sum()
     assert after > 0.8 * before
 
 
