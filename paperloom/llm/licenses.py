@@ -92,14 +92,12 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, l
     near = f"array_distinct(flatten(transform({hits}, i -> sequence(greatest(i - {SHINGLE - 1}, 0), least(i, size(words) - {SHINGLE})))))"
     # words and met are bound by lambdas, so each is computed once for a document, whatever the optimizer joins
     met = f"filter(transform({near}, i -> named_struct('at', i, 'hash', {_hash('i + 1')})), x -> x.hash IN ({known}))"
-    # a shingle lies in at most two windows of each template length
-    windows = f"""flatten(transform(array({', '.join(map(str, sizes))}), s ->
-        transform(array_distinct(flatten(transform(met, x -> filter(array(x.at div s, x.at div s - 1), k -> k >= 0 AND x.at + {SHINGLE} <= (k + 2) * s)))), k ->
-            named_struct('n_words', s, 'first_word', k * s, 'hashes',
-                array_distinct(transform(filter(met, x -> x.at >= k * s AND x.at + {SHINGLE} <= (k + 2) * s), x -> x.hash))))))"""
-    read = docs.select("doc_id", F.array(words(F.col("text"))).alias("one"))
-    read = read.select("doc_id", F.explode(F.expr(f"flatten(transform(filter(transform(filter(one, words -> size(words) >= {SHINGLE}), words -> {met}), met -> size(met) > 0), met -> {windows}))")).alias("w"))
-    each = read.select("doc_id", "w.*")
+    read = docs.select("doc_id", F.xxhash64("text").alias("h"), F.array(words(F.col("text"))).alias("one"))
+    read = read.select("doc_id", "h", F.explode(F.expr(f"flatten(transform(filter(one, words -> size(words) >= {SHINGLE}), words -> {met}))")).alias("x")).select("doc_id", "h", "x.*")
+    # a shingle lies in at most two windows of each template length, and a window holds a bounded number of them
+    places = read.select("doc_id", "h", "at", "hash", F.explode(F.array(*map(F.lit, sizes))).alias("n_words"))
+    places = places.select("doc_id", "h", "at", "hash", "n_words", F.explode(F.expr("array(at div n_words, at div n_words - 1)")).alias("k")).where(f"k >= 0 AND at + {SHINGLE} <= (k + 2) * n_words")
+    each = places.groupBy("doc_id", "h", "n_words", "k").agg(F.collect_set("hash").alias("hashes")).select("doc_id", "n_words", (F.col("k") * F.col("n_words")).alias("first_word"), "hashes")
     pairs = each.withColumn("m", F.explode(_minhashes(bands))).select("doc_id", "n_words", "first_word", "hashes", "m.band", "m.value")
     temp = temps.withColumn("m", F.explode(_minhashes(bands))).select("license", "template", "n_words", F.col("hashes").alias("wanted"), "m.band", "m.value")
     found = pairs.join(F.broadcast(temp), ["n_words", "band", "value"])
