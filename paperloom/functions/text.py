@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space of ECMAScript, as the inside of a Java character class.
 SPACE = r"\t\n\x0B\f\r    -     　﻿"
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: A word boundary over ASCII words. Java's own counts letters of all scripts.
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 #: Fixed values.
@@ -18,7 +19,7 @@ MAX_FILE_NAME, MAX_BASE_NAME, MAX_ERROR, MAX_PROMPT_BODY, MAX_SLUG = 200, 195, 8
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
