@@ -6,7 +6,8 @@ radix, that number's halves pass the Feistel rounds, and the result is written b
 a pseudonym is valid in the same format and as long as the value. Equal values have equal pseudonyms in
 every document, whatever their separators or letter case; different values have different ones. Checksums
 are computed anew; where a format has gaps (dates, social numbers), the permutation is walked until it
-meets a valid value, which keeps it one to one.
+meets a valid value, which keeps it one to one. Where the longest card or account at a place is not valid, shorter
+ones that end at a separator are tried, so an expiry, a security code or a word behind a value does not hide it.
 
 Edge cases: a null text stays null; an empty one has nothing to find; texts are searched whole; repeated
 rows and ids are treated row by row; an empty table gives no rows; clashing columns give way to results.
@@ -220,7 +221,7 @@ class Pseudonymizer:
             kind = m.lastgroup if m.lastgroup in MAKE else next(k for k in MAKE if m[k] is not None)
             new = self.make(kind, m[0])
             if new is None:  # not valid as this kind; another may start inside
-                other = self._others(text, m, kind)
+                other = self._shorter(text, m, kind) or self._others(text, m, kind)
                 if other is None:
                     pos = m.start() + 1
                     continue
@@ -232,6 +233,14 @@ class Pseudonymizer:
             at = pos = end
         return "".join(out) + text[at:], found
 
+    def _shorter(self, text: str, m: re.Match, kind: str) -> tuple[str, int, int, str] | None:
+        """The longest valid value of the same kind that ends at a separator: digits or a word may follow a card or an account."""
+        shape = dict(_COMPILED)[kind]
+        for end in range(m.end() - 1, m.start(), -1) if kind in ("card", "iban") else ():
+            if text[end] in " -" and shape.fullmatch(text, m.start(), end) and (new := self.make(kind, text[m.start() : end])) is not None:
+                return kind, m.start(), end, new
+        return None
+
     def _others(self, text: str, m: re.Match, kind: str) -> tuple[str, int, int, str] | None:
         """A later kind that is valid at the same place."""
         after = False

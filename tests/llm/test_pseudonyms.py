@@ -66,6 +66,16 @@ def test_clean_text_is_left_alone(text):
     assert CHANGE(text) == (text, [])
 
 
+@pytest.mark.parametrize(("kind", "value", "tail"), [
+    ("card", "4111 1111 1111 1111", " 12/27"), ("card", "4111111111111111", " 12/27"), ("card", "4111111111111111", " 123"), ("card", "4111-1111-1111-1111", " 1"), ("card", "4111111111111111", "-123"),
+    ("card", "4111 1111 1111 1111", " 12 3 end"), ("iban", "BE68 5390 0754 7034", " EUR"), ("iban", "BE68 5390 0754 7034", " PAID TO"), ("iban", "BE68539007547034", " A"),
+])
+def test_what_follows_does_not_hide_a_value(kind, value, tail):
+    text, found = CHANGE(f"x {value}{tail}, y")
+    assert found[0] == (kind, 2, 2 + len(value)) and text[2 : 2 + len(value)] == CHANGE(value)[0] != value
+    assert text[2 + len(value) :] == f"{tail}, y"
+
+
 def test_table(spark, odd, empty, documents):
     got = p.pseudonymize(odd).collect()
     assert len(got) == 10 and sum(r["text"] is None for r in got) == 2 and all(not r["found"] for r in got if r["doc_id"] == 4)
