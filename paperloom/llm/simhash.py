@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, rows_of, schema_plus, small_batches, table, written
+from .common import plus, rows_of, schema_plus, small_batches, table, texts_of, written
 from .components import components
 
 SEED = 42
@@ -199,6 +199,8 @@ def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def _cells(edges: list[tuple[int, int]], turns: int = 1):
+    """Every other column goes with the fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -208,17 +210,21 @@ def _cells(edges: list[tuple[int, int]], turns: int = 1):
                 turned = spread(words, turn)
                 for k, (first, width) in enumerate(edges, turn * len(edges)):
                     prefix = (rotated(turned, first) >> np.uint64(64 - width)).astype(np.int64)
-                    yield pa.RecordBatch.from_pydict({"cell": pa.array((k << 16 | prefix) << 40), "fp": batch.column("fp")})
+                    yield pa.RecordBatch.from_pydict({"cell": pa.array((k << 16 | prefix) << 40)} | {n: batch.column(n) for n in batch.schema.names})
 
     return run
 
 
 def _linking(edges: list[tuple[int, int]], distance: int):
+    """Spanning trees of the links in each cell; where fingerprints have labels, all links between two labels."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, fps = [], []
+        cells, fps, labels = [], [], []
         for batch in batches:
             cells.append(batch.column("cell").to_numpy())
             fps.append(as_words(batch.column("fp").to_pylist()))
+            if "label" in batch.schema.names:
+                labels.append(as_words(batch.column("label").to_pylist()))
         if not sum(map(len, cells)):
             return
         cell, words = np.concatenate(cells), np.concatenate(fps)
@@ -228,26 +234,36 @@ def _linking(edges: list[tuple[int, int]], distance: int):
             rank[band == k] = gray_rank(rotated(spread(words[band == k], turn), edges[which][0]))
         order = np.lexsort((rank, cell))
         words = np.ascontiguousarray(words[order])
-        root = roots(len(words), GrayIndex(cell[order], words).links(distance))
-        child = np.flatnonzero(root != np.arange(len(root)))
-        for a in range(0, len(child), 10_000):
-            u, v = (([x.tobytes() for x in words[i].astype(">u8")]) for i in (child[a : a + 10_000], root[child[a : a + 10_000]]))
-            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+        links = GrayIndex(cell[order], words).links(distance)
+        if labels:
+            label = np.concatenate(labels)[order]
+            found = ((a[apart], b[apart]) for a, b in links for apart in [(label[a] != label[b]).any(1)])
+        else:
+            root = roots(len(words), links)
+            child = np.flatnonzero(root != np.arange(len(root)))
+            found = iter([(child, root[child])])
+        for one, other in found:
+            for a in range(0, len(one), 10_000):
+                u, v = (([x.tobytes() for x in words[i].astype(">u8")]) for i in (one[a : a + 10_000], other[a : a + 10_000]))
+                yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
     return run
 
 
 def linked(fps: DataFrame, distance: int = 4, words: int = 1, bands: int | None = None, width: int | None = None, turns: int = 1, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """u, v (binary fingerprints): spanning trees of the links between the distinct fingerprints of ``fps`` (fp)."""
-    edges = band_edges(64 * words, bands or distance + 1, width)
-    cells = fps.select("fp").distinct().mapInArrow(_cells(edges, turns), "cell bigint, fp binary")
+    """u, v (binary fingerprints): spanning trees of the links between the distinct fingerprints of ``fps`` (fp).
+
+    Where ``fps`` has a label (binary, one for each fingerprint), all links between fingerprints of different labels.
+    """
+    edges, held = band_edges(64 * words, bands or distance + 1, width), [n for n in ("fp", "label") if n in fps.columns]
+    cells = fps.select(*held).distinct().mapInArrow(_cells(edges, turns), "cell bigint, " + ", ".join(f"{n} binary" for n in held))
     # at most turns * len(edges) * 2 ** width cells exist, so this table has a fixed bound
     heavy = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("cell", F.ceil(2 * F.col("n") / cell_rows).cast("bigint").alias("blocks"))
     met = cells.join(F.broadcast(heavy), "cell", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     others = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).alias("other")
-    met = met.select("cell", "fp", "own", others).where("own IS NULL OR own <> other")
+    met = met.select("cell", *held, "own", others).where("own IS NULL OR own <> other")
     key = F.when(F.col("own").isNull(), F.col("cell")).otherwise(F.col("cell") + F.least("own", "other") * (1 << 20) + F.greatest("own", "other"))
-    return met.select(key.alias("cell"), "fp").repartition("cell").mapInArrow(_linking(edges, distance), "u binary, v binary")
+    return met.select(key.alias("cell"), *held).repartition("cell").mapInArrow(_linking(edges, distance), "u binary, v binary")
 
 
 def groups(fps: DataFrame, **search) -> DataFrame:
@@ -265,24 +281,68 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     return fps.join(ids, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: For whole documents, five-word shingles: 256 bits tell a similarity of 0.8 (39 differing bits, give or take 6)
-#: from one of 0.7 (49) far better than 64 do. An angle of acos(2 * 0.8 / 1.8) makes 0.151 of bits differ.
-#: Of two texts of similarity 0.8, 0.849 of bits agree: some band of 38 (19 in each of two orders of the bits) is equal
-#: with a probability of 1 - (1 - 0.849 ** 13) ** 38 = 0.99; of 0.9, in all but two pairs of 100 000.
-SHINGLE, WORDS, DISTANCE, BANDS, BAND_BITS, TURNS = 5, 4, 44, 19, 13, 2
+#: For whole documents, five-word shingles of similarity 0.8. An angle of acos(2 * 0.8 / 1.8) makes 0.151 of 256 bits
+#: differ, 39 give or take 6, so 998 in 1000 such pairs are within 55. Some band of 57 (19 in each of three orders of the
+#: bits) is equal with a probability of 1 - (1 - 0.849 ** 13) ** 57 = 0.999. What is within is then compared itself.
+SHINGLE, WORDS, DISTANCE, BANDS, BAND_BITS, TURNS, LEAST = 5, 4, 55, 19, 13, 3, 0.8
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets of shingles (sorted hashes) have a Jaccard similarity of ``least``; two empty ones do."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
 
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of ``pairs`` (u, v: fingerprints) whose texts (``texts``: fp, text) are alike."""
+    small_batches(pairs.sparkSession)
 
-def deduplicated(docs: DataFrame, shingle: int = SHINGLE, words: int = WORDS, distance: int = DISTANCE, bands: int | None = BANDS, width: int | None = BAND_BITS, turns: int = TURNS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, ones in rows_of(batches, "one"):
+            others = texts_of(batch, "other")
+            known: dict[bytes, np.ndarray] = {}
+            sets = ([known[t] if t in known else known.setdefault(t, np.unique(shingle_hashes(t, shingle))) for t in side] for side in (ones, others))
+            keep = pa.array([alike(a, b, least) for a, b in zip(*sets, strict=True)], pa.bool_())
+            yield batch.select(["u", "v"]).filter(keep)
+
+    one, other = (texts.select(F.col("fp").alias(at), F.col("text").alias(name)) for at, name in (("u", "one"), ("v", "other")))
+    return pairs.join(other, "v").join(one, "u").select("u", "v", "one", "other").mapInArrow(run, "u binary, v binary")
+
+
+def similar(fps: DataFrame, each: DataFrame, shingle: int, least: float, **search) -> DataFrame:
+    """u, v: links between alike texts of ``fps`` (fp, text, _row), enough of them to join all that any such links join.
+
+    Fingerprints within the distance make groups. Each member is compared with its group's root; then each pair within the
+    distance of which not both are linked to one root. ``each`` has the row (low._row) whose text stands for a fingerprint.
+    """
+    near = written(groups(fps, **search))
+    members = near.unionByName(near.select(F.col("root").alias("fp"), "root").distinct())
+    rows = members.join(each, "fp").select("fp", F.col("low._row").alias("_row"))
+    texts = written(fps.select("_row", "text").join(rows.hint("merge"), "_row").select("fp", "text"))
+    first = written(confirmed(near.select(F.col("fp").alias("u"), F.col("root").alias("v")), texts, shingle, least))
+    labels = members.join(first.select(F.col("u").alias("fp"), F.col("v").alias("label")), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    parted = labels.where("label <> root").select("root").distinct()
+    left = written(labels.join(parted, "root", "left_semi").select("fp", "label"))
+    return first.unionByName(confirmed(linked(left, **search).distinct(), texts, shingle, least))
+
+
+def deduplicated(
+    docs: DataFrame, shingle: int = SHINGLE, words: int = WORDS, distance: int = DISTANCE, bands: int | None = BANDS, width: int | None = BAND_BITS, turns: int = TURNS, least: float = LEAST
+) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with one row of each component: that of the smallest doc_id.
 
-    Rows of one id and component are equal but for their order; one of them stays. Rows without words are
-    one component, as in ``near_duplicates``.
+    Components are of links between texts whose shingles have a similarity of ``least`` or more; fingerprints only find them.
+    Rows of one fingerprint are one text. Rows of one id and component are equal but for their order; one of them stays.
+    Rows without words are one component, as in ``near_duplicates``.
     """
     names = docs.columns
     docs = docs.withColumnsRenamed({n: f"_kept_{k}" for k, n in enumerate(names) if n not in ("doc_id", "text")})  # none clashes then
     fps = written(fingerprints(docs, shingle, words).withColumn("_row", F.monotonically_increasing_id()))
     each = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("low"))
-    root = each.join(groups(fps, distance=distance, words=words, bands=bands, width=width, turns=turns), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    links = similar(fps, each, shingle, least, distance=distance, words=words, bands=bands, width=width, turns=turns)
+    root = each.join(components(links).select(F.col("u").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     kept = root.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low._row").alias("_row"))
     # texts move once, at every size alike: how many rows stay follows the input, so they are never broadcast
     return fps.join(kept.hint("merge"), "_row", "left_semi").select(*(n if n in ("doc_id", "text") else F.col(f"_kept_{k}").alias(n) for k, n in enumerate(names)))

@@ -136,3 +136,35 @@ def test_deduplication(spark, odd, empty):
     kept = s.deduplicated(odd)
     assert kept.columns == odd.columns and kept.where("fp <> 'old' OR _row <> 'old'").count() == 0 and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 1, 2, 4]
     assert s.deduplicated(empty).count() == 0
+
+
+@pytest.mark.parametrize("cell_rows", [20_000, 20])
+def test_only_similar_texts_are_duplicates(spark, monkeypatch, cell_rows):
+    """The rows that stay are those of components of exact similarity, on pairs and stars of all similarities around 0.8."""
+    monkeypatch.setattr(s.linked, "__defaults__", (*s.linked.__defaults__[:-1], cell_rows))
+    rng = random.Random(11)
+    words, texts = [f"word{k}" for k in range(3000)], []
+    for k in range(60):
+        base = [rng.choice(words) for _ in range(300)]
+        texts.append(base)
+        for j in range(4):  # a changed word changes five of 296 shingles
+            w = list(base)
+            for at in rng.sample(range(0, 300, 5), 3 + (k + 3 * j) % 14):
+                w[at] = f"new{rng.random()}"
+            texts.append(w)
+    texts = [" ".join(w) for w in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = s.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
+    assert 60 < len(set(root)) < 300
+
+
+def test_alike():
+    a = np.arange(100, dtype=np.uint64)
+    assert s.alike(a, a[:80], 0.8) and not s.alike(a, a[:79], 0.8) and s.alike(a[:0], a[:0], 0.8) and not s.alike(a, a[:0], 0.8)
