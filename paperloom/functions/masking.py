@@ -17,20 +17,20 @@ from .text import is_blank
 
 _S = r"[\t\n\x0B\f\r    -     　﻿]"
 _B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-#: Fixed values, in order: rule, type, pattern, flags, group that is masked, whether all matches count.
+#: Fixed values, in order: rule, type, pattern, flags, group that is masked. All matches of a rule count.
 RULES = (
-    ("email", "EMAIL", rf"{_B}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{_B}", 0, 0, True),
-    ("phone_like", "PHONE", rf"{_B}[0-9]{{2,4}}-[0-9Xx]{{2,4}}-[0-9Xx]{{4}}{_B}", 0, 0, True),
-    ("postal_hyphen", "POSTAL_CODE", rf"〒?{_S}*[0-9]{{3}}-[0-9]{{4}}{_B}", 0, 0, True),
-    ("mynumber_12", "JP_MYNUMBER", r"(?<![0-9])[0-9]{12}(?![0-9])", 0, 0, True),
-    ("bank_account_full", "BANK_ACCOUNT", rf"(?:普通|当座){_S}*[0-9]{{7}}(?:[ 　]+[゠-ヿー\-・]{{2,}})?|[0-9]{{7}}[ 　]+[゠-ヿー\-・]{{2,}}", 0, 0, True),
-    ("amount_jpy", "AMOUNT_JPY", rf"(?:^|[\t\n\x0B\f\r    -     　﻿「『])(?:月額|金額|額|振込)?{_S}*([0-9,]+円(?:（[^）]*）)?)", re.M, 1, False),
-    ("label_party", "COMPANY_NAME_HINT", rf"(?:甲|乙)[:：]{_S}*[^\n\r]+", 0, 0, True),
-    ("label_daihyo_long", "PERSON_NAME_HINT", rf"代表取締役{_S}+[^\n\r]{{1,120}}", 0, 0, True),
-    ("label_daihyo_short", "PERSON_NAME_HINT", rf"(?<!代表取締役{_S})(?:代表者|代表){_S}+[^\n\r]{{1,120}}", 0, 0, True),
-    ("label_tanto_line", "PERSON_NAME_HINT", rf"(?:甲側|乙側)?担当[:：]{_S}*[^\n\r]+", 0, 0, True),
-    ("label_shimei", "PERSON_NAME_HINT", rf"氏名[:：]{_S}*[^\n\r]+", 0, 0, True),
-    ("label_company_name", "COMPANY_NAME_HINT", rf"会社名[:：]{_S}*[^\n\r]+", 0, 0, True),
+    ("email", "EMAIL", rf"{_B}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{_B}", 0, 0),
+    ("phone_like", "PHONE", rf"{_B}[0-9]{{2,4}}-[0-9Xx]{{2,4}}-[0-9Xx]{{4}}{_B}", 0, 0),
+    ("postal_hyphen", "POSTAL_CODE", rf"〒?{_S}*[0-9]{{3}}-[0-9]{{4}}{_B}", 0, 0),
+    ("mynumber_12", "JP_MYNUMBER", r"(?<![0-9])[0-9]{12}(?![0-9])", 0, 0),
+    ("bank_account_full", "BANK_ACCOUNT", rf"(?:普通|当座){_S}*[0-9]{{7}}(?:[ 　]+[゠-ヿー\-・]{{2,}})?|[0-9]{{7}}[ 　]+[゠-ヿー\-・]{{2,}}", 0, 0),
+    ("amount_jpy", "AMOUNT_JPY", rf"(?:^|[\t\n\x0B\f\r    -     　﻿「『])(?:月額|金額|額|振込)?{_S}*([0-9,]+円(?:（[^）]*）)?)", re.M, 1),
+    ("label_party", "COMPANY_NAME_HINT", rf"(?:甲|乙)[:：]{_S}*[^\n\r]+", 0, 0),
+    ("label_daihyo_long", "PERSON_NAME_HINT", rf"代表取締役{_S}+[^\n\r]{{1,120}}", 0, 0),
+    ("label_daihyo_short", "PERSON_NAME_HINT", rf"(?<!代表取締役{_S})(?:代表者|代表){_S}+[^\n\r]{{1,120}}", 0, 0),
+    ("label_tanto_line", "PERSON_NAME_HINT", rf"(?:甲側|乙側)?担当[:：]{_S}*[^\n\r]+", 0, 0),
+    ("label_shimei", "PERSON_NAME_HINT", rf"氏名[:：]{_S}*[^\n\r]+", 0, 0),
+    ("label_company_name", "COMPANY_NAME_HINT", rf"会社名[:：]{_S}*[^\n\r]+", 0, 0),
 )
 #: What a text must hold for a rule to match at all; most texts hold none of it, and a look costs far less than a search.
 NEEDS = {
@@ -42,21 +42,19 @@ SPANS = "array<struct<start:int,end:int,type:string,ruleId:string,rule:int>>"
 
 def finder(rules=RULES) -> Callable[[Column], Column]:
     """All matches of all rules, overlaps and all; places count code points."""
-    made = [(k, rule, kind, re.compile(p, flags), group, every) for k, (rule, kind, p, flags, group, every) in enumerate(rules)]
+    made = [(k, rule, kind, re.compile(p, flags), group) for k, (rule, kind, p, flags, group) in enumerate(rules)]
 
     def find(text: str | None) -> list[dict] | None:
         if text is None:
             return None
         out = []
-        for k, rule, kind, pattern, group, every in made:
+        for k, rule, kind, pattern, group in made:
             need = NEEDS.get(rule, "")
             if not (need in text if isinstance(need, str) else need.search(text)):
                 continue
             for m in pattern.finditer(text):
                 if m.end(group) > m.start(group):
                     out.append({"start": m.start(group), "end": m.end(group), "type": kind, "ruleId": rule, "rule": k})
-                if not every:
-                    break
         return out
 
     def spans(texts: pd.Series) -> pd.Series:

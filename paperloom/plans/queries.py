@@ -152,11 +152,11 @@ def dedupe_by_hash(spark: SparkSession, d: str) -> DataFrame:
     return compare.one_of(docs, "contentSha256").select("contentSha256", "id", "n")
 
 
-@query("""WITH old AS (SELECT source, sha256(text) AS sha, doc_id FROM documents WHERE doc_id < 500), one AS (SELECT source, min(doc_id) AS id, arg_min(sha, doc_id) AS sha FROM old GROUP BY source)
+@query("""WITH old AS (SELECT source, sha256(text) AS sha, doc_id FROM documents SEMI JOIN labels USING (doc_id)), one AS (SELECT source, min(doc_id) AS id, arg_min(sha, doc_id) AS sha FROM old GROUP BY source)
     SELECT d.doc_id, one.id AS "existingId", CASE WHEN one.id IS NULL THEN 'create' WHEN one.sha = sha256(d.text) THEN 'skip' ELSE 'overwrite' END AS action FROM documents d LEFT JOIN one USING (source)""")
 def import_action(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("fileId"), text.content_hash(F.col("text")).alias("contentSha256"))
-    stored = docs.where("doc_id < 500").select(F.col("doc_id").alias("id"), "fileId", "contentSha256", F.lit("google_workspace").alias("sourceKind"), F.lit(True).alias("rehydratable"))
+    stored = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "fileId", "contentSha256", F.lit("google_workspace").alias("sourceKind"), F.lit(True).alias("rehydratable"))
     return compare.import_actions(docs, stored).select("doc_id", "existingId", "action")
 
 
@@ -206,14 +206,16 @@ def axis_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.axis_summary(evaluation.evaluated(_conversation_measures(spark, d), "heuristic", F.lit("scan-pdf")))
 
 
-@query(r"""WITH c AS (SELECT lang, regexp_replace(string_agg(text, chr(10) ORDER BY doc_id), '[\s]+', '', 'g') AS corpus FROM documents GROUP BY lang),
-    f AS (SELECT c.lang, b.item_id, regexp_replace(b.text, '[\s]+', '', 'g') AS k, c.corpus FROM c CROSS JOIN benchmark b)
-    SELECT lang AS "docId", round(CAST(count_if(contains(corpus, k)) AS DOUBLE) / count(*), 6) AS "keyFieldRecall", count_if(NOT contains(corpus, k)) AS missing FROM f GROUP BY lang""", whole=("missing",))
+@query(r"""WITH c AS (SELECT conv_id, regexp_replace(string_agg(text, chr(10) ORDER BY turn), '[\s]+', '', 'g') AS corpus FROM conversations GROUP BY conv_id),
+    f AS (SELECT conv_id, text FROM conversations WHERE turn = 1 UNION ALL SELECT conv_id - 1, text FROM conversations WHERE turn = 1),
+    m AS (SELECT conv_id, contains(corpus, regexp_replace(text, '[\s]+', '', 'g')) AS found FROM f JOIN c USING (conv_id))
+    SELECT conv_id AS "docId", round(CAST(count_if(found) AS DOUBLE) / count(*), 6) AS "keyFieldRecall", count_if(NOT found) AS missing FROM m GROUP BY conv_id""", whole=("missing",))
 def semantic_retention(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "documents").select(F.col("lang").alias("docId"), F.col("doc_id").alias("ord"), "text")
-    fields = table(spark, d, "benchmark").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]).alias("expectedFields"))
-    expected = chunks.select("docId").distinct().join(F.broadcast(fields))  # one row of fields
-    got = evaluation.retention(chunks, expected)
+    """Conversations as documents; the answers expected of one are its own first and that of the next."""
+    chunks = table(spark, d, "conversations").select(F.col("conv_id").alias("docId"), F.col("turn").alias("ord"), "text")
+    first = chunks.where("ord = 1").select("docId", "text")
+    fields = first.unionByName(first.withColumn("docId", F.col("docId") - 1)).groupBy("docId").agg(F.collect_list("text").alias("expectedFields"))
+    got = evaluation.retention(chunks, fields.join(chunks.select("docId").distinct(), "docId", "left_semi"))
     return got.select("docId", F.round("keyFieldRecall", 6).alias("keyFieldRecall"), F.size("missingExpectedFields").cast("bigint").alias("missing"))
 
 
@@ -331,11 +333,11 @@ def document_package_partition(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(DOCS + """, rows AS (
-    SELECT CASE WHEN "aiUsePolicy" = 'requires_masking' THEN 'humanReview' ELSE 'included' END AS bucket, 'chunk' AS made FROM lab WHERE doc_id % 2 = 0 AND status <> 'blocked'
-    UNION ALL SELECT CASE WHEN "aiUsePolicy" = 'blocked' OR status = 'masking' OR lang = 'es' THEN 'humanReview' ELSE 'included' END, 'document' FROM lab WHERE doc_id % 2 = 1)
+    SELECT CASE WHEN "aiUsePolicy" = 'requires_masking' THEN 'humanReview' ELSE 'included' END AS bucket, 'chunk' AS made FROM lab WHERE sensitivity <> 'Public' AND status <> 'blocked'
+    UNION ALL SELECT CASE WHEN "aiUsePolicy" = 'blocked' OR status = 'masking' OR lang = 'es' THEN 'humanReview' ELSE 'included' END, 'document' FROM lab WHERE sensitivity = 'Public')
     SELECT bucket, count(*) AS n FROM rows GROUP BY bucket""")
 def chunk_package_partition(spark: SparkSession, d: str) -> DataFrame:
-    chunks = chunking.plain_text_chunks(labelled(spark, d).where("doc_id % 2 = 0")).withColumn("maskedText", F.lit(None).cast("string"))
+    chunks = chunking.plain_text_chunks(labelled(spark, d).where("sensitivity <> 'Public'")).withColumn("maskedText", F.lit(None).cast("string"))
     return packages.chunk_package(_inventory(spark, d), chunks).groupBy("bucket").agg(F.count("*").alias("n"))
 
 

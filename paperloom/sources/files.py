@@ -31,7 +31,7 @@ MAX_SHEETS = 200
 def directory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, modificationTime, length, content of files, with fileName; sorting is up to the reader of the result."""
     got = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return got.withColumn("fileName", F.url_decode(F.regexp_extract("path", "([^/]*)$", 1)))
+    return got.withColumn("fileName", F.url_decode(F.replace(F.regexp_extract("path", "([^/]*)$", 1), F.lit("+"), F.lit("%2B"))))
 
 
 def extension(file_name: Column) -> Column:
@@ -62,13 +62,29 @@ def decoded(content: Column) -> Column:
 SHEETS = "array<struct<sheetName:string,range:string,rows:array<array<string>>>>"
 
 
+#: A cell, quoted or without any quote, and what ends it.
+_CELL = re.compile(r'(?:"(?:[^"]++|"")*+"|[^",\r\n]*+)(,|\r\n|[\r\n]|\Z)')
+
+
+def _misquoted(text: str) -> int | None:
+    """Where the first cell begins that is neither quoted as a whole nor free of quotes."""
+    at = 0
+    while at < len(text):
+        m = _CELL.match(text, at)
+        if not m:
+            return at
+        at = m.end()
+    return None
+
+
 def csv_rows(text: str) -> tuple[list[list[str]], str | None]:
     """Rows of a CSV text, of any widths and without empty lines; or none, and what is wrong."""
-    quoted = text.count('"')
-    if quoted % 2:
-        return [], "CSV parse failed: a quoted field is not closed"
+    text = text.removeprefix("﻿")
+    if '"' in text and (place := _misquoted(text)) is not None:
+        return [], f"CSV parse failed: a quote at {place} neither opens nor closes a field"
+    csv.field_size_limit(2**31 - 1)  # cells of any length; Python's own limit is 131 072
     try:
-        return [r for r in csv.reader(io.StringIO(text.removeprefix("﻿"), newline=""), strict=True) if r], None
+        return [r for r in csv.reader(io.StringIO(text, newline=""), strict=True) if r], None
     except csv.Error as e:
         return [], f"CSV parse failed: {e}"
 

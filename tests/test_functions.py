@@ -165,3 +165,10 @@ def test_chunk_invariants(spark):
     assert chunk.count() == 0
     with pytest.raises(Exception, match="parentDocument.id must match"):
         asserted(row, broken, "chunk").collect()
+
+
+def test_all_amounts_of_a_text_are_masked(spark):
+    df = spark.createDataFrame([("月額 1,000円\n金額 2,000円 と 3円",)], "text string")
+    row = masking.simple_rule(df).first()
+    assert row["maskedContent"] == "月額 [REDACTED:AMOUNT_JPY]\n金額 [REDACTED:AMOUNT_JPY] と [REDACTED:AMOUNT_JPY]"
+    assert row["ruleHits"] == {"amount_jpy": 3}

@@ -145,3 +145,12 @@ def test_streaming(spark, tmp_path):
     q = ingest.ingest(stream, lambda df, k: df.select("contentSha256").write.mode("append").parquet(out), f"{tmp_path}/cp")
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 2
+
+
+def test_csv_cells_of_any_length_and_misplaced_quotes():
+    long = "x" * 140_000
+    assert files.csv_rows(f"a,{long}\n1,2") == ([["a", long], ["1", "2"]], None)
+    assert files.csv_rows('a,"b ""c"", d\n"\r\n\n1,2') == ([["a", 'b "c", d\n'], ["1", "2"]], None)
+    for wrong in ('a"b"c,d', '"a"b,c', '"a', 'a,b"'):
+        rows, error = files.csv_rows(wrong)
+        assert rows == [] and error.startswith("CSV parse failed")
