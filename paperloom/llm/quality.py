@@ -4,10 +4,12 @@ Counts of a document come from one pass over its whole text. Each count becomes
 rate, each rate a bucket of a log-linear histogram (``BITS`` significant bits, so a quantile is
 off by under one part in ``2 ** (BITS - 1)``). Histograms are the quantile sketch: they merge by
 adding counts, in any order, with the same result, so partial sums run before every shuffle and
-a lost task that runs again changes nothing. A group is a language and source; groups of under
-``min_docs`` documents take the sketch of their language, then that of all documents, both merged
-from the groups' own. A rate fails above ``median + width * max(median - lower decile, floor)``:
-the upper half of the data, where the junk lies, does not move its own limit.
+a lost task that runs again changes nothing. A group is a language and source. Its fence is the upper
+quartile plus ``width`` times the distance of the quartiles, so junk that makes up less than a quarter of a
+group does not move it, and no fixed rate is part of it. A group's limit is its fence, drawn towards its
+language's by ``prior`` documents, and that likewise towards the fence of all, as logarithms of 1 and more;
+both come from the groups' own sketches merged. A document's rate fails if its count lies above what the limit allows by more than
+``SIGMAS`` times the root of that and one more: what a short text holds by chance is no evidence.
 
 Edge cases: a null or empty text has no words and fails the base rule; null language or source is a
 group of its own; repeated rows and ids are judged row by row; an empty table gives no rows; input
@@ -30,15 +32,16 @@ SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 BITS = 7
-MIN_DOCS = 50
+PRIOR = 10
 WIDTH = 4
-#: Rate: numerator, factor, denominator, least width of its scale.
+SIGMAS = 3
+#: Rate: numerator, factor, denominator.
 RATES = {
-    "symbols": ("n_symbols", 1000, "n_words", 60),
-    "marks": ("n_marks", 1000, "n_words", 60),
-    "upper": ("n_upper", 1000, "word_chars", 60),
-    "dup_lines": ("n_dup_lines", 1000, "n_lines", 120),
-    "word_len": ("word_chars", 100, "n_words", 300),
+    "symbols": ("n_symbols", 1000, "n_words"),
+    "marks": ("n_marks", 1000, "n_words"),
+    "upper": ("n_upper", 1000, "word_chars"),
+    "dup_lines": ("n_dup_lines", 1000, "n_lines"),
+    "word_len": ("word_chars", 100, "n_words"),
 }
 
 
@@ -91,10 +94,17 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def _rate(name: str) -> Column:
-    top, factor, under, _ = RATES[name]
+    top, factor, under = RATES[name]
     return F.expr(f"({factor} * {top}) div greatest({under}, 1)")
 
 
+def excess(name: str) -> str:
+    """SQL condition (of Spark and DuckDB alike): the count is over the limit by more than chance."""
+    top, factor, under = RATES[name]
+    most = f"(limit_{name} * greatest({under}, 1))"
+    return f"coalesce({factor} * {top} > {most} AND ({factor} * {top} - {most}) * ({factor} * {top} - {most}) > {SIGMAS**2 * factor} * ({most} + {factor}), false)"
+
+
 def bucket_of(v: str) -> str:
     return f"CASE WHEN {v} < {2**BITS} THEN {v} ELSE (length(bin({v})) - {BITS}) * {2 ** (BITS - 1)} + shiftright({v}, length(bin({v})) - {BITS}) END"
 
@@ -116,28 +126,24 @@ def sketch(feats: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "rate", "bucket").agg(F.count("*").alias("n"))
 
 
-def _limits(hist: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """docs and limit of each rate for each value of ``keys``; a group has as many rows as buckets, a few thousand at most."""
+def _fences(hist: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """docs and fence (logarithm of it and 1) of each rate for each value of ``keys``; a group has as many rows as buckets, a few thousand at most."""
     by = Window.partitionBy(*keys, "rate")
     cum = hist.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
     cum = cum.withColumn("up", F.sum("n").over(by.orderBy("bucket"))).withColumn("docs", F.sum("n").over(by))
-    q = cum.groupBy(*keys, "rate").agg(
-        F.max("docs").alias("docs"),
-        F.min(F.expr(f"CASE WHEN 10 * up >= docs THEN {value_of('bucket')} END")).alias("low"),
-        F.min(F.expr(f"CASE WHEN 2 * up >= docs THEN {value_of('bucket')} END")).alias("mid"),
-    )
-    floor = F.create_map(*(F.lit(x) for r, (_, _, _, least) in RATES.items() for x in (r, least)))
-    return q.select(*keys, "rate", "docs", (F.col("mid") + width * F.greatest(F.col("mid") - F.col("low"), floor[F.col("rate")])).alias("limit"))
+    at = lambda k: F.min(F.expr(f"CASE WHEN 4 * up >= {k} * docs THEN {value_of('bucket')} END"))
+    q = cum.groupBy(*keys, "rate").agg(F.max("docs").alias("docs"), at(1).alias("low"), at(3).alias("high"))
+    return q.select(*keys, "rate", "docs", F.expr(f"ln(1 + high + {width} * (high - low))").alias("fence"))
 
 
-def thresholds(hist: DataFrame, min_docs: int = MIN_DOCS, width: int = WIDTH) -> DataFrame:
+def thresholds(hist: DataFrame, prior: int = PRIOR, width: int = WIDTH) -> DataFrame:
     """lang, source and ``limit_<rate>``: one row for each group of the sketch."""
-    own = _limits(hist, ["lang", "source"], width)
-    lang = _limits(hist, ["lang"], width).select(F.col("lang").alias("l_lang"), F.col("rate").alias("l_rate"), F.col("docs").alias("l_docs"), F.col("limit").alias("l_limit"))
-    every = _limits(hist, [], width).select(F.col("rate").alias("a_rate"), F.col("limit").alias("a_limit"))
+    own = _fences(hist, ["lang", "source"], width)
+    lang = _fences(hist, ["lang"], width).select(F.col("lang").alias("l_lang"), F.col("rate").alias("l_rate"), F.col("docs").alias("l_docs"), F.col("fence").alias("l_fence"))
+    every = _fences(hist, [], width).select(F.col("rate").alias("a_rate"), F.col("fence").alias("a_fence"))
     both = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rate") == F.col("l_rate")), "left").join(every, F.col("rate") == F.col("a_rate"), "left")
-    use = F.when(F.col("docs") >= min_docs, F.col("limit")).when(F.col("l_docs") >= min_docs, F.col("l_limit")).otherwise(F.col("a_limit"))
-    return both.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == r, use)).alias(f"limit_{r}") for r in RATES))
+    limit = F.expr(f"exp((docs * fence + {prior} * ((l_docs * l_fence + {prior} * a_fence) / (l_docs + {prior}))) / (docs + {prior})) - 1")
+    return both.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == r, limit)).alias(f"limit_{r}") for r in RATES))
 
 
 def judge(feats: DataFrame, limits: DataFrame) -> DataFrame:
@@ -145,9 +151,7 @@ def judge(feats: DataFrame, limits: DataFrame) -> DataFrame:
     limits = limits.select(F.col("lang").alias("_limits_lang"), F.col("source").alias("_limits_source"), *(f"limit_{r}" for r in RATES))
     feats = feats.drop(*limits.columns)
     met = feats.join(limits, F.col("lang").eqNullSafe(F.col("_limits_lang")) & F.col("source").eqNullSafe(F.col("_limits_source")), "left").drop("_limits_lang", "_limits_source")
-    over = F.lit(False)
-    for r in RATES:
-        over = over | F.coalesce(_rate(r) > F.col(f"limit_{r}"), F.lit(False))
+    over = F.expr(" OR ".join(map(excess, RATES)))
     return met.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over)
 
 
@@ -162,13 +166,13 @@ def counts_only(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_without_text, schema_plus(docs, ("text",), ", ".join(f"{c} bigint" for c in COUNTS)))
 
 
-def apply(docs: DataFrame, min_docs: int = MIN_DOCS, width: int = WIDTH) -> DataFrame:
+def apply(docs: DataFrame, prior: int = PRIOR, width: int = WIDTH) -> DataFrame:
     """``docs`` with counts, limits, base_failed and kept.
 
     Texts are counted twice, for the sketch and for the verdict, and neither stored nor shuffled in between. Limits are
     a table in the shared folder, so that their join knows their size and broadcasts them only if they are small.
     """
-    limits = written(thresholds(sketch(counts_only(docs.select("lang", "source", "text"))), min_docs, width))
+    limits = written(thresholds(sketch(counts_only(docs.select("lang", "source", "text"))), prior, width))
     return judge(features(docs), limits)
 
 

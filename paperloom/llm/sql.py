@@ -14,7 +14,7 @@ def _bucket(v: str) -> str:
 
 
 def _rate(name: str) -> str:
-    top, factor, under, _ = quality.RATES[name]
+    top, factor, under = quality.RATES[name]
     return f"({factor} * {top}) // greatest({under}, 1)"
 
 
@@ -22,16 +22,16 @@ def quality_sql() -> str:
     """Counts, and the verdict by each group's own limits."""
     rates = list(quality.RATES)
     long = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {_rate(r)} AS v FROM f WHERE NOT base_failed" for r in rates)
-    floor = " ".join(f"WHEN '{r}' THEN {quality.RATES[r][3]}" for r in rates)
     value = f"CASE WHEN b < 128 THEN b ELSE (b - {_SHIFT} * 64) << CAST({_SHIFT} AS BIGINT) END"
 
     def limits(keys: str) -> str:
         by = keys + ", " if keys else ""
-        return f"""SELECT {by}rate, max(docs) AS docs, min(CASE WHEN 2 * up >= docs THEN {value} END) + {quality.WIDTH} * greatest(min(CASE WHEN 2 * up >= docs THEN {value} END) - min(CASE WHEN 10 * up >= docs THEN {value} END),
-            CASE rate {floor} END) AS lim FROM (SELECT *, sum(n) OVER (PARTITION BY {by}rate ORDER BY b) AS up, sum(n) OVER (PARTITION BY {by}rate) AS docs FROM (SELECT {by}rate, b, sum(n) AS n FROM hist GROUP BY {by}rate, b)) GROUP BY {by}rate"""
+        low, high = (f"min(CASE WHEN 4 * up >= {k} * docs THEN {value} END)" for k in (1, 3))
+        return f"""SELECT {by}rate, max(docs) AS docs, ln(1 + {high} + {quality.WIDTH} * ({high} - {low})) AS fence
+            FROM (SELECT *, sum(n) OVER (PARTITION BY {by}rate ORDER BY b) AS up, sum(n) OVER (PARTITION BY {by}rate) AS docs FROM (SELECT {by}rate, b, sum(n) AS n FROM hist GROUP BY {by}rate, b)) GROUP BY {by}rate"""
 
     pick = ", ".join(f"max(CASE WHEN rate = '{r}' THEN lim END) AS limit_{r}" for r in rates)
-    over = " OR ".join(f"coalesce({_rate(r)} > limit_{r}, false)" for r in rates)
+    over, k = " OR ".join(map(quality.excess, rates)), quality.PRIOR
     return rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
     w AS MATERIALIZED (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
     g AS (SELECT rid, unnest(grams) AS g, generate_subscripts(grams, 1) AS i FROM (SELECT rid, list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) AS grams FROM w WHERE len(words) >= 5)),
@@ -42,7 +42,7 @@ def quality_sql() -> str:
         FROM w LEFT JOIN rep USING (rid))),
     hist AS MATERIALIZED (SELECT lang, source, rate, {_bucket('v')} AS b, count(*) AS n FROM ({long}) GROUP BY ALL),
     own AS ({limits('lang, source')}), per_lang AS ({limits('lang')}), every AS ({limits('')}),
-    lim AS (SELECT lang, source, {pick} FROM (SELECT own.lang, own.source, own.rate, CASE WHEN own.docs >= {quality.MIN_DOCS} THEN own.lim WHEN l.docs >= {quality.MIN_DOCS} THEN l.lim ELSE e.lim END AS lim
+    lim AS (SELECT lang, source, {pick} FROM (SELECT own.lang, own.source, own.rate, exp((own.docs * own.fence + {k} * ((l.docs * l.fence + {k} * e.fence) / (l.docs + {k}))) / (own.docs + {k})) - 1 AS lim
         FROM own LEFT JOIN per_lang l ON l.lang IS NOT DISTINCT FROM own.lang AND l.rate = own.rate LEFT JOIN every e ON e.rate = own.rate) GROUP BY lang, source)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept
     FROM f LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM f.lang AND lim.source IS NOT DISTINCT FROM f.source"""

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -58,6 +59,33 @@ def test_limits_adapt_to_the_group(spark):
     assert all(got[k] for k in range(100)) and all(got[1000 + k] for k in range(100)) and not got[5000]
 
 
+def test_limits_are_the_groups_own_quantiles(spark):
+    """Fences from sorted rates by hand, drawn to the language's and to all; and a group's own data move its limit."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(("W" if rng.random() < share else "w") + "ord" * rng.randrange(1, 4) + str(rng.random()) for _ in range(40)), lang, source) for k in range(400) for lang, source, share in [rng.choice([("en", "a", 0.1), ("en", "b", 0.6), ("de", "a", 0.3), (None, "c", 0.0)])]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    feats = q.features(df).where(~q.base_failed())
+    got = {(r["lang"], r["source"]): r for r in q.thresholds(q.sketch(feats)).collect()}
+    data = feats.collect()
+    for rate, (top, factor, under) in q.RATES.items():
+        exact = lambda v: v if v < 2**q.BITS else v >> (v.bit_length() - q.BITS) << (v.bit_length() - q.BITS)
+
+        def fence(rs):
+            v = sorted(exact(factor * r[top] // max(r[under], 1)) for r in rs)
+            low, high = v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]
+            return len(v), math.log(1 + high + q.WIDTH * (high - low))
+
+        _, every = fence(data)
+        for (lang, source), row in got.items():
+            nl, fl = fence([r for r in data if r["lang"] == lang])
+            n, f = fence([r for r in data if (r["lang"], r["source"]) == (lang, source)])
+            assert abs(math.log(1 + row[f"limit_{rate}"]) - (n * f + q.PRIOR * (nl * fl + q.PRIOR * every) / (nl + q.PRIOR)) / (n + q.PRIOR)) < 1e-6
+    assert got["en", "b"]["limit_upper"] > got["en", "a"]["limit_upper"] + 20
+    shouting = q.features(df.withColumn("text", F.when(F.col("source") == "a", F.upper("text")).otherwise(F.col("text"))))
+    after = {(r["lang"], r["source"]): r for r in q.thresholds(q.sketch(shouting.where(~q.base_failed()))).collect()}
+    assert after["en", "a"]["limit_upper"] > 2 * got["en", "a"]["limit_upper"]
+
+
 def test_odd_rows(odd, empty):
     got = q.apply(odd)
     rows = got.collect()
