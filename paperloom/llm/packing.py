@@ -25,10 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import bounded, small_batches, table
 
 MAX_EXPONENT = 10
 END_ID = 0
+#: Fixed value: the string that the vocabulary adds to its merges.
+SPECIAL = {"<|endoftext|>": 50256}
+#: Ids that a task holds before it hands on their pieces; one document may have more.
+HELD_IDS = 1 << 20
 SCHEMA = "doc_id bigint, start bigint, length bigint, bucket int, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -46,7 +50,14 @@ def encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+
+
+def ids_of(path: str, text: str) -> list[int]:
+    """Ids of the whole text, as the vocabulary's JSON form gives them: its added strings are one id wherever they are."""
+    if any(s in text for s in SPECIAL):
+        return encoder(path).encode(text, allowed_special="all")
+    return encoder(path).encode_ordinary(text)
 
 
 def pieces(n: int, max_exponent: int = MAX_EXPONENT) -> list[tuple[int, int]]:
@@ -67,19 +78,24 @@ def pack(docs: DataFrame, path: str | None = None, max_exponent: int = MAX_EXPON
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path).encode_ordinary, TaskContext.get().partitionId()
-        count = [0] * (max_exponent + 1)
-        for batch in batches:
-            rows = []
+        part = TaskContext.get().partitionId()
+        count, rows, held = [0] * (max_exponent + 1), [], 0
+        for batch in bounded(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), end_id], "<u4")
+                ids = np.array([*ids_of(path, text or ""), end_id], "<u4")
                 for start, e in pieces(len(ids), max_exponent):
                     rows.append((doc, start, 1 << e, e, len(ids), e << 56 | part << 32 | count[e], 0, ids[start : start + (1 << e)].tobytes()))
                     count[e] += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.binary()], strict=True)], [c.split()[0] for c in SCHEMA.split(", ")]
-                )
+                held += len(ids)
+                if held >= HELD_IDS:
+                    yield made(rows)
+                    rows, held = [], 0
+        if rows:
+            yield made(rows)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(cut, SCHEMA)
 

@@ -11,9 +11,7 @@ from paperloom.llm import packing
 def reference():
     import public_tokenizers
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def held(rows, texts):
@@ -57,6 +55,6 @@ def test_odd_rows(odd, empty):
     assert packing.pack(empty).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a  b\n\n c\t", "naïve café — “x”", "日本語 のテスト ①²", "😀👩‍👩‍👧 ‍ x", "1234567 3.14 it's we'll I'M", "<|endoftext|> x", "a" * 500, "  　 x y"])
+@pytest.mark.parametrize("text", ["a  b\n\n c\t", "naïve café — “x”", "日本語 のテスト ①²", "😀👩‍👩‍👧 ‍ x", "1234567 3.14 it's we'll I'M", "<|endoftext|> x", "a<|endoftext|>b <|endoftext|><|endoftext|", "a" * 500, "  　 x y"])
 def test_same_ids_as_the_json_vocabulary(text):
-    assert packing.encoder(packing.vocabulary()).encode_ordinary(text) == reference().encode(text, add_special_tokens=False).ids
+    assert packing.ids_of(packing.vocabulary(), text) == reference().encode(text, add_special_tokens=False).ids
