@@ -11,11 +11,15 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch. Texts can be long, so a batch holds few of them.
 BATCH_ROWS = 256
+#: Text bytes that a worker takes from a batch at once; one text may be longer.
+BATCH_BYTES = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds what a Python worker holds at once: rows of long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +45,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI with the scheme that the cluster's default file system gives it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(where).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def written(df: DataFrame, partition_by: Iterable[str] = ()) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here, lost executors lose nothing."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
@@ -60,14 +72,25 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Batches with rows, with their texts; at the end, memory that this worker no longer needs goes back to the system."""
+def bounded(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices with rows, of at most ``BATCH_BYTES`` of ``column`` or one row; at the end, memory that this worker no longer needs goes back to the system."""
     for batch in batches:
-        if batch.num_rows:
-            yield batch, texts_of(batch, column)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, "right")))
+            yield batch.slice(at, end - at)
+            at = end
     release()
 
 
+def rows_of(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """``bounded`` batches with their texts."""
+    for batch in bounded(batches, column):
+        yield batch, texts_of(batch, column)
+
+
 def release() -> None:
     """Workers live on between tasks; what their allocators keep would count against their executor."""
     gc.collect()

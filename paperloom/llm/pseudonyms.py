@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, schema_plus, small_batches, table
+from .common import bounded, plus, schema_plus, small_batches, table
 
 KEY = b"replace this key in production"
 ROUNDS = 8
@@ -262,7 +262,7 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = Pseudonymizer(key)
-        for batch in batches:
+        for batch in bounded(batches):
             got = [change(t) if t else (t, []) for t in batch.column("text").to_pylist()]
             yield plus(batch, (), {"text": pa.array([t for t, _ in got], pa.string()), "found": pa.array([[dict(zip(("kind", "start", "end"), f, strict=True)) for f in fs] for _, fs in got], kind)})
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, table
+from .common import bounded, qualified, release, shared_dir, small_batches, table
 
 ROLL_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
@@ -83,7 +83,7 @@ def _writing(folder: str, roll_bytes: int):
             return (f"{temporary}/{name}", f"{base}/{name}", len(pages), size, pages[0], pages[-1])
 
         last = marked = None
-        for batch in batches:
+        for batch in bounded(batches, "html"):
             for page_id, digest, is_page, url, html, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "digest", "is_page", "url", "html", "first")), strict=True):
                 if not is_page:  # says of the pages of this id and payload that they revisit another
                     marked = (page_id, digest, first)
@@ -140,12 +140,15 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     pages = pages.select("page_id", "url", "html").withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     firsts = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # only ids and digests meet the first pages; payloads move once, and marks of revisits are sorted in before them
+    # first pages are dealt out otherwise than their aggregation left them, so the join shuffles both sides and can split a hot digest
+    firsts = firsts.repartition(F.xxhash64("digest", F.lit(1)))
     marks = pages.select("page_id", "digest").join(firsts, "digest").where(F.col("page_id") > F.col("first")).distinct()
     both = pages.withColumn("is_page", F.lit(True)).unionByName(marks.withColumn("is_page", F.lit(False)), allowMissingColumns=True)
     near = both.repartitionByRange(shards, "page_id", "digest").sortWithinPartitions("page_id", "digest", "is_page", "url")
-    near.mapInArrow(_writing(folder, roll_bytes), FILES).write.parquet(f"{folder}/_listed")
+    few = 1 + shards // 64  # lists have a row for each archive, so a few files hold them
+    near.mapInArrow(_writing(folder, roll_bytes), FILES).repartition(few).write.parquet(f"{folder}/_listed")
     listed = spark.read.parquet(f"{folder}/_listed")
-    listed.repartition(shards, "path").mapInArrow(_committing(folder), FILES.split(", ", 1)[1]).write.json(f"{folder}/manifest")
+    listed.repartition(shards, "path").mapInArrow(_committing(folder), FILES.split(", ", 1)[1]).repartition(few).write.json(f"{folder}/manifest")
     path = spark._jvm.org.apache.hadoop.fs.Path
     store = path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     for gone in ("_temporary", "_listed"):
@@ -204,6 +207,7 @@ def _reading(folder: str, payloads: bool):
                             rows, held = [], 0
                 if rows:
                     yield made(rows)
+        release()
 
     return run
 
@@ -215,7 +219,6 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_dir(spark)
-    folder = folder if "://" in folder else f"file://{folder}"
+    folder = qualified(spark, shared_dir(spark))
     manifest = write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(manifest, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
