@@ -7,7 +7,11 @@ a pseudonym is valid in the same format and as long as the value. Equal values h
 every document, whatever their separators or letter case; different values have different ones. Checksums
 are computed anew; where a format has gaps (dates, social numbers), the permutation is walked until it
 meets a valid value, which keeps it one to one. Where the longest card or account at a place is not valid, shorter
-ones that end at a separator are tried, so an expiry, a security code or a word behind a value does not hide it.
+ones that end at a separator are tried, so an expiry, a security code or a word behind a value does not hide it;
+a card or account that begins inside what would otherwise be a phone number goes first.
+
+The key is a parameter, or the session's ``spark.paperloom.pseudonym.key``; where neither is set the session draws a
+random one, which nothing else knows. Whoever has the key can undo the pseudonyms.
 
 Edge cases: a null text stays null; an empty one has nothing to find; texts are searched whole; repeated
 rows and ids are treated row by row; an empty table gives no rows; clashing columns give way to results.
@@ -18,6 +22,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded, plus, schema_plus, small_batches, table
 
-KEY = b"replace this key in production"
+#: Where a session has its key. Without one it makes its own, and its pseudonyms then link its own documents only.
+KEY = "spark.paperloom.pseudonym.key"
 ROUNDS = 8
 _B, _E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 SHAPES = (
@@ -38,7 +44,7 @@ SHAPES = (
     ("ip", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"),
     ("date", r"(?<![0-9A-Za-z./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"),
-    ("card", r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])"),
+    ("card", r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|\.[0-9])"),
     ("phone", r"(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}" + _E),
 )
 FIND = re.compile("|".join(f"(?P<{kind}>{shape.replace(chr(92) + '1', '(?P=sep1)').replace(chr(92) + '2', '(?P=sep2)').replace('([-/.])', '(?P<sep1>[-/.])', 1).replace('([-/.])', '(?P<sep2>[-/.])', 1)})" for kind, shape in SHAPES))
@@ -208,7 +214,7 @@ MAKE = {"email": _email, "key": _key, "secret": _secret, "iban": _iban, "ip": _i
 
 
 class Pseudonymizer:
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         perm = Permutation(key)
         self.make = lru_cache(100_000)(lambda kind, value: MAKE[kind](perm, value))
 
@@ -228,6 +234,8 @@ class Pseudonymizer:
                 kind, start, end, new = other
             else:
                 start, end = m.span()
+            if kind == "phone":
+                kind, start, end, new = self._inside(text, start, end) or (kind, start, end, new)
             out += (text[at:start], new)
             found.append((kind, start, end))
             at = pos = end
@@ -241,6 +249,19 @@ class Pseudonymizer:
                 return kind, m.start(), end, new
         return None
 
+    def _inside(self, text: str, start: int, end: int) -> tuple[str, int, int, str] | None:
+        """The first valid card or account that begins inside a phone number: a checksum says more than a shape."""
+        found = []
+        for kind in ("iban", "card"):
+            shape, at = dict(_COMPILED)[kind], start + 1
+            while (m := shape.search(text, at)) and m.start() < end:
+                got = (kind, *m.span(), new) if (new := self.make(kind, m[0])) is not None else self._shorter(text, m, kind)
+                if got:
+                    found.append(got)
+                    break
+                at = m.start() + 1
+        return min(found, key=lambda f: f[1], default=None)
+
     def _others(self, text: str, m: re.Match, kind: str) -> tuple[str, int, int, str] | None:
         """A later kind that is valid at the same place."""
         after = False
@@ -255,9 +276,18 @@ _COMPILED = [(kind, re.compile(shape)) for kind, shape in SHAPES[:5]] + [("date"
 FOUND = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    key = spark.conf.get(KEY, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY, key)
+    return key.encode()
+
+
+def pseudonymize(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """``docs`` with text replaced and ``found``: kind, start and end of each pseudonym, in code points."""
     small_batches(docs.sparkSession)
+    key = key or session_key(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

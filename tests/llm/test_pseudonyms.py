@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 
 import pytest
@@ -76,6 +77,39 @@ def test_what_follows_does_not_hide_a_value(kind, value, tail):
     assert text[2 + len(value) :] == f"{tail}, y"
 
 
+def test_neighbours_hide_no_value():
+    """No planted card or account stays in clear, whatever numbers and words stand beside it."""
+    rng = random.Random(2)
+
+    def card():
+        d = [rng.choice([3, 4, 5, 6]), *(rng.randrange(10) for _ in range(14))]
+        d = "".join(map(str, [*d, p.luhn(d)]))
+        return rng.choice([d, " ".join(d[k : k + 4] for k in range(0, 16, 4)), "-".join(d[k : k + 4] for k in range(0, 16, 4))])
+
+    def account():
+        rest = "".join(str(rng.randrange(10)) for _ in range(12))
+        bare = f"BE{p.iban_check('BE', rest):02}{rest}"
+        return rng.choice([bare, " ".join(bare[k : k + 4] for k in range(0, 16, 4))])
+
+    beside = ["12", "123", "12/27", "x", "THIS", "BANK", "2024-01-02", "7", "EUR 5", "+1 202-555-0123", "cvv 123", ""]
+    left = 0
+    for _ in range(3000):
+        values = [rng.choice([card, account])() for _ in range(rng.randrange(1, 4))]
+        text = rng.choice(beside)
+        for v in values:
+            text += f"{rng.choice([' ', ', ', '; ', ' (', ': '])}{v}{rng.choice([' ', ', ', ') ', '. '])}{rng.choice(beside)}"
+        new, found = CHANGE(text)
+        assert len(new) == len(text) and all(a == b for k, (a, b) in enumerate(zip(text, new, strict=True)) if not any(f[1] <= k < f[2] for f in found))
+        left += sum(v in new for v in values)
+    assert left == 0
+
+
+def test_the_key_is_the_sessions(spark):
+    df = spark.createDataFrame([(1, "4111 1111 1111 1111")], "doc_id bigint, text string")
+    one, two = (p.pseudonymize(df).first()["text"] for _ in range(2))
+    assert one == two == p.pseudonymize(df, spark.conf.get(p.KEY).encode()).first()["text"] != p.pseudonymize(df, b"another").first()["text"]
+
+
 def test_table(spark, odd, empty, documents):
     got = p.pseudonymize(odd).collect()
     assert len(got) == 10 and sum(r["text"] is None for r in got) == 2 and all(not r["found"] for r in got if r["doc_id"] == 4)
