@@ -18,9 +18,9 @@ def _round(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _apart(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    least = _apart(large.groupBy("u").agg(F.min("v").alias("m")))
-    met = large.join(least, "u").select("u", "v", "m")
-    return met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    met = large.join(_apart(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return met.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _apart(minima: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Near-duplicates by SimHash and a Gray-order hierarchical index.
 
 A fingerprint bit is the majority of that bit over the hashes of a text's word shingles. Distinct
-fingerprints meet in cells: a fingerprint is rotated so that each of its bands comes to the top in turn,
-and one cell holds those that agree in a band. With ``distance + 1`` disjoint bands (the default) some
-band of any linked pair is equal, so no link is lost. Within a task, cells are sorted by the Gray rank of
-the rotated fingerprint, which keeps cells together and neighbours close. Leaves of ``FAN`` neighbours
+fingerprints meet in cells. Those of one word are cut into ``distance + 3`` blocks, and a cell holds those that
+agree in three of them: whatever differs in ``distance`` bits agrees in three blocks, so no link is lost, and
+cells of some 27 bits stay small for thousands of millions of texts. Wider ones meet where they agree in a band.
+Within a task, cells are sorted by the Gray rank of
+the fingerprint, which keeps cells together and neighbours close. Leaves of ``FAN`` neighbours
 and the nodes above them hold the bits that all below share, as a mask and a pattern; a search adds up
 the differences in newly shared bits while it goes down, and drops a whole group once they pass the
 distance. A cell that holds over ``cell_rows`` fingerprints is cut into blocks, and each pair of blocks is
@@ -20,20 +21,24 @@ rows; input columns that clash with a result column give way to it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, rows_of, schema_plus, small_batches, table, texts_of, written
+from .common import plus, release, rows_of, schema_plus, small_batches, table, texts_of, written
 from .components import components
 
 SEED = 42
 FAN = 8
 CELL_ROWS = 20_000
 FRONTIER = 1 << 21
+#: Blocks that agree in a cell: a distance of 4 makes 7 blocks of 9 or 10 bits, and 35 keys of three.
+CHOOSE = 3
+SALTS = 16
 #: Odd, so that multiples run through all places of a power of two.
 STRIDES = (1, 37, 91)
 LANES = np.uint64(0x0101010101010101)
@@ -128,9 +133,11 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Nodes of each level, leaves' entries first: first and last entry, mask of shared bits, pattern of these."""
 
-    def __init__(self, cells: np.ndarray, words: np.ndarray):
-        """Entries sorted by cell, then Gray rank."""
-        self.words = words
+    def __init__(self, cells: np.ndarray, words: np.ndarray, label: np.ndarray | None = None):
+        """Entries sorted by cell, then Gray rank. With labels (integers), only links between two labels are of interest."""
+        self.words, self.label = words, label
+        least = most = label
+        self.same = [label]  # of each node the label that all entries below share, or -1
         n, w = words.shape
         ones = np.full((n, w), ~np.uint64(0))
         self.levels = [(np.arange(n), np.arange(1, n + 1), np.arange(n), ones, words)]
@@ -148,9 +155,12 @@ class GrayIndex:
             self.levels.append((first[begin], last[ends - 1], begin, mask, low & mask))
             first, last, cell = first[begin], last[ends - 1], cell[begin]
             self.levels[-1] += (ends,)
+            if label is not None:
+                least, most = np.minimum.reduceat(least, begin), np.maximum.reduceat(most, begin)
+                self.same.append(np.where(least == most, least, -1))
 
-    def links(self, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of entries a < b of one cell that differ in at most ``distance`` bits."""
+    def links(self, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of entries a < b of one cell that differ in at most ``distance`` bits, and in how many; groups of one label drop out as a whole."""
         top = len(self.levels) - 1
         first, last, _, mask, pattern, *_ = self.levels[top]
         q = np.arange(len(self.words))
@@ -161,7 +171,7 @@ class GrayIndex:
             level, q, node, acc = stack.pop()
             if level == 0:
                 if len(q):
-                    yield q, node
+                    yield q, node, acc
                 continue
             if len(q) > FRONTIER // FAN:
                 half = len(q) // 2
@@ -172,6 +182,8 @@ class GrayIndex:
             child = np.repeat(begin[node], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             q, above, acc = np.repeat(q, times), np.repeat(node, times), np.repeat(acc, times)
             later = self.levels[level - 1][1][child] - 1 > q if level > 1 else child > q
+            if self.label is not None:
+                later &= self.same[level - 1][child] != self.label[q]
             q, above, acc, child = q[later], above[later], acc[later], child[later]
             fresh = self.levels[level - 1][3][child] & ~self.levels[level][3][above]
             acc = acc + np.bitwise_count((self.words[q] ^ self.levels[level - 1][4][child]) & fresh).sum(1, dtype=np.int64)
@@ -179,10 +191,10 @@ class GrayIndex:
             stack.append((level - 1, q[near], child[near], acc[near]))
 
 
-def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def roots(n: int, pairs: Iterator[tuple[np.ndarray, ...]]) -> np.ndarray:
     """The least member of each entry's component, by hooking and pointer jumping on arrays."""
     root = np.arange(n)
-    for a, b in pairs:
+    for a, b, *_ in pairs:
         while True:
             ra, rb = root[a], root[b]
             apart = ra != rb
@@ -198,25 +210,40 @@ def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return root
 
 
-def _cells(edges: list[tuple[int, int]], turns: int = 1):
-    """Every other column goes with the fingerprint."""
-
+def _cells(edges: list[tuple[int, int]], turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words = as_words(batch.column("fp").to_pylist())
-            for turn in range(turns):
-                turned = spread(words, turn)
-                for k, (first, width) in enumerate(edges, turn * len(edges)):
-                    prefix = (rotated(turned, first) >> np.uint64(64 - width)).astype(np.int64)
-                    yield pa.RecordBatch.from_pydict({"cell": pa.array((k << 16 | prefix) << 40)} | {n: batch.column(n) for n in batch.schema.names})
+            words = spread(as_words(batch.column("fp").to_pylist()), turn)
+            for k, (first, width) in enumerate(edges):
+                prefix = (rotated(words, first) >> np.uint64(64 - width)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"cell": pa.array((k << 16 | prefix) << 40)} | {n: batch.column(n) for n in batch.schema.names})
 
     return run
 
 
-def _linking(edges: list[tuple[int, int]], distance: int):
-    """Spanning trees of the links in each cell; where fingerprints have labels, all links between two labels."""
+def block_masks(distance: int, choose: int) -> list[int]:
+    """Masks of each choice of ``choose`` among ``distance + choose`` blocks of 64 bits; what differs in ``distance`` bits agrees under one."""
+    blocks = [sum(1 << (63 - b) for b in range(first, first + width)) for first, width in band_edges(64, distance + choose, None)]
+    return [sum(some) for some in combinations(blocks, choose)]
+
+
+def _block_cells(masks: list[int]):
+    """A cell is a number made of a mask and the bits under it; where two make the same number, they share a cell and nothing is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                words = as_words(batch.column("fp").to_pylist())[:, 0]
+                for k, mask in enumerate(masks, 1):
+                    yield pa.RecordBatch.from_pydict({"cell": pa.array(_mixed(words & np.uint64(mask), k).view(np.int64))} | {n: batch.column(n) for n in batch.schema.names})
+
+    return run
+
+
+def _linking(distance: int):
+    """Spanning trees of the links of a task's cells; where fingerprints have labels, of the links between labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, fps, labels = [], [], []
@@ -228,56 +255,67 @@ def _linking(edges: list[tuple[int, int]], distance: int):
         if not sum(map(len, cells)):
             return
         cell, words = np.concatenate(cells), np.concatenate(fps)
-        band, rank = cell >> 56, np.empty(len(cell), np.uint64)
-        for k in np.unique(band).tolist():
-            turn, which = divmod(k, len(edges))
-            rank[band == k] = gray_rank(rotated(spread(words[band == k], turn), edges[which][0]))
-        order = np.lexsort((rank, cell))
-        words = np.ascontiguousarray(words[order])
-        links = GrayIndex(cell[order], words).links(distance)
-        if labels:
-            label = np.concatenate(labels)[order]
-            found = ((a[apart], b[apart]) for a, b in links for apart in [(label[a] != label[b]).any(1)])
-        else:
-            root = roots(len(words), links)
-            child = np.flatnonzero(root != np.arange(len(root)))
-            found = iter([(child, root[child])])
-        for one, other in found:
-            for a in range(0, len(one), 10_000):
-                u, v = (([x.tobytes() for x in words[i].astype(">u8")]) for i in (one[a : a + 10_000], other[a : a + 10_000]))
-                yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+        order = np.lexsort((gray_rank(words[:, 0]), cell))
+        names, label = np.unique((np.concatenate(labels) if labels else words)[order], axis=0, return_inverse=True)
+        label = label.ravel()
+        links = GrayIndex(cell[order], np.ascontiguousarray(words[order]), label if labels else None).links(distance)
+        # names are sorted, so trees hang from their least one
+        root = roots(len(names), ((label[a], label[b]) for a, b, _ in links))
+        child = np.flatnonzero(root != np.arange(len(root)))
+        for a in range(0, len(child), 10_000):
+            u, v = (([x.tobytes() for x in names[i].astype(">u8")]) for i in (child[a : a + 10_000], root[child[a : a + 10_000]]))
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+        release()
 
     return run
 
 
-def linked(fps: DataFrame, distance: int = 4, words: int = 1, bands: int | None = None, width: int | None = None, turns: int = 1, cell_rows: int = CELL_ROWS) -> DataFrame:
+def linked(fps: DataFrame, distance: int = 4, words: int = 1, bands: int | None = None, width: int | None = None, turn: int = 0, cell_rows: int = CELL_ROWS) -> DataFrame:
     """u, v (binary fingerprints): spanning trees of the links between the distinct fingerprints of ``fps`` (fp).
 
-    Where ``fps`` has a label (binary, one for each fingerprint), all links between fingerprints of different labels.
+    With a label (binary) for each fingerprint, they are trees of labels, of the links between different ones. Fingerprints
+    of one word without ``bands`` meet under block masks, so no link is lost; others meet in the bands of one ``turn``.
     """
-    edges, held = band_edges(64 * words, bands or distance + 1, width), [n for n in ("fp", "label") if n in fps.columns]
-    cells = fps.select(*held).distinct().mapInArrow(_cells(edges, turns), "cell bigint, " + ", ".join(f"{n} binary" for n in held))
-    # at most turns * len(edges) * 2 ** width cells exist, so this table has a fixed bound
-    heavy = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("cell", F.ceil(2 * F.col("n") / cell_rows).cast("bigint").alias("blocks"))
-    met = cells.join(F.broadcast(heavy), "cell", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    held = [n for n in ("fp", "label") if n in fps.columns]
+    cut = _cells(band_edges(64 * words, bands or distance + 1, width), turn) if bands or words > 1 else _block_cells(block_masks(distance, CHOOSE))
+    cells = fps.select(*held).distinct().mapInArrow(cut, "cell bigint, " + ", ".join(f"{n} binary" for n in held))
+    # a table of the shared folder, so that its join knows its size and broadcasts it only if it is small
+    heavy = written(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("cell", F.ceil(2 * F.col("n") / cell_rows).cast("bigint").alias("blocks")))
+    met = cells.join(heavy, "cell", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     others = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).alias("other")
     met = met.select("cell", *held, "own", others).where("own IS NULL OR own <> other")
-    key = F.when(F.col("own").isNull(), F.col("cell")).otherwise(F.col("cell") + F.least("own", "other") * (1 << 20) + F.greatest("own", "other"))
-    return met.select(key.alias("cell"), *held).repartition("cell").mapInArrow(_linking(edges, distance), "u binary, v binary")
+    key = F.when(F.col("own").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")))
+    return met.select(key.alias("cell"), *held).repartition("cell").mapInArrow(_linking(distance), "u binary, v binary")
 
 
-def groups(fps: DataFrame, **search) -> DataFrame:
-    """fp, root (binary): the component of each fingerprint that has a link to a lesser one."""
-    return components(linked(fps, **search)).select(F.col("u").alias("fp"), "root")
+def groups(fps: DataFrame, turns: int = 1, **search) -> DataFrame:
+    """fp, root (binary): the component of each fingerprint that has a link to a lesser one.
+
+    After each turn, what has been joined goes by one label, so later turns look for links between labels only.
+    """
+    labels = None
+    for turn in range(turns):
+        given = fps if labels is None else fps.select("fp").distinct().join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        found = components(linked(given, turn=turn, **search)).select(F.col("u").alias("fp"), F.col("root").alias("label"))
+        if labels is None:
+            labels = found
+            continue
+        further = found.select(F.col("fp").alias("label"), F.col("label").alias("to")).repartition(F.xxhash64("label", F.lit(1)))
+        labels = written(labels.join(further, "label", "left").select("fp", F.coalesce("to", "label").alias("label")).unionByName(found))
+    return labels.withColumnRenamed("label", "root")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (the smallest doc_id of its component) for each row of ``docs``."""
     fps = written(fingerprints(docs.select("doc_id", "text"), shingle).drop("text"))
     each = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    root = each.join(groups(fps, distance=distance), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = root.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = written(root.join(least, "root").select("fp", "component_id"))
+    linked_to = groups(fps, distance=distance)
+    members = linked_to.unionByName(linked_to.select(F.col("root").alias("fp"), "root").distinct()).join(each, "fp")
+    # salted, so that a component of any size spreads
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt")
+    least = members.groupBy("root").agg(F.min("low").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    found = members.select("fp", "root", salt).join(least, ["root", "salt"]).select("fp", "component_id")
+    ids = written(each.join(found, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id")))
     return fps.join(ids, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
@@ -285,13 +323,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
 #: differ, 39 give or take 6, so 998 in 1000 such pairs are within 55. Some band of 57 (19 in each of three orders of the
 #: bits) is equal with a probability of 1 - (1 - 0.849 ** 13) ** 57 = 0.999. What is within is then compared itself.
 SHINGLE, WORDS, DISTANCE, BANDS, BAND_BITS, TURNS, LEAST = 5, 4, 55, 19, 13, 3, 0.8
+#: What a block of texts holds at most, about: a cell is two blocks. One text may be longer.
+BLOCK_TEXTS, BLOCK_BYTES = 128, 1 << 21
 
 
-def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether two sets of shingles (sorted hashes) have a Jaccard similarity of ``least``; two empty ones do."""
+def alike(a: set[int], b: set[int], least: float) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of ``least``; two empty ones do."""
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = len(a & b)
     return both >= least * (len(a) + len(b) - both)
 
 
@@ -302,8 +342,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ones in rows_of(batches, "one"):
             others = texts_of(batch, "other")
-            known: dict[bytes, np.ndarray] = {}
-            sets = ([known[t] if t in known else known.setdefault(t, np.unique(shingle_hashes(t, shingle))) for t in side] for side in (ones, others))
+            known: dict[bytes, set[int]] = {}
+            sets = ([known[t] if t in known else known.setdefault(t, set(shingle_hashes(t, shingle).tolist())) for t in side] for side in (ones, others))
             keep = pa.array([alike(a, b, least) for a, b in zip(*sets, strict=True)], pa.bool_())
             yield batch.select(["u", "v"]).filter(keep)
 
@@ -311,21 +351,101 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return pairs.join(other, "v").join(one, "u").select("u", "v", "one", "other").mapInArrow(run, "u binary, v binary")
 
 
+class Comparison:
+    """Exact comparison of the texts of one cell: pairs of different labels that the index finds, nearest first, until all that are alike are joined."""
+
+    def __init__(self, distance: int, shingle: int, least: float):
+        self.distance, self.shingle, self.least = distance, shingle, least
+
+    def links(self, fps: list[bytes], labels: list[bytes], blocks: list[int], texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        words = as_words(fps)
+        order = np.argsort(gray_rank(words[:, 0]), kind="stable")
+        words = np.ascontiguousarray(words[order])
+        known: dict[bytes, int] = {}
+        label, block = (np.array(x)[order] for x in ([known.setdefault(x, len(known)) for x in labels], blocks))
+        found = list(GrayIndex(np.zeros(len(fps), np.int64), words, label).links(self.distance))
+        if not found:
+            return []
+        one, other, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+        if block.min() != block.max():  # two blocks meet; each has a cell for its own pairs
+            across = block[one] != block[other]
+            one, other, bits = one[across], other[across], bits[across]
+        nearest = np.argsort(bits, kind="stable")
+        root, sets, out = list(range(len(known))), {}, []
+
+        def up(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        def shingles(k: int) -> set[int]:
+            if k not in sets:
+                sets[k] = set(shingle_hashes(texts[k], self.shingle).tolist())
+            return sets[k]
+
+        for a, b, la, lb in zip(*(x.tolist() for x in (order[one[nearest]], order[other[nearest]], label[one[nearest]], label[other[nearest]])), strict=True):
+            la, lb = up(la), up(lb)
+            if la != lb and alike(shingles(a), shingles(b), self.least):
+                root[max(la, lb)] = min(la, lb)
+                out.append((fps[a], fps[b]))
+        return out
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by cell; one cell is held at a time."""
+        now, held = None, ([], [], [], [])
+        for batch, texts in rows_of(batches):
+            cells = zip(*(batch.column(n).to_pylist() for n in ("root", "kind", "i", "j")), strict=True)
+            for cell, *row in zip(cells, *(batch.column(n).to_pylist() for n in ("fp", "label", "block")), texts, strict=True):
+                if cell != now:
+                    yield from self.batch(self.links(*held) if now else [])
+                    now, held = cell, ([], [], [], [])
+                for column, x in zip(held, row, strict=True):
+                    column.append(x)
+        yield from self.batch(self.links(*held) if now else [])
+        release()
+
+    @staticmethod
+    def batch(links: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*links, strict=True)], ["u", "v"])
+
+
+def _blocks(n: str, size: str) -> Column:
+    return F.greatest(F.ceil(F.col(n) / BLOCK_TEXTS), F.ceil(F.col(size) / BLOCK_BYTES)).cast("bigint")
+
+
 def similar(fps: DataFrame, each: DataFrame, shingle: int, least: float, **search) -> DataFrame:
     """u, v: links between alike texts of ``fps`` (fp, text, _row), enough of them to join all that any such links join.
 
-    Fingerprints within the distance make groups. Each member is compared with its group's root; then each pair within the
-    distance of which not both are linked to one root. ``each`` has the row (low._row) whose text stands for a fingerprint.
+    Fingerprints within the distance make groups. Each member is compared with its group's root; those alike are the group's
+    core. Where others are left, blocks of these meet each other and blocks of the core, each pair of blocks in a cell of
+    bounded size that holds a text once and compares pairs within the distance; pairs are never rows of a table.
+    ``each`` has the row (low._row) whose text stands for a fingerprint.
     """
     near = written(groups(fps, **search))
     members = near.unionByName(near.select(F.col("root").alias("fp"), "root").distinct())
-    rows = members.join(each, "fp").select("fp", F.col("low._row").alias("_row"))
-    texts = written(fps.select("_row", "text").join(rows.hint("merge"), "_row").select("fp", "text"))
+    rows = written(members.join(each, "fp").select("fp", "root", F.col("low._row").alias("_row")))
+    texts = written(fps.select("_row", "text").join(rows.select("fp", "_row").hint("merge"), "_row").select("fp", "text"))
     first = written(confirmed(near.select(F.col("fp").alias("u"), F.col("root").alias("v")), texts, shingle, least))
-    labels = members.join(first.select(F.col("u").alias("fp"), F.col("v").alias("label")), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    parted = labels.where("label <> root").select("root").distinct()
-    left = written(labels.join(parted, "root", "left_semi").select("fp", "label"))
-    return first.unionByName(confirmed(linked(left, **search).distinct(), texts, shingle, least))
+    core = first.select(F.col("u").alias("fp"), F.col("v").alias("label"))
+    left = rows.join(core, "fp", "left").join(texts.select("fp", F.octet_length("text").alias("size")), "fp").select("fp", "root", F.coalesce("label", "fp").alias("label"), "size")
+    left = left.withColumn("rest", F.col("label") != F.col("root"))
+    total = lambda of, what: F.sum(F.when(of, what).otherwise(F.lit(0)))
+    rest, own = F.col("rest"), ~F.col("rest")
+    counts = left.groupBy("root").agg(total(rest, F.lit(1)).alias("n"), total(rest, F.col("size")).alias("s"), total(own, F.lit(1)).alias("core_n"), total(own, F.col("size")).alias("core_s")).where("n > 0")
+    counts = counts.select("root", _blocks("n", "s").alias("rests"), _blocks("core_n", "core_s").alias("cores"))
+    met = left.join(counts.repartition(F.xxhash64("root", F.lit(1))), "root")
+    met = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.when(rest, F.col("rests")).otherwise(F.col("cores"))))
+    across = lambda other, i, j: F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1), lambda k: F.struct(F.lit("c").alias("kind"), i(k).alias("i"), j(k).alias("j")))
+    within = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("rests") - 1), lambda k: F.struct(F.lit("r").alias("kind"), F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    mine = lambda k: F.col("own")
+    theirs = lambda k: k
+    cells = F.when(rest, F.concat(across("cores", theirs, mine), within)).otherwise(across("rests", mine, theirs))
+    # the two sides of a cell of core and rest are blocks of their own, whatever their numbers
+    met = met.withColumn("cell", F.explode(cells)).select("fp", "root", "label", F.when(rest, F.col("own")).otherwise(-1 - F.col("own")).alias("block"), "cell.*")
+    key = ["root", "kind", "i", "j"]
+    met = written(met).join(texts, "fp").repartition(*key).sortWithinPartitions(*key)
+    return first.unionByName(met.mapInArrow(Comparison(search["distance"], shingle, least), "u binary, v binary"))
 
 
 def deduplicated(

@@ -71,7 +71,7 @@ def test_index_finds_every_pair():
         cell = (r >> np.uint64(64 - width)).astype(np.int64)
         o = np.lexsort((s.gray_rank(r), cell))
         words = np.ascontiguousarray(fps[o])
-        for a, b in s.GrayIndex(cell[o], words).links(4):
+        for a, b, _ in s.GrayIndex(cell[o], words).links(4):
             got |= {tuple(sorted((int(words[x, 0]), int(words[y, 0])), reverse=True)) for x, y in zip(a, b, strict=True)}
     assert got == want
 
@@ -79,7 +79,7 @@ def test_index_finds_every_pair():
 def test_index_cuts_its_frontier(monkeypatch):
     monkeypatch.setattr(s, "FRONTIER", 64)
     fps = np.unique(np.array([k for k in range(300)], np.uint64))[:, None]
-    pairs = sum(len(a) for a, _ in s.GrayIndex(np.zeros(300, np.int64), fps).links(2))
+    pairs = sum(len(a) for a, *_ in s.GrayIndex(np.zeros(300, np.int64), fps).links(2))
     assert pairs == sum((a ^ b).bit_count() <= 2 for a in range(300) for b in range(a))
 
 
@@ -138,10 +138,11 @@ def test_deduplication(spark, odd, empty):
     assert s.deduplicated(empty).count() == 0
 
 
-@pytest.mark.parametrize("cell_rows", [20_000, 20])
-def test_only_similar_texts_are_duplicates(spark, monkeypatch, cell_rows):
+@pytest.mark.parametrize("cell_rows, texts_a_block", [(20_000, 512), (20, 2)])
+def test_only_similar_texts_are_duplicates(spark, monkeypatch, cell_rows, texts_a_block):
     """The rows that stay are those of components of exact similarity, on pairs and stars of all similarities around 0.8."""
     monkeypatch.setattr(s.linked, "__defaults__", (*s.linked.__defaults__[:-1], cell_rows))
+    monkeypatch.setattr(s, "BLOCK_TEXTS", texts_a_block)
     rng = random.Random(11)
     words, texts = [f"word{k}" for k in range(3000)], []
     for k in range(60):
@@ -165,6 +166,28 @@ def test_only_similar_texts_are_duplicates(spark, monkeypatch, cell_rows):
     assert 60 < len(set(root)) < 300
 
 
+def test_a_large_group_of_near_copies_that_mostly_differ(spark, monkeypatch):
+    """One group by fingerprints whose members are alike in part only, over many blocks."""
+    monkeypatch.setattr(s, "BLOCK_TEXTS", 16)
+    rng = random.Random(3)
+    base = [f"word{k}" for k in range(300)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for at in rng.sample(range(0, 300, 5), rng.randrange(3, 12)):
+            w[at] = f"new{rng.random()}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = s.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root)) and 10 < len(set(root)) < 140
+
+
 def test_alike():
-    a = np.arange(100, dtype=np.uint64)
-    assert s.alike(a, a[:80], 0.8) and not s.alike(a, a[:79], 0.8) and s.alike(a[:0], a[:0], 0.8) and not s.alike(a, a[:0], 0.8)
+    a = set(range(100))
+    assert s.alike(a, set(range(80)), 0.8) and not s.alike(a, set(range(79)), 0.8) and s.alike(set(), set(), 0.8) and not s.alike(a, set(), 0.8)
