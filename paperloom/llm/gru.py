@@ -1,8 +1,9 @@
 """A gated recurrent language model in numpy.
 
 Words ``0 .. n_words - 1`` are in order of frequency; classes are runs of them with equal sums of the square
-roots of their counts, so frequent words, which cost most, have small classes. One more class stands for every
-other word. ``cuts`` says where classes begin and where the last one ends. The probability of a word is that of its class, given the state,
+roots of their counts, so frequent words, which cost most, have small classes. Rare classes follow, one id each
+from ``n_words`` on, for all other words; the last row of the input table is the start of a document. ``cuts`` says
+where classes begin and where the last one ends. The probability of a word is that of its class, given the state,
 times its probability in the class. Training runs many streams of text side by side by truncated
 backpropagation: windows of ``STEPS`` tokens, the state carried from one to the next and cleared where a
 document starts. Scoring carries each document's state from its first token to its last.
@@ -29,29 +30,35 @@ def cuts_of(counts: np.ndarray) -> np.ndarray:
     return np.unique(np.r_[0, np.minimum(inner, len(counts)), len(counts)])
 
 
-def shapes(cuts: np.ndarray) -> dict[str, tuple[int, ...]]:
-    """Parameters: input table (words, other, start), recurrence, class and word outputs with biases."""
+def shapes(cuts: np.ndarray, rare: int = 1) -> dict[str, tuple[int, ...]]:
+    """Parameters: input table (words, rare classes, start), recurrence, class and word outputs with biases."""
     n, c = int(cuts[-1]), len(cuts) - 1
-    return {"x": (n + 2, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, c + 1), "bc": (c + 1,), "wo": (n, HIDDEN), "bo": (n,)}
+    return {"x": (n + rare + 1, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, c + rare), "bc": (c + rare,), "wo": (n, HIDDEN), "bo": (n,)}
+
+
+def size(cuts: np.ndarray, rare: int = 1) -> int:
+    return sum(int(np.prod(s)) for s in shapes(cuts, rare).values())
+
+
+def rare_of(flat: np.ndarray, cuts: np.ndarray) -> int:
+    """How many rare classes these parameters have."""
+    none = size(cuts, 0)
+    return (len(flat) - none) // (size(cuts, 1) - none)
 
 
 def unpacked(flat: np.ndarray, cuts: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {"cuts": cuts}, 0
-    for name, shape in shapes(cuts).items():
-        size = int(np.prod(shape))
-        out[name] = flat[at : at + size].reshape(shape)
-        at += size
+    for name, shape in shapes(cuts, rare_of(flat, cuts)).items():
+        n = int(np.prod(shape))
+        out[name] = flat[at : at + n].reshape(shape)
+        at += n
     return out
 
 
-def size(cuts: np.ndarray) -> int:
-    return sum(int(np.prod(s)) for s in shapes(cuts).values())
-
-
-def initial(counts: np.ndarray, others: int, seed: int = 7) -> np.ndarray:
-    """Small random weights; biases give each word its share of the counts."""
-    cuts = cuts_of(counts)
-    flat = np.random.default_rng(seed).normal(0, 0.1, size(cuts)).astype(np.float32)
+def initial(counts: np.ndarray, others: int | np.ndarray, seed: int = 7) -> np.ndarray:
+    """Small random weights; biases give each word and each rare class (``others``: their counts) its share."""
+    cuts, others = cuts_of(counts), np.atleast_1d(others)
+    flat = np.random.default_rng(seed).normal(0, 0.1, size(cuts, len(others))).astype(np.float32)
     p = unpacked(flat, cuts)
     sums = [counts[a:b].sum() + 1.0 for a, b in zip(cuts, cuts[1:], strict=False)]
     p["bc"][:] = np.log(np.r_[sums, others + 1.0])
@@ -86,7 +93,8 @@ def _output(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray, grads: dict
     """
     cuts, n = p["cuts"], len(y)
     c = len(cuts) - 1
-    cls = np.repeat(np.arange(c + 1, dtype=np.int16), np.r_[np.diff(cuts), 1])[y]
+    rare = len(p["bc"]) - c
+    cls = np.repeat(np.arange(c + rare, dtype=np.int16), np.r_[np.diff(cuts), np.ones(rare, np.int64)])[y]
     e = hs @ p["wc"]
     e += p["bc"]
     rows = np.arange(n)
@@ -126,7 +134,7 @@ class Trainer:
     """Adam over windows; ``feed`` takes the ids of whole documents, each ending in the end word."""
 
     def __init__(self, flat: np.ndarray, cuts: np.ndarray, rate: float = RATE):
-        self.flat, self.cuts, self.n, self.rate = flat.astype(np.float32).copy(), cuts, int(cuts[-1]), rate
+        self.flat, self.cuts, self.start, self.rate = flat.astype(np.float32).copy(), cuts, int(cuts[-1]) + rare_of(flat, cuts), rate
         self.p = unpacked(self.flat, cuts)
         self.m, self.v, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
         self.waiting: list[np.ndarray] = []
@@ -146,8 +154,8 @@ class Trainer:
         y = np.concatenate(self.waiting)
         first = np.zeros(len(y), bool)
         first[np.cumsum([0, *map(len, self.waiting[:-1])])] = True
-        x = np.r_[self.n + 1, y[:-1]].astype(np.int32)
-        x[first] = self.n + 1
+        x = np.r_[self.start, y[:-1]].astype(np.int32)
+        x[first] = self.start
         streams = max(1, min(STREAMS, len(y) // STEPS))
         length = -(-len(y) // streams)
         short = streams * length - len(y)  # the last stream is filled up with the first tokens again
@@ -209,7 +217,7 @@ class Trainer:
 
 def score(flat: np.ndarray, cuts: np.ndarray, docs: list[np.ndarray], lanes: int = STREAMS) -> np.ndarray:
     """Natural log-probability of each document (ids with their end word): classes, and words in theirs."""
-    p, n_words = unpacked(flat, cuts), int(cuts[-1])
+    p, start = unpacked(flat, cuts), int(cuts[-1]) + rare_of(flat, cuts)
     total = np.zeros(len(docs))
     if not docs:
         return total
@@ -232,7 +240,7 @@ def score(flat: np.ndarray, cuts: np.ndarray, docs: list[np.ndarray], lanes: int
         at = 0
         for d in q:
             y[k, at : at + sizes[d]] = docs[d]
-            x[k, at] = n_words + 1
+            x[k, at] = start
             x[k, at + 1 : at + sizes[d]] = docs[d][:-1]
             own[k, at : at + sizes[d]] = d
             at += sizes[d]
@@ -248,7 +256,7 @@ def score(flat: np.ndarray, cuts: np.ndarray, docs: list[np.ndarray], lanes: int
         hs, at = np.empty((count, HIDDEN), np.float32), 0
         for t in range(a, b):
             m = int(active[t])
-            h = h[:m] * (x[t, :m] != n_words + 1)[:, None]
+            h = h[:m] * (x[t, :m] != start)[:, None]
             h = _gates(p["u"], h, p["x"][x[t, :m]])[0]
             hs[at : at + m] = h
             at += m

@@ -1,8 +1,8 @@
 """Log-likelihood of whole documents under a gated recurrent language model, and an add-one base.
 
 All training documents are counted, into a table of words. The most frequent ``N_WORDS`` are the model's
-own words; every other word belongs to one class of the model's output, inside which its probability is
-its add-one share of that class's count. The model trains on every training document, in ``ROUNDS`` of
+own words; every other word, however many there are, belongs to one of ``RARE`` classes of the model by its last
+two bytes. These classes are inputs and outputs of the network; inside one, a word has its add-one share of the class's count. The model trains on every training document, in ``ROUNDS`` of
 growing shares of them: each task starts from the round's parameters and trains on its documents by
 truncated backpropagation, and the next parameters are the tasks' mean, weighted by tokens and taken slot
 by slot on the executors. Scoring carries the state through each document; counts of words outside the
@@ -19,6 +19,7 @@ is its start; an empty table gives no rows; other columns are left out.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,6 +35,7 @@ from .quality import bucket_of, value_of
 FOLDS, HELD_OUT = 7, 2
 N_WORDS = 2048
 N_SENT = 65_536
+RARE = 16
 #: Shares of the training documents of which each round takes one: a 64th, then an eighth, then the rest.
 ROUNDS = ((0, 1), (1, 9), (9, 64))
 SLOT = 8192
@@ -90,22 +92,39 @@ class Ids(dict):
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
+def rare_class(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % RARE
+
+
+class OwnIds(Ids):
+    """The model's ids: ``other`` plus its class for a word that is not there."""
+
+    def __missing__(self, word: bytes) -> int:
+        return self.other + rare_class(word)
+
+    def __reduce__(self):
+        return OwnIds, (list(self.items()), self.other)
+
+
 class Lexicon:
-    """The most frequent words (``N_SENT`` at most) with their counts, and the totals of all."""
+    """The most frequent words (``N_SENT`` at most) with their counts, and the totals of all and of each rare class."""
 
-    def __init__(self, top: list[tuple[bytes, int]], total: int, distinct: int, least: int):
+    def __init__(self, top: list[tuple[bytes, int]], classes: dict[int, tuple[int, int]], least: int):
         top = sorted(((bytes(w), n) for w, n in top), key=lambda x: (-x[1], x[0]))
         self.own = min(N_WORDS, len(top))
         self.ids = Ids((w, k) for k, (w, _) in enumerate(top))
-        self.own_ids = Ids(((w, k) for k, (w, _) in enumerate(top[: self.own])), self.own)
+        self.own_ids = OwnIds(((w, k if k < self.own else self.own + rare_class(w)) for k, (w, _) in enumerate(top)), self.own)
+        self.capped = np.array([*self.own_ids.values(), -1], np.int32)  # by id; the last is for none
         self.counts = np.array([n for _, n in top], np.int64)
         self.cuts = gru.cuts_of(self.counts[: self.own])
         self.log = np.log10(self.counts + 1.0)
-        self.total, self.distinct, self.least = total, distinct, least
-        own = int(self.counts[: self.own].sum())
-        self.other_total = total - own
-        self.base_norm = math.log10(total + distinct + 1)
-        self.other_norm = math.log10(total - own + distinct - self.own + 1)
+        self.total, self.distinct, self.least = sum(n for n, _ in classes.values()), sum(v for _, v in classes.values()), least
+        self.base_norm = math.log10(self.total + self.distinct + 1)
+        #: Counts and words of each rare class, without the model's own.
+        rare = np.array([classes.get(k, (0, 0)) for k in range(RARE)], np.int64)
+        for w, n in top[: self.own]:
+            rare[rare_class(w)] -= (n, 1)
+        self.others, self.other_norm = rare[:, 0], np.log10(rare.sum(1) + 1.0)
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
@@ -113,7 +132,8 @@ def lexicon(counts: DataFrame) -> Lexicon:
 
     The cut comes from a histogram of a few thousand buckets, so neither it nor the words need sorting or more than a bounded collect.
     """
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    rare = F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(RARE)).cast("int").alias("k")
+    classes = {r["k"]: (r["n"], r["words"]) for r in counts.groupBy(rare).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}  # RARE rows at most
     hist = counts.groupBy(F.expr(bucket_of("n")).alias("b")).agg(F.count("*").alias("words")).withColumn("low", F.expr(value_of("b"))).collect()
     least, words = 1 << 62, 0
     for row in sorted(hist, key=lambda r: -r["low"]):
@@ -121,7 +141,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
         if words > N_SENT:
             break
         least = row["low"]
-    return Lexicon(counts.where(F.col("n") >= least).collect(), total, distinct, least)
+    return Lexicon(counts.where(F.col("n") >= least).collect(), classes, least)
 
 
 def _training(lex, start):
@@ -157,7 +177,7 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, lex: Lexicon) -> np.ndarray:
     """The model's parameters after all rounds over ``docs`` (doc_id, text)."""
     sc = docs.sparkSession.sparkContext
-    flat = gru.initial(lex.counts[: lex.own], lex.other_total)
+    flat = gru.initial(lex.counts[: lex.own], lex.others)
     sent = sc.broadcast(lex)
     for low, high in ROUNDS:
         part = docs.where((_share() >= low) & (_share() < high)).select("text")
@@ -168,26 +188,26 @@ def train(docs: DataFrame, lex: Lexicon) -> np.ndarray:
     return flat
 
 
-SCORED = "doc_id bigint, h bigint, held_out boolean, n_tokens bigint, n_known bigint, n_other bigint, log_known double, log_other double, log_model double"
+SCORED = "doc_id bigint, h bigint, held_out boolean, n_tokens bigint, n_known bigint, log_norm double, log_known double, log_other double, log_model double"
 
 
 def _scoring(lex, flat):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexi: Lexicon = lex.value
         own = lexi.own
-        keys, ids, held = [], [], 0
+        keys, ids, own_ids, held = [], [], [], 0
 
         def done() -> pa.RecordBatch:
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat_ids, owner = np.concatenate(ids), np.repeat(np.arange(len(ids)), sizes)
-            other = (flat_ids < 0) | (flat_ids >= own)
+            flat_ids, capped, owner = np.concatenate(ids), np.concatenate(own_ids), np.repeat(np.arange(len(ids)), sizes)
+            other = capped >= own
             logs = np.where(flat_ids >= 0, lexi.log[flat_ids], 0.0) if len(lexi.log) else np.zeros(len(flat_ids))
+            norms = np.where(other, lexi.other_norm[np.maximum(capped - own, 0)], 0.0)
             each = lambda w: np.bincount(owner, w, len(ids))
-            capped = np.split(np.where(other, own, flat_ids), np.cumsum(sizes)[:-1])
-            logp = gru.score(flat.value, lexi.cuts, capped) / math.log(10)
+            logp = gru.score(flat.value, lexi.cuts, own_ids) / math.log(10)
             cols = {n: pa.array(c, t) for n, c, t in zip(("doc_id", "h", "held_out"), zip(*keys, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)}
             return pa.RecordBatch.from_pydict(cols | {
-                "n_tokens": pa.array(sizes), "n_known": pa.array(each(flat_ids >= 0).astype(np.int64)), "n_other": pa.array(each(other).astype(np.int64)),
+                "n_tokens": pa.array(sizes), "n_known": pa.array(each(flat_ids >= 0).astype(np.int64)), "log_norm": pa.array(each(norms)),
                 "log_known": pa.array(each(logs)), "log_other": pa.array(each(logs * other)), "log_model": pa.array(logp),
             })
 
@@ -195,11 +215,16 @@ def _scoring(lex, flat):
             for key, t in zip(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "held_out")), strict=True), texts, strict=True):
                 words = tokens_of(t)
                 keys.append(key)
-                ids.append(lexi.ids.of(words))
+                found = lexi.ids.of(words)
+                capped = lexi.capped[found]
+                unknown = np.flatnonzero(found < 0)
+                capped[unknown] = [own + rare_class(words[k]) for k in unknown.tolist()]
+                ids.append(found)
+                own_ids.append(capped)
                 held += len(words)
                 if held >= BUNCH:
                     yield done()
-                    keys, ids, held = [], [], 0
+                    keys, ids, own_ids, held = [], [], [], 0
         if keys:
             yield done()
 
@@ -245,7 +270,7 @@ def score(docs: DataFrame) -> DataFrame:
     return met.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + rare_n).alias("n_known"), F.lit(lex.total).cast("bigint").alias("train_tokens"),
         (F.col("log_known") + rare_log - F.col("n_tokens") * F.lit(lex.base_norm)).alias("base_score"),
-        (F.col("log_model") + F.col("log_other") + rare_log - F.col("n_other") * F.lit(lex.other_norm)).alias("score"),
+        (F.col("log_model") + F.col("log_other") + rare_log - F.col("log_norm")).alias("score"),
     )
 
 

@@ -124,3 +124,49 @@ def test_odd_rows(odd, empty):
     assert scoring.score(empty).count() == 0
     only = odd.where("doc_id = 1")  # whatever its fold, and with equal rows
     check(scoring.score(only).collect(), [(r["doc_id"], r["text"]) for r in only.collect()])
+
+
+def test_scores_are_the_models_word_by_word(documents, monkeypatch):
+    """Against the model's equations, one word after the other, with the counts of all training texts taken by hand."""
+    monkeypatch.setattr(scoring, "N_WORDS", 200)
+    monkeypatch.setattr(scoring, "N_SENT", 1000)
+    seen = {}
+
+    def train(docs, lex):
+        seen["lex"] = lex
+        flat = gru.initial(lex.counts[: lex.own], lex.others)
+        seen["flat"] = flat = (flat + np.random.default_rng(3).normal(0, 0.2, len(flat))).astype(np.float32)
+        return flat
+
+    monkeypatch.setattr(scoring, "train", train)
+    got = {r["doc_id"]: r["score"] for r in scoring.score(documents).collect()}
+    rows = {r["doc_id"]: r["text"] for r in documents.collect()}
+    lex, counts = seen["lex"], Counter()
+    for d, t in rows.items():
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            counts.update(scoring.tokens_of(t.encode()))
+    own = {w: k for w, k in lex.own_ids.items() if k < lex.own}
+    assert sorted(counts[w] for w in own) == sorted(c for _, c in counts.most_common(200))
+    rare = [[c for w, c in counts.items() if w not in own and zlib.crc32(w[-2:]) % scoring.RARE == k] for k in range(scoring.RARE)]
+    assert lex.others.tolist() == [sum(r) for r in rare]
+    p, cuts, n = {k: v.astype(float) for k, v in gru.unpacked(seen["flat"], lex.cuts).items()}, lex.cuts.tolist(), lex.own
+    H, sig = gru.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+    for d in sorted(rows, key=lambda d: len(rows[d]))[::9]:
+        h, x, total = np.zeros(H), n + scoring.RARE, 0.0
+        for w in scoring.tokens_of(rows[d].encode()):
+            a, g = p["x"][x], h @ p["u"]
+            z, r = sig(a[:H] + g[:H]), sig(a[H : 2 * H] + g[H : 2 * H])
+            new = np.tanh(a[2 * H :] + r * g[2 * H :])
+            h = new + z * (h - new)
+            e = h @ p["wc"] + p["bc"]
+            e -= np.log(np.exp(e).sum())
+            if w in own:
+                x = own[w]
+                k = next(k for k in range(len(cuts)) if cuts[k + 1] > x)
+                inside = p["wo"][cuts[k] : cuts[k + 1]] @ h + p["bo"][cuts[k] : cuts[k + 1]]
+                total += e[k] + inside[x - cuts[k]] - np.log(np.exp(inside).sum())
+            else:
+                k = zlib.crc32(w[-2:]) % scoring.RARE
+                x = n + k
+                total += e[len(cuts) - 1 + k] + math.log((counts[w] + 1) / (sum(rare[k]) + len(rare[k]) + 1))
+        assert abs(got[d] - total / math.log(10)) < 1e-3 * abs(got[d]) + 1e-3
