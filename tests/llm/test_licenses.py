@@ -43,3 +43,13 @@ def test_odd_rows(spark, odd, empty):
     assert sorted((r["doc_id"] is None, r["license"], r["containment"]) for r in got) == [(False, "MIT", 1.0), (True, "MIT", 1.0)]
     other = lic.scan(spark.createDataFrame([(1, "an own wording of five words")], "doc_id bigint, text string"), {"own": ("Own wording of five words!", "four words are few")}).collect()
     assert [(r["license"], r["containment"]) for r in other] == [("own", 1.0)]
+
+
+def test_standard_notices_name_their_own_license(spark):
+    """Each wording alone, in other text, is its license and no other that it merely resembles."""
+    rows = [(k, name, f"Some words of a file before it. {text} And then the code goes on here.") for k, (name, text) in enumerate((name, text) for name, texts in lic.TEMPLATES.items() for text in texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, name string, text string")
+    found = {(r["doc_id"], r["license"]) for r in lic.scan(df).collect()}
+    assert {(k, name) for k, name, _ in rows} <= found
+    for own, other in (("AGPL-3.0", "GPL-3.0"), ("LGPL-3.0", "GPL-3.0"), ("GPL-2.0", "GPL-3.0"), ("LGPL-2.1", "LGPL-3.0")):
+        assert not [k for k, name, _ in rows if name == own and (k, other) in found]
