@@ -16,7 +16,7 @@ import heapq
 import numpy as np
 
 HIDDEN = 16
-CLASSES = 32
+CLASSES = 24
 STREAMS, STEPS = 512, 16
 RATE = 0.01
 

@@ -33,9 +33,9 @@ from .common import rows_of, small_batches, table, written
 from .quality import bucket_of, value_of
 
 FOLDS, HELD_OUT = 7, 2
-N_WORDS = 2048
+N_WORDS = 1024
 N_SENT = 65_536
-RARE = 16
+RARE = 32
 #: Shares of the training documents of which each round takes one: a 64th, then an eighth, then the rest.
 ROUNDS = ((0, 1), (1, 9), (9, 64))
 SLOT = 8192
