@@ -28,7 +28,7 @@ def test_stages_in_order(spark):
         if k == 2:
             assert set(after) == {d for d, r in before.items() if not brute(r["text"], bench)[1]} < set(before)
         if k == 3:
-            change = pseudonyms.Pseudonymizer()
+            change = pseudonyms.Pseudonymizer(pseudonyms.session_key(spark))
             assert set(after) == set(before) and all(after[d]["text"] == change(before[d]["text"])[0] and len(after[d]["text"]) == len(before[d]["text"]) for d in before)
         if k == 4:
             held(after, {d: r["text"] for d, r in before.items()})
