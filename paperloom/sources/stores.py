@@ -7,6 +7,8 @@ matters. One writer at a time is assumed, as in any file-based table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,18 @@ class Log:
 
     def append(self, rows: DataFrame, parents: DataFrame | None = None, parent: str = "docId", broken: Column | None = None) -> None:
         """Adds all of ``rows`` or, if a key is there already, a parent is missing or an invariant is broken, none."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_staged-{uuid.uuid4().hex}")  # readers skip names that begin with _
+        fs = where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        try:
+            # computed once, so what is checked is what is added
+            rows.write.parquet(where.toString())
+            rows = self.spark.read.schema(rows.schema).parquet(where.toString())
+            self._check(rows, parents, parent, broken)
+            rows.write.mode("append").parquet(self.path)
+        finally:
+            fs.delete(where, True)
+
+    def _check(self, rows: DataFrame, parents: DataFrame | None, parent: str, broken: Column | None) -> None:
         if broken is not None:
             said = rows.select(F.explode(broken).alias("v")).first()
             if said:
@@ -90,7 +104,6 @@ class Log:
         first = marked.where("error IS NOT NULL").select(self.key, "error").first()
         if first:
             raise ValueError(f"{first[0]}: {first[1]}")
-        rows.write.mode("append").parquet(self.path)
 
 
 def by_id(rows: DataFrame, value, key: str = "id") -> DataFrame:
