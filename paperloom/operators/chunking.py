@@ -62,15 +62,15 @@ def paragraphs(text: Column) -> Column:
     return F.when(F.size(cut(r"\n{2,}")) > 1, cut(r"\n{2,}")).when(F.size(cut("\n")) > 0, cut("\n")).otherwise(F.array(text))
 
 
-def plain_text_chunks(docs: DataFrame, text: str = "text", doc_id: str = "docId", now: str = "1970-01-01T00:00:00.000Z") -> DataFrame:
-    """One paragraph chunk for each document with visible text; its hash is over the text as it came."""
+def plain_text_chunks(docs: DataFrame, text: str = "text", doc_id: str = "docId", now: str = "1970-01-01T00:00:00.000Z", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One paragraph chunk for each document with visible text; its hash is over the text as it came. Columns in ``keep`` are carried along."""
     locator = F.struct(F.lit("paragraph").alias("kind"), *(F.lit(None).cast(t).alias(n) for n, t in (("sheetName", "string"), ("range", "string"), ("page", "int"), ("paragraphId", "string"), ("slide", "int"))))
     body = js_trim(F.col(text))
     made = docs.withColumns({"_body": body, "locator": locator}).where(F.col("_body") != "")
     return made.select(
         F.concat(F.col(doc_id).cast("string"), F.lit(":text:paragraph")).alias("id"), F.col(doc_id).cast("string").alias("docId"), F.lit(1).alias("schemaVersion"),
         F.lit("text").alias("sourceType"), F.lit("paragraph").alias("structureType"), "locator", F.col("_body").alias("text"), *[c for c in ("title", "sensitivity", "aiUsePolicy") if c in docs.columns],
-        F.lit("inherited").alias("sensitivitySource"), F.lit("text").alias("extractionProvider"), source_hash(F.lit("paragraph"), F.col(text)).alias("sourceHash"), F.lit(now).alias("createdAt"), F.lit(now).alias("updatedAt"),
+        F.lit("inherited").alias("sensitivitySource"), F.lit("text").alias("extractionProvider"), source_hash(F.lit("paragraph"), F.col(text)).alias("sourceHash"), F.lit(now).alias("createdAt"), F.lit(now).alias("updatedAt"), *keep,
     )
 
 

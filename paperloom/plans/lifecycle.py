@@ -15,18 +15,21 @@ from ..functions import masking
 from ..functions.policy import decision_of, policy_of, promoted, status_of_decision, status_of_policy
 from ..functions.text import content_hash, safe_file_name
 from ..operators.evaluation import evaluated, readiness
-from ..sources.stores import raw_path
+from ..sources.stores import raw_path, settled
 
 Step = Callable[[DataFrame], DataFrame]
 
 
-def initial(files: DataFrame, now: Column, source_kind: str = "upload") -> DataFrame:
-    """First document rows of accepted files (id, fileName, contentType, content): no labels, status uploaded."""
+def initial(files: DataFrame, now: Column, source_kind: str = "upload", keep: tuple[str, ...] = ()) -> DataFrame:
+    """First document rows of accepted files (id, fileName, contentType, content): no labels, status uploaded.
+
+    Columns named in ``keep`` are carried along, so nothing has to be joined back.
+    """
     blank = ("documentType", "businessDomain", "sensitivity", "freshness", "aiUsePolicy", "sensitivitySource", "originalCuratorSensitivity", "sensitivityReason", "aiSafeStoragePath", "latestConversionEvalId")
     return files.select(
         "id", safe_file_name(F.col("fileName")).alias("fileName"), "contentType", content_hash(F.col("content")).alias("contentSha256"), F.lit(source_kind).alias("sourceKind"),
         raw_path(F.col("id"), safe_file_name(F.col("fileName"))).alias("storagePath"), F.lit("uploaded").alias("status"), F.lit(2).alias("schemaVersion"), F.octet_length("content").cast("bigint").alias("byteSize"),
-        now.alias("createdAt"), now.alias("updatedAt"), *(F.lit(None).cast("string").alias(c) for c in blank), F.lit(False).alias("maskingPending"), "content",
+        now.alias("createdAt"), now.alias("updatedAt"), *(F.lit(None).cast("string").alias(c) for c in blank), F.lit(False).alias("maskingPending"), "content", *keep,
     )
 
 
@@ -57,7 +60,11 @@ def curated(docs: DataFrame, curate: Step, now: Column) -> DataFrame:
 
 
 def masked(docs: DataFrame, risk: Step, mask: Callable[[DataFrame, str], DataFrame] = masking.simple_rule, text: str = "text") -> DataFrame:
-    """Documents in masking get a masked body and a decision, and end ai_safe or restricted; others pass."""
+    """Documents in masking get a masked body and a decision, and end ai_safe or restricted; others pass.
+
+    ``docs`` is written once before it is split, so a classifier that differs between runs neither loses nor repeats a row.
+    """
+    docs = settled(docs)
     due = F.coalesce(F.col("status") == "masking", F.lit(False))
     done = risk(mask(docs.where(due), text)).withColumn("decision", decision_of(F.col("recommendedSensitivity")))
     done = promoted(done, F.col("recommendedSensitivity"), F.col("riskRationale"), F.col("reasons"))
@@ -97,8 +104,9 @@ def layout_lifecycle(docs: DataFrame, curate: Step, risk: Step, now: Column, now
     """
     from ..operators.chunking import ir_chunks
 
-    done = text_lifecycle(docs, curate, risk, now)
+    done = settled(text_lifecycle(docs, curate, risk, now))
     chunks = masking.mask_chunks(ir_chunks(done.where(F.col("status").isin("curated", "ai_safe")).select("docId", "sourceSubtype", "extractorInput", "sensitivity", "aiUsePolicy", "pages"), now_text))
+    chunks = settled(chunks)
     return done, chunks, health(chunks)
 
 

@@ -140,8 +140,8 @@ def oversize_split(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT "docId", 'parentDocument.status', 'parentDocument.status must be one of curated, ai_safe, restricted, or blocked.' FROM lab WHERE status = 'masking')""")
 def chunk_invariant_violations(spark: SparkSession, d: str) -> DataFrame:
     docs = labelled(spark, d)
-    chunks = chunking.plain_text_chunks(docs.withColumn("extractorInput", F.col("text"))).withColumns({"maskedText": F.lit(None).cast("string"), "sensitivityReason": F.lit(None).cast("string")})
-    met = chunks.join(docs.select("docId", F.col("status").alias("parentStatus"), F.col("text").alias("extractorInput")), "docId")
+    given = docs.withColumns({"parentStatus": F.col("status"), "extractorInput": F.col("text")})
+    met = chunking.plain_text_chunks(given, keep=("parentStatus", "extractorInput")).withColumns({"maskedText": F.lit(None).cast("string"), "sensitivityReason": F.lit(None).cast("string")})
     size = text.json_bytes(F.struct("id", "docId", "locator", "text", "sensitivity", "aiUsePolicy", "sourceHash"))
     return violations(met, "docId", chunk_violations(met, F.col("docId"), F.col("parentStatus"), F.col("extractorInput"), size))
 
@@ -355,7 +355,7 @@ def package_markdown(spark: SparkSession, d: str) -> DataFrame:
 def upload_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
     files = labelled(spark, d).select(F.col("docId").alias("id"), F.concat("docId", F.lit(".txt")).alias("fileName"), F.lit("text/plain").alias("contentType"), F.col("text").cast("binary").alias("content"), F.col("sensitivity").alias("s"), "text")
-    docs = lifecycle.initial(files, now).drop("content").join(files.select("id", "s", "text"), "id")
+    docs = lifecycle.initial(files, now, keep=("s", "text")).drop("content")
     curate = lambda x: x.withColumns({"c_sensitivity": F.col("s"), "c_rationale": F.lit("by label")})
     hit = F.col("text").rlike("[0-9]")
     risk = lambda x: x.withColumns({"detected": hit, "recommendedSensitivity": F.when(hit, "Restricted").otherwise("Confidential"), "reasons": F.when(hit, F.array(F.lit("digits"))).otherwise(F.array().cast("array<string>")), "riskRationale": F.lit("digits")})

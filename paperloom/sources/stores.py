@@ -7,6 +7,9 @@ matters. One writer at a time is assumed, as in any file-based table.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +19,23 @@ from ..functions.invariants import quarantined
 from ..operators.compare import insertable, one_of, replaced, stale
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows`` computed once, as a table in a folder of its own under ``spark.checkpoint.dir``.
+
+    What injected models gave is thus the same to all that read it, and a lost executor runs none of them again.
+    Where no folder is set (tests, one machine), a temporary one is made and removed at exit.
+    """
+    spark = rows.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="paperloom-")
+        atexit.register(shutil.rmtree, base, True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 class Snapshot:
     def __init__(self, spark: SparkSession, path: str, schema: str, partition: str | None = None):
         self.spark, self.path, self.schema, self.partition = spark, path.rstrip("/"), schema, partition

@@ -1,5 +1,6 @@
 import io
 import json
+import uuid
 import zipfile
 
 import numpy as np
@@ -136,6 +137,19 @@ def test_lifecycle(spark):
     assert got["2"]["aiSafeContent"] == "[REDACTED:EMAIL]" and got["3"]["sensitivityReason"] == "w (n)" and got["5"]["curatorError"]["message"]
 
 
+def test_lifecycle_runs_a_classifier_once(spark):
+    """A classifier that gives each run other labels still places every document in exactly one branch."""
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    rows = spark.range(200).select(F.col("id").cast("string"), F.lit("a.txt").alias("fileName"), F.lit("").alias("contentType"), F.lit(b"x").alias("content"), F.lit("x").alias("text"))
+    docs = lifecycle.initial(rows, now, keep=("text",)).drop("content")
+    any_of = F.udf(lambda _: ("Public", "Confidential")[uuid.uuid4().int % 2], "string").asNondeterministic()
+    curate = lambda d: d.withColumns({"c_sensitivity": any_of("id"), "c_rationale": F.lit("r")})
+    risk = lambda d: d.withColumns({"detected": F.lit(False), "recommendedSensitivity": F.lit("Confidential"), "reasons": F.array(F.lit("n")), "riskRationale": F.lit("w")})
+    got = lifecycle.text_lifecycle(docs, curate, risk, now)
+    assert sorted(int(r["id"]) for r in got.select("id").collect()) == list(range(200))
+    assert {r[0]: r[1] for r in got.groupBy("status").count().collect()} == {r[0]: r[1] for r in got.groupBy("status").count().collect()}
+
+
 def test_streaming(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, body in (("a.txt", "x"), ("b.txt", "x"), ("c.exe", "x"), ("d.txt", "y")):
