@@ -163,13 +163,34 @@ def rendered(rows: DataFrame, purpose: str, generated_at: str, reviewed: int, mi
     return got.select(text.alias("markdown"))
 
 
+#: What a selection returns.
+REFS = "docId string, chunkId string, verdict string, rationale string, reason string"
+
+
+class EmptyInventory(ValueError):
+    """There is no document to answer a purpose from."""
+
+
+class NoChunks(ValueError):
+    """The documents have no chunks."""
+
+
 def purpose_query(docs: DataFrame, chunks: DataFrame, select: Callable[[DataFrame], DataFrame], limit: int = 100, eligible: Column | None = None, cross_customer: Column | None = None) -> DataFrame:
     """Rows of the package for a purpose: top of the inventory, its chunks, the gate, the injected selection.
 
-    ``select`` takes the chunks that passed and returns refs (docId, chunkId, verdict, rationale, reason).
+    ``select`` takes the chunks that passed and returns refs (docId, chunkId, verdict, rationale, reason); it is not
+    called if none passed. An inventory without documents, or documents without chunks, is an error at once: each
+    look stops at the first row.
     """
-    joined = gated(with_chunks(top_inventory(docs, limit, eligible), chunks), cross_customer)
-    return selection_package(joined, select(joined.where("gateReason IS NULL")))
+    top = top_inventory(docs, limit, eligible)
+    if top.isEmpty():
+        raise EmptyInventory("the inventory has no document that can be used")
+    joined = gated(with_chunks(top, chunks), cross_customer)
+    if joined.isEmpty():
+        raise NoChunks("the inventory's documents have no chunks")
+    safe = joined.where("gateReason IS NULL")
+    refs = docs.sparkSession.createDataFrame([], REFS) if safe.isEmpty() else select(safe)
+    return selection_package(joined, refs)
 
 
 def latest(rows: DataFrame, key: str, *by: Column) -> DataFrame:

@@ -215,6 +215,17 @@ def test_flag_choice_and_auth(spark):
     assert [g and (g["tenantId"], g["email"]) for g in got] == [("t", "a@b.c"), None, ("b.co", "a@b.co"), None]
 
 
+def test_purpose_query_without_documents_chunks_or_safe_chunks(spark):
+    docs, some = inventory(spark), chunks(spark)
+    never = lambda c: pytest.fail("selection was called")
+    with pytest.raises(packages.EmptyInventory):
+        packages.purpose_query(docs.where("false"), some, never)
+    with pytest.raises(packages.NoChunks):
+        packages.purpose_query(docs, some.where("false"), never)
+    held = packages.purpose_query(docs, some.withColumns({"aiUsePolicy": F.lit("requires_masking"), "maskedText": F.lit(None).cast("string")}), never)
+    assert held.count() > 0 and held.where("bucket <> 'humanReview'").count() == 0
+
+
 def test_layout_lifecycle(spark):
     docs = layout(spark, PAGES_GIVEN).select("docId", F.col("docId").alias("id"), "sourceSubtype", "extractorInput", "pages", F.lit("x@y.com").alias("text"), F.lit("uploaded").alias("status"), F.lit("h").alias("contentSha256"), *(F.lit(None).cast("string").alias(c) for c in ("originalCuratorSensitivity", "sensitivityReason", "aiSafeStoragePath")), F.lit(None).cast("timestamp").alias("updatedAt"))
     curate = lambda d: d.withColumns({"c_sensitivity": F.lit("Confidential"), "c_rationale": F.lit("r")})
