@@ -16,6 +16,7 @@ columns named here, whatever others the input has.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +32,8 @@ MAX_EXPONENT = 10
 END_ID = 0
 #: Fixed value: the string that the vocabulary adds to its merges.
 SPECIAL = {"<|endoftext|>": 50256}
+#: Fixed value: Unicode's white space, as the pattern of the vocabulary has it.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 #: Ids that a task holds before it hands on their pieces; one document may have more.
 HELD_IDS = 1 << 20
 SCHEMA = "doc_id bigint, start bigint, length bigint, bucket int, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
@@ -54,10 +57,22 @@ def encoder(path: str):
 
 
 def ids_of(path: str, text: str) -> list[int]:
-    """Ids of the whole text, as the vocabulary's JSON form gives them: its added strings are one id wherever they are."""
-    if any(s in text for s in SPECIAL):
-        return encoder(path).encode(text, allowed_special="all")
-    return encoder(path).encode_ordinary(text)
+    """Ids of the whole text, as the vocabulary's JSON form gives them: its added strings are one id wherever they are.
+
+    White space before a word is one unit but for its last character, which goes with what follows. Long runs are cut
+    out as such units here, because the pattern, which looks ahead, would need a stack as deep as they are long.
+    """
+    own, ids, at = encoder(path), [], 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += _encoded(own, text[at : run.start()])
+        ids += own._core_bpe.encode_single_piece(text[run.start() : end].encode())
+        at = end
+    return ids + _encoded(own, text[at:]) if ids else _encoded(own, text)
+
+
+def _encoded(own, text: str) -> list[int]:
+    return own.encode(text, allowed_special="all") if any(s in text for s in SPECIAL) else own.encode_ordinary(text)
 
 
 def pieces(n: int, max_exponent: int = MAX_EXPONENT) -> list[tuple[int, int]]:

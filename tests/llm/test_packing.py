@@ -58,3 +58,16 @@ def test_odd_rows(odd, empty):
 @pytest.mark.parametrize("text", ["a  b\n\n c\t", "naïve café — “x”", "日本語 のテスト ①²", "😀👩‍👩‍👧 ‍ x", "1234567 3.14 it's we'll I'M", "<|endoftext|> x", "a<|endoftext|>b <|endoftext|><|endoftext|", "a" * 500, "  　 x y"])
 def test_same_ids_as_the_json_vocabulary(text):
     assert packing.ids_of(packing.vocabulary(), text) == reference().encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [a + run + b for run in (" " * 12_000, "\n" * 12_000, " \n\u3000" * 5_000, "\t" * 9_999) for a, b in (("a", "b"), ("", ""), ("x ", " <|endoftext|>"), ("'s", "\x1cz"))])
+def test_long_white_space_has_the_same_ids(text):
+    assert packing.ids_of(packing.vocabulary(), text) == reference().encode(text, add_special_tokens=False).ids
+
+
+def test_runs_of_ten_megabytes(spark):
+    n = 10_000_000
+    kinds = [" ", "\n", "\u3000", "a", "7", "!", "\u00e9"]
+    docs = spark.createDataFrame([(k,) for k in range(len(kinds))], "doc_id bigint").selectExpr("doc_id", f"concat('a', repeat(array({', '.join(repr(c) for c in kinds)})[int(doc_id)], {n}), 'b') AS text")
+    got = {r["doc_id"]: r["n"] for r in packing.pack(docs).groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
+    assert len(got) == len(kinds) and got[0] == n + 2  # the ids of 'a', of blanks but one, of ' b', and the end
