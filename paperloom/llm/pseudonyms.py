@@ -13,7 +13,8 @@ a card or account that begins inside what would otherwise be a phone number goes
 The key is a parameter, or the session's ``spark.paperloom.pseudonym.key``; where neither is set the session draws a
 random one, which nothing else knows. Whoever has the key can undo the pseudonyms.
 
-Edge cases: a null text stays null; an empty one has nothing to find; texts are searched whole; repeated
+Edge cases: a null text stays null; an empty one has nothing to find; texts are searched whole, and values of any length
+are permuted, long ones in linked blocks; repeated
 rows and ids are treated row by row; an empty table gives no rows; clashing columns give way to results.
 """
 
@@ -35,6 +36,8 @@ from .common import bounded, plus, schema_plus, small_batches, table
 #: Where a session has its key. Without one it makes its own, and its pseudonyms then link its own documents only.
 KEY = "spark.paperloom.pseudonym.key"
 ROUNDS = 8
+#: Places that one network permutes, and characters of a value that is remembered; longer values go block by block and are not kept.
+BLOCK, REMEMBERED = 64, 256
 _B, _E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 SHAPES = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"),
@@ -63,6 +66,8 @@ class Permutation:
 
     def digits(self, tweak: str, values: list[int], radices: list[int]) -> list[int]:
         """Each value is below its radix; so is each result."""
+        if len(values) > BLOCK:
+            return self._long(tweak, values, radices)
         half = (len(values) + 1) // 2
         sizes, nums = [1, 1], [0, 0]
         for k, (v, r) in enumerate(zip(values, radices, strict=True)):
@@ -80,6 +85,20 @@ class Permutation:
             out.append(v)
         return out[::-1]
 
+    def _long(self, tweak: str, values: list[int], radices: list[int]) -> list[int]:
+        """Block by block, there and back; a block's tweak is a digest of the results before it, so each depends on all values and can still be undone."""
+        base, out = self._digest(tweak.encode()), list(values)
+        starts = range(0, len(out), BLOCK)
+        for turn, order in enumerate((starts, reversed(starts))):
+            before = base
+            for at in order:
+                out[at : at + BLOCK] = self.digits(f"{turn}{before}", out[at : at + BLOCK], radices[at : at + BLOCK])
+                before = self._digest(f"{before}{out[at : at + BLOCK]}".encode())
+        return out
+
+    def _digest(self, x: bytes) -> str:
+        return hashlib.blake2b(x, key=self.key, digest_size=16).hexdigest()
+
     def walked(self, tweak: str, values: list[int], radices: list[int], valid: Callable[[list[int]], bool]) -> list[int]:
         values = self.digits(tweak, values, radices)
         while not valid(values):
@@ -216,7 +235,9 @@ MAKE = {"email": _email, "key": _key, "secret": _secret, "iban": _iban, "ip": _i
 class Pseudonymizer:
     def __init__(self, key: bytes):
         perm = Permutation(key)
-        self.make = lru_cache(100_000)(lambda kind, value: MAKE[kind](perm, value))
+        make = lambda kind, value: MAKE[kind](perm, value)
+        known = lru_cache(100_000)(make)
+        self.make = lambda kind, value: (known if len(value) <= REMEMBERED else make)(kind, value)
 
     def __call__(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of each; positions hold for both texts."""

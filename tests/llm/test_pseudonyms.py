@@ -121,3 +121,55 @@ def test_table(spark, odd, empty, documents):
         for f in r["found"]:
             assert r["text"][at : f["start"]] == before[k]["text"][at : f["start"]]
             at = f["end"]
+
+
+@pytest.mark.parametrize("n", [8, 63, 64, 65, 128, 200, 240, 1000, 5000, 100_000])
+def test_values_of_any_length(n):
+    rng = random.Random(n)
+    value = "".join(rng.choices("abcXYZ0189", k=n))
+    for before, after in (("token=", ""), ("", "@example.com")):
+        text, found = CHANGE(f"x {before}{value}{after} y")
+        assert len(found) == 1 and len(text) == len(before + value + after) + 4 and text.startswith(f"x {before}") and text.endswith(f"{after} y")
+        new = text[2 + len(before) : len(text) - 2 - len(after)]
+        assert new != value and [c.isdigit() for c in new] == [c.isdigit() for c in value] and [c.isupper() for c in new] == [c.isupper() for c in value]
+        assert CHANGE(f"again {before}{value}{after}")[0].endswith(new + after)
+
+
+def test_long_values_are_one_to_one():
+    """Every value of four places, wherever they are in a value of three blocks, has its own result, and all blocks change with each."""
+    perm = p.Permutation(b"k")
+    for places in ((0, 1, 2, 3), (70, 71, 100, 101), (0, 65, 130, 139)):
+        seen = set()
+        for some in itertools.product(range(6), repeat=4):
+            values = [3] * 140
+            for k, v in zip(places, some, strict=True):
+                values[k] = v
+            seen.add(tuple(perm.digits("t", values, [10] * 140)))
+        assert len(seen) == 6**4 and all(len({x[a : a + 64] for x in seen}) == 6**4 for a in (0, 64))
+
+
+FINDERS = {
+    "email": re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}", re.A), "ssn": re.compile(r"\b\d{3}-\d\d-\d{4}\b"), "ip": re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}\b"),
+    "key": re.compile(r"\bA[KS]IA[A-Z0-9]{16}\b"), "date": re.compile(r"\b(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8])\b"), "digits": re.compile(r"\d[\d -]{11,}\d"),
+}
+
+
+def test_an_independent_finder_sees_none_that_stayed(documents):
+    """Plain patterns and checksums of their own, over all documents of the small table: what they find is changed."""
+    seen = 0
+    for row in documents.collect():
+        text = row["text"] or ""
+        new, _ = CHANGE(text)
+        assert len(new) == len(text)
+        for kind, shape in FINDERS.items():
+            for m in shape.finditer(text):
+                if kind == "digits":
+                    d = [int(c) for c in m[0] if c.isdigit()]
+                    total = sum(x if k % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for k, x in enumerate(reversed(d)))
+                    if not 13 <= len(d) <= 19 or total % 10 or m[0] != m[0].strip(" -") or "  " in m[0]:
+                        continue
+                if kind == "ssn" and (m[0][:3] in ("000", "666") or m[0][0] == "9" or m[0][4:6] == "00" or m[0][7:] == "0000") or kind == "ip" and any(int(o) > 255 or o != str(int(o)) for o in m[0].split(".")):
+                    continue
+                assert new[m.start() : m.end()] != m[0], (kind, m[0])
+                seen += 1
+    assert seen > 10
