@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,11 +16,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts can be long, so a batch holds few of them.
 BATCH_ROWS = 256
 #: Text bytes that a worker takes from a batch at once; one text may be longer.
 BATCH_BYTES = 1 << 23
+#: Bytes of a text that are cut into words at once.
+SLICE = 1 << 22
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +96,31 @@ def rows_of(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator
         yield batch, texts_of(batch, column)
 
 
+def sliced(text: bytes, at: re.Pattern[bytes] = SPACE) -> Iterator[bytes]:
+    """The text in slices of about ``SLICE`` bytes that end where ``at`` matches."""
+    start = 0
+    while start < len(text):
+        cut = at.search(text, start + SLICE)
+        end = cut.end() if cut else len(text)
+        yield text[start:end]
+        start = end
+
+
+def hash_bits(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of the top ``bits`` bits of a column of 64-bit hashes; the driver gets a row for each 64 bits at most."""
+    top = f"shiftrightunsigned({column}, {64 - bits})"
+    rows = hashes.groupBy(F.expr(f"shiftright({top}, 6)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({top} & 63 AS INT))")).alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("set").to_numpy()
+    return out.view(np.uint64)
+
+
+def has_bit(bitmap: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    """Whether the bit that the top ``bits`` bits of a hash name is set."""
+    at = h >> np.uint64(64 - bits)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def release() -> None:
     """Workers live on between tasks; what their allocators keep would count against their executor."""
     gc.collect()

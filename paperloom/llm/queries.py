@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, packing, pages, pseudonyms, quality, scoring, simhash, warc
+from . import chat, decontaminate, interactions, licenses, minhash, packing, pages, phrases, pseudonyms, quality, scoring, simhash, warc
 from .sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -22,4 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": warc.op8_warc,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_filter_interaction": interactions.op11_filter_interaction,
+    "op12_minhash": minhash.op12_minhash,
+    "op13_collocations": phrases.op13_collocations,
 }

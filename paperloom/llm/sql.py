@@ -99,4 +99,50 @@ def license_sql() -> str:
     WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.doc_id = a.doc_id AND b.containment > a.containment AND list_has_all(b.shared, a.shared))"""
 
 
-SQL = {"op4_decontamination": DECONTAMINATION, "op6_license_scan": license_sql(), "op8_warc": WARC, "op9_chat_formatting": CHAT, "op10_quality_rules": quality_sql()}
+def interactions_sql() -> str:
+    """Each document against each order of the five filters."""
+    words = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+    letters = "(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f)"
+    return rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, {words} AS w, min(doc_id) OVER (PARTITION BY text) AS low FROM d),
+    l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    f AS MATERIALIZED (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, concat(CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+        CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' END, CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN w.doc_id > low THEN 'E' END) AS fails
+        FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+    m AS MATERIALIZED (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+    o AS (SELECT concat(a.f, b.f, c.f, d.f, e.f) AS filter_order FROM {letters} a, {letters} b, {letters} c, {letters} d, {letters} e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+    s AS (SELECT *, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+    r AS (SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS hit, fails = f AS alone, regexp_matches(fails, concat('[', before, '_]')) AS gone FROM m, s),
+    g AS (SELECT part, filter_order, step, f, sum(n) FILTER (NOT gone AND NOT hit) AS kept, sum(n) FILTER (hit AND NOT gone) AS removed, sum(n) FILTER (hit AND gone) AS redundant, sum(n) FILTER (alone) AS unique_fails,
+        sum(good) FILTER (hit AND NOT gone) AS good_lost, sum(toxic) FILTER (hit AND NOT gone) AS toxic_lost FROM r GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+        CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM g"""
+
+
+COLLOCATIONS = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS MATERIALIZED (SELECT lang, w FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p) WHERE len(w) > 0),
+    total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+    f AS MATERIALIZED (SELECT lang, m, g AS phrase, count(*) AS f FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS g FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)
+        GROUP BY lang, m, g HAVING count(*) >= 100),
+    c AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+    inner_parts AS (SELECT lang, f, array_to_string(ws[i:i + s - 1], ' ') AS phrase FROM (SELECT lang, a AS f, ws, m, s, unnest(range(1, CAST(m - s + 2 AS BIGINT))) AS i FROM c, (SELECT unnest(range(2, 5)) AS s) WHERE s < m)),
+    kept AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM inner_parts x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.f >= 100 * c.a)),
+    cuts AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS left_part, array_to_string(ws[k + 1:], ' ') AS right_part FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+    s AS (SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, n, (CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+        FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = left_part JOIN f y ON y.lang = cuts.lang AND y.phrase = right_part JOIN total ON total.lang = cuts.lang),
+    best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) WHERE rank <= 2000"""
+
+
+MINHASH = rf"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS MATERIALIZED (SELECT rid, doc_id, list_sort(CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+    c AS MATERIALIZED (SELECT min(rid) AS c, min(doc_id) AS low, g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+    e AS MATERIALIZED (SELECT c, n, unnest(g) AS g FROM c),
+    l AS MATERIALIZED (SELECT a.c AS u, b.c AS v FROM e a JOIN e b ON a.g = b.g AND a.c <> b.c GROUP BY a.c, a.n, b.c, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    r AS (SELECT c AS u, c AS v FROM c UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v),
+    k AS (SELECT r.u AS c, min(x.low) AS low FROM r JOIN c x ON x.c = r.v GROUP BY r.u),
+    f AS (SELECT doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CASE WHEN len(s.g) = 0 THEN doc_id ELSE k.low END AS component_id FROM s LEFT JOIN c ON len(s.g) > 0 AND c.g = s.g LEFT JOIN k ON k.c = c.c)
+    SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM f"""
+
+
+SQL = {"op4_decontamination": DECONTAMINATION, "op6_license_scan": license_sql(), "op8_warc": WARC, "op9_chat_formatting": CHAT, "op10_quality_rules": quality_sql(), "op11_filter_interaction": interactions_sql(), "op12_minhash": MINHASH, "op13_collocations": COLLOCATIONS}
