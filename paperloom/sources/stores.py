@@ -1,13 +1,12 @@
-"""Stored tables with whole commits, append-only logs, and look-ups.
+"""Look-ups in stored tables, what is stored of documents, and tables of intermediate results.
 
-A ``Snapshot`` is a folder of numbered versions and a pointer to the one that holds. A change writes a new version
-and then moves the pointer, so readers see the old table or the new one, and a failed write leaves no trace that
-matters. One writer at a time is assumed, as in any file-based table.
+The tables themselves, whose changes are whole commits, are in ``tables``.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,115 +14,35 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.invariants import quarantined
-from ..operators.compare import insertable, one_of, replaced, stale
+from ..operators.compare import one_of
+from .tables import BucketedTable, Log, Snapshot, Store
 
+__all__ = ["BucketedTable", "Log", "Snapshot", "Store"]
 
-def settled(rows: DataFrame) -> DataFrame:
-    """``rows`` computed once, as a table in a folder of its own under ``spark.checkpoint.dir``.
 
-    What injected models gave is thus the same to all that read it, and a lost executor runs none of them again.
-    Where no folder is set (tests, one machine), a temporary one is made and removed at exit.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which all executors share.
+
+    Where none is set, a local session (tests, one machine) makes a temporary one and removes it at exit; a cluster fails.
     """
-    spark = rows.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="paperloom-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows`` computed once, as a table in a folder of its own under ``spark.checkpoint.dir``.
+
+    What injected models gave is thus the same to all that read it, and a lost executor runs none of them again.
+    """
+    path = shared_folder(rows.sparkSession, "settled")
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
-class Snapshot:
-    def __init__(self, spark: SparkSession, path: str, schema: str, partition: str | None = None):
-        self.spark, self.path, self.schema, self.partition = spark, path.rstrip("/"), schema, partition
-
-    def _fs(self):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-
-    def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def version(self) -> int:
-        """The newest pointer; 0 if there is none yet."""
-        fs = self._fs()
-        if not fs.exists(self._at("")):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(self._at(""))]
-        return max((int(n.removeprefix("_current-")) for n in names if n.startswith("_current-")), default=0)
-
-    def read(self) -> DataFrame:
-        n = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{n}") if n else self.spark.createDataFrame([], self.schema)
-
-    def write(self, rows: DataFrame) -> int:
-        """Makes ``rows`` the table."""
-        n = self.version() + 1
-        fs = self._fs()
-        fs.delete(self._at(f"v{n}"), True)  # of a write that failed
-        out = rows.write
-        (out.partitionBy(self.partition) if self.partition else out).parquet(f"{self.path}/v{n}")
-        fs.create(self._at(f"_current-{n}"), True).close()
-        for old in range(max(1, n - 4), n - 1):  # the last one stays for readers that have begun
-            fs.delete(self._at(f"_current-{old}"), False)
-            fs.delete(self._at(f"v{old}"), True)
-        return n
-
-    def replace(self, rows: DataFrame, broken: Column | None = None, doc: str = "docId") -> int:
-        """Replaces all rows of the documents in ``rows``; nothing is written if a row breaks an invariant."""
-        if broken is not None:
-            _, bad = quarantined(rows, broken)
-            first = bad.select(F.col("violations")[0]["message"]).first()
-            if first:
-                raise ValueError(first[0])
-        return self.write(replaced(self.read(), rows, doc))
-
-    def clear(self, ids: DataFrame, doc: str = "docId") -> int:
-        return self.write(self.read().join(ids.select(doc).distinct(), doc, "left_anti"))
-
-    def upsert(self, rows: DataFrame, key: str = "id") -> int:
-        return self.write(replaced(self.read(), rows, key))
-
-    def stale(self, rows: DataFrame) -> DataFrame:
-        return stale(self.read(), rows)
-
-
-class Log:
-    """Rows that are added once and never change; each commit is a folder of its own."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str):
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
-
-    def read(self) -> DataFrame:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        return self.spark.read.schema(self.schema).parquet(self.path) if fs.exists(where) else self.spark.createDataFrame([], self.schema)
-
-    def append(self, rows: DataFrame, parents: DataFrame | None = None, parent: str = "docId", broken: Column | None = None) -> None:
-        """Adds all of ``rows`` or, if a key is there already, a parent is missing or an invariant is broken, none."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_staged-{uuid.uuid4().hex}")  # readers skip names that begin with _
-        fs = where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        try:
-            # computed once, so what is checked is what is added
-            rows.write.parquet(where.toString())
-            rows = self.spark.read.schema(rows.schema).parquet(where.toString())
-            self._check(rows, parents, parent, broken)
-            rows.write.mode("append").parquet(self.path)
-        finally:
-            fs.delete(where, True)
-
-    def _check(self, rows: DataFrame, parents: DataFrame | None, parent: str, broken: Column | None) -> None:
-        if broken is not None:
-            said = rows.select(F.explode(broken).alias("v")).first()
-            if said:
-                raise ValueError(said["v"]["message"] if hasattr(said["v"], "message") else said["v"])
-        marked = insertable(rows, self.read(), self.key, parents, parent)
-        first = marked.where("error IS NOT NULL").select(self.key, "error").first()
-        if first:
-            raise ValueError(f"{first[0]}: {first[1]}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def by_id(rows: DataFrame, value, key: str = "id") -> DataFrame:
