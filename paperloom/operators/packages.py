@@ -131,6 +131,43 @@ def reference_violations(refs: DataFrame, allowed: DataFrame) -> DataFrame:
     return unknown.unionByName(per.where("i AND e").select(*key, F.lit("included and excluded").alias("message"))).unionByName(per.where("n > v").select(*key, F.lit("repeated reference").alias("message")))
 
 
+#: Reasons that only the safety gate may give.
+GATE_REASONS = ("restricted_sensitivity", "masking_required_unavailable", "cross_customer_confidentiality")
+
+
+def selection_issues(selected: DataFrame, parents: DataFrame | None = None, gate_reasons: tuple[str, ...] = GATE_REASONS) -> DataFrame:
+    """What is wrong with selections, in the order in which a reader of each would meet it.
+
+    ``selected`` has a row for each reference: selection (which answer it is in), side (included or excluded), index (its
+    place there, from 0), docId, chunkId and reason. Rows of the result are selection, ordinal (from 1), path and message:
+    first repeated references, by side and index, each naming the first place of its reference, then reasons that are not
+    the selector's, then, with ``parents`` (docId, chunkId, parentDocId), parents of another document. Only references that
+    occur twice in a selection meet each other, by their key.
+    """
+    key = ["selection", "docId", "chunkId"]
+    rank = F.when(F.col("side") == "included", 0).otherwise(1)
+    firsts = selected.groupBy(*key).agg(F.min(F.when(F.col("side") == "included", F.col("index"))).alias("_i"), F.min(F.when(F.col("side") == "excluded", F.col("index"))).alias("_e"), F.count("*").alias("_n")).where("_n > 1")
+    met = selected.join(firsts.repartition(F.xxhash64(*key)), key)
+    first = F.when(F.col("side") == "included", F.col("_i")).otherwise(F.col("_e"))
+    again = F.when(F.col("index") > first, F.concat(F.lit("duplicate chunk ref (docId + chunkId) also at "), "side", F.lit("["), first.cast("string"), F.lit("]")))
+    both = F.when((F.col("side") == "excluded") & F.col("_i").isNotNull(), F.lit("chunk ref must not appear in both included and excluded"))
+    at = lambda field: F.concat("side", F.lit("."), F.col("index").cast("string"), F.lit(f".{field}"))
+    said = F.filter(F.array(F.struct(F.lit(0).alias("k"), again.alias("m")), F.struct(F.lit(1).alias("k"), both.alias("m"))), lambda x: x["m"].isNotNull())
+    issues = met.select("selection", rank.alias("a"), F.col("index").cast("bigint").alias("b"), at("chunkId").alias("path"), F.explode(said).alias("x")).select("selection", "a", "b", F.col("x.k").alias("c"), "path", F.col("x.m").alias("message"))
+    wrong = selected.where((F.col("side") == "excluded") & F.col("reason").isin(*gate_reasons))
+    issues = issues.unionByName(wrong.select("selection", F.lit(2).alias("a"), F.col("index").cast("bigint").alias("b"), F.lit(0).alias("c"), at("reason").alias("path"), F.concat(F.lit("Strategist must not emit safety_gate-origin reason: "), "reason").alias("message")))
+    if parents is not None:
+        other = selected.join(parents.where("parentDocId <> docId"), ["docId", "chunkId"])
+        issues = issues.unionByName(other.select("selection", F.lit(3).alias("a"), (F.col("index") * 2 + rank).cast("bigint").alias("b"), F.lit(0).alias("c"), F.lit("parent.docId").alias("path"), F.lit("parent.docId must equal chunk.docId").alias("message")))
+    place = F.row_number().over(Window.partitionBy("selection").orderBy("a", "b", "c", "path"))
+    return issues.select("selection", place.cast("bigint").alias("ordinal"), "path", "message")
+
+
+def first_issue(issues: DataFrame) -> DataFrame:
+    """The issue that a reader of each selection meets first."""
+    return issues.where("ordinal = 1").drop("ordinal")
+
+
 def package_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(*(F.count_if(F.col("bucket") == b).alias(b) for b in ("included", "excluded", "humanReview")))
 

@@ -59,14 +59,26 @@ def curated(docs: DataFrame, curate: Step, now: Column) -> DataFrame:
     return failed(got, "curatorError", error, now).drop("c_sensitivity", "c_rationale", "c_error")
 
 
-def masked(docs: DataFrame, risk: Step, mask: Callable[[DataFrame, str], DataFrame] = masking.simple_rule, text: str = "text") -> DataFrame:
+#: Labels that the masker's decision may change.
+LABELS = ("sensitivity", "aiUsePolicy", "sensitivitySource", "sensitivityReason", "originalCuratorSensitivity")
+
+
+def converted(docs: DataFrame, column: str = "error", *, now: Column) -> DataFrame:
+    """Documents whose layout could not be read (``column`` says why) fail with a conversionError; others pass."""
+    return failed(docs, "conversionError", F.col(column), now).drop(column)
+
+
+def masked(docs: DataFrame, risk: Step, mask: Callable[[DataFrame, str], DataFrame] = masking.simple_rule, text: str = "text", now: Column | None = None) -> DataFrame:
     """Documents in masking get a masked body and a decision, and end ai_safe or restricted; others pass.
 
+    Where ``risk`` adds m_error, rows that have one become failed with a maskerError and keep their labels.
+
     ``docs`` is written once before it is split, so a classifier that differs between runs neither loses nor repeats a row.
     """
     docs = settled(docs)
     due = F.coalesce(F.col("status") == "masking", F.lit(False))
-    done = risk(mask(docs.where(due), text)).withColumn("decision", decision_of(F.col("recommendedSensitivity")))
+    done = docs.where(due).withColumns({f"_{c}": F.col(c) for c in LABELS if c in docs.columns})
+    done = risk(mask(done, text)).withColumn("decision", decision_of(F.col("recommendedSensitivity")))
     done = promoted(done, F.col("recommendedSensitivity"), F.col("riskRationale"), F.col("reasons"))
     ready = F.col("decision") == "ai_safe_ready"
     done = done.withColumns({
@@ -74,8 +86,14 @@ def masked(docs: DataFrame, risk: Step, mask: Callable[[DataFrame, str], DataFra
         "masker": F.struct("decision", "provider", F.size("maskedSpans").alias("maskedSpansCount"), "ruleHits", F.col("contentSha256").alias("sourceContentHash")),
     })
     extra = ["maskedSpans", "maskedContent", "ruleHits", "provider", "detected", "reasons", "recommendedSensitivity", "riskRationale", "decision"]
+    if "m_error" in done.columns:  # a row that the masker or the risk check failed on ends there, without a body or a decision
+        bad = F.col("m_error").isNotNull()
+        made = [c for c in ("aiSafeStoragePath", "aiSafeContent", "masker") if c in done.columns]
+        done = done.withColumns({c: F.when(~bad, F.col(c)) for c in made})
+        done = done.withColumns({c: F.when(bad, F.col(f"_{c}")).otherwise(F.col(c)) for c in LABELS if f"_{c}" in done.columns})
+        done = failed(done, "maskerError", F.col("m_error"), now if now is not None else F.current_timestamp()).drop("m_error")
     rest = docs.where(~due)
-    return rest.unionByName(done.drop(*extra), allowMissingColumns=True)
+    return rest.unionByName(done.drop(*extra, *(f"_{c}" for c in LABELS)), allowMissingColumns=True)
 
 
 def health(chunks: DataFrame) -> DataFrame:
@@ -120,4 +138,4 @@ def conversion_audit(evals: DataFrame, docs: DataFrame) -> DataFrame:
 
 def text_lifecycle(docs: DataFrame, curate: Step, risk: Step, now: Column) -> DataFrame:
     """Initial rows with text to their terminal state."""
-    return masked(curated(to_curating(docs, now), curate, now), risk)
+    return masked(curated(to_curating(docs, now), curate, now), risk, now=now)

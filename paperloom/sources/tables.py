@@ -96,7 +96,7 @@ class BucketedTable:
     def manifest(self, version: int | None = None) -> dict:
         n = self.version() if version is None else version
         if not n:
-            return {"version": 0, "buckets": self._buckets, "files": {}, "change": "none", "touched": []}
+            return {"version": 0, "buckets": self._buckets, "files": {}, "change": "none", "touched": [], "marks": {}}
         found = json.loads(self.store.text(f"_log/{n:020}.json"))
         return found | {"files": {int(b): f for b, f in found["files"].items()}}
 
@@ -173,6 +173,39 @@ class BucketedTable:
         """Rows that ``rows`` would remove."""
         return stale(self.read(), rows)
 
+    def migrate(self, name: str, change: Callable[[DataFrame], DataFrame], at_once: int = 16) -> tuple[int, int]:
+        """Rewrites all rows by ``change``, some buckets a commit; each commit also moves a mark of this name.
+
+        A run that was stopped goes on at the first bucket that has not been committed, one that has ended does nothing. Rows that
+        ``change`` gives a ``problem`` stay as they are. Gives the rows that changed and those that stayed because of a problem.
+        """
+        done = stayed = 0
+        while (at := self.manifest()["marks"].get(name, 0)) < (n := self.manifest()["buckets"]):
+            some = set(range(at, min(n, at + at_once)))
+            counts: list[int] = []
+
+            def on(files: Files, some: set[int] = some, n: int = n, counts: list[int] = counts) -> Files:
+                counts.clear()
+                old = self._rows(files, some)
+                if not any(files.get(b) for b in some):
+                    counts.extend((0, 0))
+                    return dict.fromkeys(some, [])
+                names = [c.name for c in old.schema]
+                made = change(old.withColumn("_old", F.struct(*names)))
+                problem = F.col("problem").isNotNull() if "problem" in made.columns else F.lit(False)
+                rows = made.select(F.when(problem, F.col("_old")).otherwise(F.struct(*(F.col(c).cast(old.schema[c].dataType).alias(c) for c in names))).alias("r"), problem.alias("p"), (~problem & ~F.struct(*names).eqNullSafe(F.col("_old"))).alias("d"))
+                where = f"{self.path}/_staged/{uuid.uuid4().hex}"
+                rows.write.parquet(where)
+                rows = self.spark.read.schema(rows.schema).parquet(where)
+                counts.extend(rows.agg(F.count_if("d"), F.count_if("p")).first())
+                out = self._written(rows.select("r.*"), f"data/{uuid.uuid4().hex}", n)
+                self.store.delete(where.removeprefix(f"{self.path}/"))
+                return dict.fromkeys(some, []) | out
+
+            self._commit(f"migrate {name}", some, on, {name: max(some) + 1})
+            done, stayed = done + counts[0], stayed + counts[1]
+        return done, stayed
+
     def _of_key(self, column: str | None) -> None:
         if column not in (None, self.key):
             raise ValueError(f"{self.path} has its rows by {self.key}, not by {column}")
@@ -212,7 +245,7 @@ class BucketedTable:
                 out.setdefault(int(f.rpartition("_bucket=")[2].partition("/")[0]), []).append(f)
         return out
 
-    def _commit(self, what: str, touched: set[int] | None, make: Callable[[Files], Files]) -> int:
+    def _commit(self, what: str, touched: set[int] | None, make: Callable[[Files], Files], marks: dict[str, int] | None = None) -> int:
         """Publishes what ``make`` gives for the touched buckets (all, if None) on the newest version, again after each lost race."""
         made = seen = None
         for _ in range(TRIES):
@@ -222,7 +255,7 @@ class BucketedTable:
             if made is None or touched is not None and held != seen:
                 made, seen = make(files), held
             kept = {b: f for b, f in ({} if touched is None else files).items() if b not in made} | {b: f for b, f in made.items() if f}
-            new = {"version": now["version"] + 1, "buckets": now["buckets"], "change": what, "touched": sorted(kept if touched is None else touched), "files": kept}
+            new = {"version": now["version"] + 1, "buckets": now["buckets"], "change": what, "touched": sorted(kept if touched is None else touched), "marks": now["marks"] | (marks or {}), "files": kept}
             if self.store.put_new(f"_log/{now['version'] + 1:020}.json", json.dumps(new)):
                 return now["version"] + 1
         raise Conflict(f"{self.path}: others changed the same buckets {TRIES} times")
