@@ -26,9 +26,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import Joined, Member, compared
 from .common import plus, release, rows_of, schema_plus, small_batches, table, texts_of, written
 from .components import components
 
@@ -323,8 +324,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
 #: differ, 39 give or take 6, so 998 in 1000 such pairs are within 55. Some band of 57 (19 in each of three orders of the
 #: bits) is equal with a probability of 1 - (1 - 0.849 ** 13) ** 57 = 0.999. What is within is then compared itself.
 SHINGLE, WORDS, DISTANCE, BANDS, BAND_BITS, TURNS, LEAST = 5, 4, 55, 19, 13, 3, 0.8
-#: What a block of texts holds at most, about: a cell is two blocks. One text may be longer.
-BLOCK_TEXTS, BLOCK_BYTES = 128, 1 << 21
 
 
 def alike(a: set[int], b: set[int], least: float) -> bool:
@@ -357,69 +356,50 @@ class Comparison:
     def __init__(self, distance: int, shingle: int, least: float):
         self.distance, self.shingle, self.least = distance, shingle, least
 
-    def links(self, fps: list[bytes], labels: list[bytes], blocks: list[int], texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        words = as_words(fps)
+    def __call__(self, a: list[Member], b: list[Member] | None) -> list[tuple[bytes, bytes]]:
+        members, side = a + (b or []), np.array([0] * len(a) + [1] * len(b or []))
+        words = as_words([m["u"] for m in members])
         order = np.argsort(gray_rank(words[:, 0]), kind="stable")
-        words = np.ascontiguousarray(words[order])
         known: dict[bytes, int] = {}
-        label, block = (np.array(x)[order] for x in ([known.setdefault(x, len(known)) for x in labels], blocks))
-        found = list(GrayIndex(np.zeros(len(fps), np.int64), words, label).links(self.distance))
-        if not found:
-            return []
-        one, other, bits = (np.concatenate(x) for x in zip(*found, strict=True))
-        if block.min() != block.max():  # two blocks meet; each has a cell for its own pairs
-            across = block[one] != block[other]
-            one, other, bits = one[across], other[across], bits[across]
-        nearest = np.argsort(bits, kind="stable")
-        root, sets, out = list(range(len(known))), {}, []
-
-        def up(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        def shingles(k: int) -> set[int]:
+        label = np.array([known.setdefault(m["label"], len(known)) for m in members])[order]
+        side, words, joined, sets, out = side[order], np.ascontiguousarray(words[order]), Joined(), {}, []
+        names = list(known)
+
+        def shingles(k: int) -> np.ndarray:
             if k not in sets:
-                sets[k] = set(shingle_hashes(texts[k], self.shingle).tolist())
+                sets[k] = np.unique(shingle_hashes((members[k]["payload"] or b""), self.shingle))
             return sets[k]
 
-        for a, b, la, lb in zip(*(x.tolist() for x in (order[one[nearest]], order[other[nearest]], label[one[nearest]], label[other[nearest]])), strict=True):
-            la, lb = up(la), up(lb)
-            if la != lb and alike(shingles(a), shingles(b), self.least):
-                root[max(la, lb)] = min(la, lb)
-                out.append((fps[a], fps[b]))
+        for one, other, bits in GrayIndex(np.zeros(len(members), np.int64), words, label).links(self.distance):
+            if b is not None:  # two blocks meet; each has a cell for its own pairs
+                across = side[one] != side[other]
+                one, other, bits = one[across], other[across], bits[across]
+            nearest = np.argsort(bits, kind="stable")
+            one, other = one[nearest], other[nearest]
+            for i, j, la, lb in zip(*(x.tolist() for x in (order[one], order[other], label[one], label[other])), strict=True):
+                if joined.root(names[la]) != joined.root(names[lb]) and similar_sets(shingles(i), shingles(j), self.least):
+                    joined.join(names[la], names[lb])
+                    out.append((members[i]["u"], members[j]["u"]))
         return out
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by cell; one cell is held at a time."""
-        now, held = None, ([], [], [], [])
-        for batch, texts in rows_of(batches):
-            cells = zip(*(batch.column(n).to_pylist() for n in ("root", "kind", "i", "j")), strict=True)
-            for cell, *row in zip(cells, *(batch.column(n).to_pylist() for n in ("fp", "label", "block")), texts, strict=True):
-                if cell != now:
-                    yield from self.batch(self.links(*held) if now else [])
-                    now, held = cell, ([], [], [], [])
-                for column, x in zip(held, row, strict=True):
-                    column.append(x)
-        yield from self.batch(self.links(*held) if now else [])
-        release()
-
-    @staticmethod
-    def batch(links: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*links, strict=True)], ["u", "v"])
 
-
-def _blocks(n: str, size: str) -> Column:
-    return F.greatest(F.ceil(F.col(n) / BLOCK_TEXTS), F.ceil(F.col(size) / BLOCK_BYTES)).cast("bigint")
+def similar_sets(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """``alike`` of sorted arrays."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < least * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+    return both >= least * (len(a) + len(b) - both)
 
 
 def similar(fps: DataFrame, each: DataFrame, shingle: int, least: float, **search) -> DataFrame:
     """u, v: links between alike texts of ``fps`` (fp, text, _row), enough of them to join all that any such links join.
 
     Fingerprints within the distance make groups. Each member is compared with its group's root; those alike are the group's
-    core. Where others are left, blocks of these meet each other and blocks of the core, each pair of blocks in a cell of
-    bounded size that holds a text once and compares pairs within the distance; pairs are never rows of a table.
+    core. Where others are left, blocks of these meet each other and blocks of the core (see ``blocks``): a text is stored
+    once in its block, so what is written grows with the group, and pairs are never rows of a table.
     ``each`` has the row (low._row) whose text stands for a fingerprint.
     """
     near = written(groups(fps, **search))
@@ -428,24 +408,12 @@ def similar(fps: DataFrame, each: DataFrame, shingle: int, least: float, **searc
     texts = written(fps.select("_row", "text").join(rows.select("fp", "_row").hint("merge"), "_row").select("fp", "text"))
     first = written(confirmed(near.select(F.col("fp").alias("u"), F.col("root").alias("v")), texts, shingle, least))
     core = first.select(F.col("u").alias("fp"), F.col("v").alias("label"))
-    left = rows.join(core, "fp", "left").join(texts.select("fp", F.octet_length("text").alias("size")), "fp").select("fp", "root", F.coalesce("label", "fp").alias("label"), "size")
-    left = left.withColumn("rest", F.col("label") != F.col("root"))
-    total = lambda of, what: F.sum(F.when(of, what).otherwise(F.lit(0)))
-    rest, own = F.col("rest"), ~F.col("rest")
-    counts = left.groupBy("root").agg(total(rest, F.lit(1)).alias("n"), total(rest, F.col("size")).alias("s"), total(own, F.lit(1)).alias("core_n"), total(own, F.col("size")).alias("core_s")).where("n > 0")
-    counts = counts.select("root", _blocks("n", "s").alias("rests"), _blocks("core_n", "core_s").alias("cores"))
-    met = left.join(counts.repartition(F.xxhash64("root", F.lit(1))), "root")
-    met = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.when(rest, F.col("rests")).otherwise(F.col("cores"))))
-    across = lambda other, i, j: F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1), lambda k: F.struct(F.lit("c").alias("kind"), i(k).alias("i"), j(k).alias("j")))
-    within = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("rests") - 1), lambda k: F.struct(F.lit("r").alias("kind"), F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-    mine = lambda k: F.col("own")
-    theirs = lambda k: k
-    cells = F.when(rest, F.concat(across("cores", theirs, mine), within)).otherwise(across("rests", mine, theirs))
-    # the two sides of a cell of core and rest are blocks of their own, whatever their numbers
-    met = met.withColumn("cell", F.explode(cells)).select("fp", "root", "label", F.when(rest, F.col("own")).otherwise(-1 - F.col("own")).alias("block"), "cell.*")
-    key = ["root", "kind", "i", "j"]
-    met = written(met).join(texts, "fp").repartition(*key).sortWithinPartitions(*key)
-    return first.unionByName(met.mapInArrow(Comparison(search["distance"], shingle, least), "u binary, v binary"))
+    left = written(rows.join(core, "fp", "left").select("fp", "root", F.coalesce("label", "fp").alias("label")).withColumn("rest", F.col("label") != F.col("root")))
+    # the root has been compared with every member, so a group needs cells only where two others are left
+    some = left.where("fp <> root").groupBy("root").agg(F.max("rest").alias("any"), F.count("*").alias("n")).where("any AND n > 1").select("root")
+    held = left.where("fp <> root").join(some.repartition(F.xxhash64("root", F.lit(1))), "root", "left_semi").join(texts, "fp")
+    held = held.select(F.col("root").alias("grp"), F.col("fp").alias("u"), "label", "rest", F.col("text").cast("binary").alias("payload"))
+    return first.unionByName(compared(held, Comparison(search["distance"], shingle, least)))
 
 
 def deduplicated(

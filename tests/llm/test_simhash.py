@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from paperloom.llm import blocks
 from paperloom.llm import simhash as s
 from paperloom.llm.components import components
 
@@ -142,7 +143,7 @@ def test_deduplication(spark, odd, empty):
 def test_only_similar_texts_are_duplicates(spark, monkeypatch, cell_rows, texts_a_block):
     """The rows that stay are those of components of exact similarity, on pairs and stars of all similarities around 0.8."""
     monkeypatch.setattr(s.linked, "__defaults__", (*s.linked.__defaults__[:-1], cell_rows))
-    monkeypatch.setattr(s, "BLOCK_TEXTS", texts_a_block)
+    monkeypatch.setattr(blocks, "BLOCK_MEMBERS", texts_a_block)
     rng = random.Random(11)
     words, texts = [f"word{k}" for k in range(3000)], []
     for k in range(60):
@@ -168,7 +169,7 @@ def test_only_similar_texts_are_duplicates(spark, monkeypatch, cell_rows, texts_
 
 def test_a_large_group_of_near_copies_that_mostly_differ(spark, monkeypatch):
     """One group by fingerprints whose members are alike in part only, over many blocks."""
-    monkeypatch.setattr(s, "BLOCK_TEXTS", 16)
+    monkeypatch.setattr(blocks, "BLOCK_MEMBERS", 16)
     rng = random.Random(3)
     base = [f"word{k}" for k in range(300)]
     texts = []
@@ -191,3 +192,35 @@ def test_a_large_group_of_near_copies_that_mostly_differ(spark, monkeypatch):
 def test_alike():
     a = set(range(100))
     assert s.alike(a, set(range(80)), 0.8) and not s.alike(a, set(range(79)), 0.8) and s.alike(set(), set(), 0.8) and not s.alike(a, set(), 0.8)
+
+
+def test_rows_of_a_hot_group_grow_with_its_members(spark, monkeypatch):
+    """Members of one group that mostly differ, at three sizes: what is written for their comparison grows with them, and only numbers of blocks are paired."""
+    monkeypatch.setattr(blocks, "BLOCK_MEMBERS", 64)
+    made, packed = [], blocks.packed
+
+    def counting(members):
+        held, counts = packed(members)
+        n = held.selectExpr("size(held) AS n").agg({"n": "sum"}).first()[0]
+        made.append((n, held.count(), blocks.cells(counts).count()))
+        return held, counts
+
+    monkeypatch.setattr(blocks, "packed", counting)
+    base = [f"word{k}" for k in range(200)]
+    for size in (100, 200, 400):
+        rng, texts = random.Random(size), []
+        for _ in range(size):
+            w = list(base)
+            for at in rng.sample(range(0, 200, 5), 6):
+                w[at] = f"new{rng.random()}"
+            texts.append(" ".join(w))
+        s.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)).count()
+    assert all(n <= size for (n, _, _), size in zip(made, (100, 200, 400), strict=True)) and made[2][0] > 200
+    assert all(held <= n // 32 + 2 and cells <= held * held for n, held, cells in made)
+
+
+def test_sorted_sets_are_compared_as_sets():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ({rng.randrange(60) for _ in range(rng.randrange(40))} for _ in range(2))
+        assert s.similar_sets(*(np.array(sorted(x), np.uint64) for x in (a, b)), 0.5) == s.alike(a, b, 0.5)
