@@ -62,6 +62,11 @@ def chunk_ranges(chunks: DataFrame, boundary: int = BOUNDARY) -> DataFrame:
     return chunks.withColumn("start", start).withColumn("end", F.col("start") + n)
 
 
+def ordinals(rows: DataFrame, key: str, *order: Column, name: str = "ordinal") -> DataFrame:
+    """``rows`` with their place, from 1, among those of their key."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
 def maskability(ranges: DataFrame, spans: DataFrame) -> DataFrame:
     """docId, unmaskablePiiFindings, maskableChunkRate; a span counts as maskable if one chunk with a usable place holds it.
 

@@ -20,6 +20,8 @@ INSTRUCTIONS = (
     "Do not infer missing operational rules.",
     "If required information is missing, ask the human owner.",
 )
+#: Columns of documents that may be long.
+BODIES = ("aiSafeContent", "text", "content", "pages")
 ROW = ("bucket", "docId", "fileName", "reason", "status", "sourceType", "sensitivity", "aiSafeViaMasking", "aiSafeContent")
 
 
@@ -32,8 +34,8 @@ def top_inventory(docs: DataFrame, limit: int = 100, eligible: Column | None = N
 
 
 def with_chunks(inventory: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks of the inventory's documents. An inventory is a top-k of a bounded k, so it is broadcast."""
-    parent = F.broadcast(inventory.select(F.col("id").alias("docId"), F.struct(*[c for c in inventory.columns]).alias("parent")))
+    """Chunks of the inventory's documents. An inventory is a top-k of a bounded k, so it is broadcast, but for its bodies."""
+    parent = F.broadcast(inventory.select(F.col("id").alias("docId"), F.struct(*[c for c in inventory.columns if c not in BODIES]).alias("parent")))
     return chunks.join(parent, "docId")
 
 

@@ -66,23 +66,35 @@ def expectations(fixtures: DataFrame, expected: DataFrame) -> DataFrame:
     return met.where(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(True)).drop("_id")
 
 
+def schema_errors(chunks: DataFrame, broken: Column) -> DataFrame:
+    """docId, ord and message: a row for each chunk (docId, ord) that breaks a rule, however many a document has."""
+    said = F.concat(F.lit("chunk["), F.col("ord").cast("string"), F.lit("] invariant failed: "), F.array_join(F.transform(broken, lambda v: v["message"]), "; "))
+    return chunks.where(F.size(broken) > 0).select("docId", "ord", said.alias("message"))
+
+
 def schema_validity(chunks: DataFrame, broken: Column) -> DataFrame:
-    """docId, passed and errors (in order of ``ord``) of chunks with what each breaks."""
-    said = F.when(F.size(broken) > 0, F.struct("ord", F.concat(F.lit("chunk["), F.col("ord").cast("string"), F.lit("] invariant failed: "), F.array_join(F.transform(broken, lambda v: v["message"]), "; ")).alias("m")))
-    got = chunks.groupBy("docId").agg(F.array_sort(F.collect_list(said)).alias("e"))
-    return got.select("docId", (F.size("e") == 0).alias("passed"), F.transform("e", lambda x: x["m"]).alias("errors"))
+    """docId, passed, errors (how many) and firstError (by ``ord``) of chunks with what each breaks; ``schema_errors`` lists them."""
+    bad = F.size(broken) > 0
+    said = F.concat(F.lit("chunk["), F.col("ord").cast("string"), F.lit("] invariant failed: "), F.array_join(F.transform(broken, lambda v: v["message"]), "; "))
+    got = chunks.groupBy("docId").agg(F.count_if(bad).alias("errors"), F.min(F.when(bad, F.struct("ord", said.alias("m")))).alias("first"))
+    return got.select("docId", (F.col("errors") == 0).alias("passed"), "errors", F.col("first.m").alias("firstError"))
 
 
 def ci_report(evals: DataFrame, stage: str) -> DataFrame:
-    """One row, json: summary, fixtures and, at the heuristic stage, counts by axis. A report covers a bounded set of fixtures."""
-    total = status_summary(evals).select(F.struct("pass", "warn", "fail").alias("summary"))
-    each = evals.agg(F.array_sort(F.collect_list(F.struct("docId", "status", "reasons"))).alias("fixtures"))
-    report = total.crossJoin(each)  # one row by one row
-    fields = ["summary", "fixtures"]
-    if stage == "heuristic":
-        report = report.crossJoin(axis_summary(evals).agg(F.array_sort(F.collect_list(F.struct("axis", "pass", "warn", "fail"))).alias("heuristicAxisSummary")))
-        fields.append("heuristicAxisSummary")
-    return report.select(F.to_json(F.struct(F.lit(stage).alias("stage"), *fields)).alias("json"))
+    """part, docId and line: one JSON document as lines in the order of part and docId, of any number of fixtures.
+
+    Part 0 has the stage and the summary, part 1 a line for each fixture, part 2 the end with, at the heuristic stage, counts by
+    axis. ``exports.text_lines`` writes them in order.
+    """
+    first = evals.agg(F.min("docId")).first()[0]  # the only line of a fixture without a comma
+    none = F.lit(None).cast(evals.schema["docId"].dataType)
+    head = status_summary(evals).select(F.lit(0).alias("part"), none.alias("docId"), F.concat(F.lit(f'{{"stage":"{stage}","summary":'), F.to_json(F.struct("pass", "warn", "fail")), F.lit(',"fixtures":[')).alias("line"))
+    each = evals.select(F.lit(1).alias("part"), "docId", F.concat(F.when(F.col("docId") > F.lit(first), ",").otherwise(""), F.to_json(F.struct("docId", "status", "reasons"))).alias("line"))
+    if stage == "heuristic":  # three axes
+        axes = axis_summary(evals).agg(F.array_sort(F.collect_list(F.struct("axis", "pass", "warn", "fail"))).alias("a")).select(F.concat(F.lit('],"heuristicAxisSummary":'), F.to_json("a"), F.lit("}")).alias("line"))
+    else:
+        axes = evals.sparkSession.createDataFrame([("]}",)], "line string")
+    return head.unionByName(each).unionByName(axes.select(F.lit(2).alias("part"), none.alias("docId"), "line"))
 
 
 def paired_names(docs: DataFrame, pairs: dict[str, str]) -> DataFrame:

@@ -84,15 +84,14 @@ def safety_gate_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS BIGINT) AS hits FROM documents")
 def pii_rule_hits_email(spark: SparkSession, d: str) -> DataFrame:
-    pattern = rf"{text.EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{text.EDGE}"
-    return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(pattern)).cast("bigint").alias("hits"))
+    return table(spark, d, "documents").select("doc_id", F.size(masking.finder(masking.RULES[:1])(F.col("text"))).cast("bigint").alias("hits"))
 
 
 @query(rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '〒?{WS}*[0-9]{{3}}-[0-9]{{4}}\b')) AS BIGINT) AS postal, CAST(len(regexp_extract_all(text, '(?i)\b[0-9]{{2,4}}-[0-9X]{{2,4}}-[0-9X]{{4}}\b')) AS BIGINT) AS phone FROM documents")
 def pii_rule_hits_digits(spark: SparkSession, d: str) -> DataFrame:
-    postal = rf"〒?[{text.SPACE}]*[0-9]{{3}}-[0-9]{{4}}{text.EDGE}"
-    phone = rf"{text.EDGE}[0-9]{{2,4}}-[0-9Xx]{{2,4}}-[0-9Xx]{{4}}{text.EDGE}"
-    return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(postal)).cast("bigint").alias("postal"), F.regexp_count("text", F.lit(phone)).cast("bigint").alias("phone"))
+    found = table(spark, d, "documents").select("doc_id", masking.finder(masking.RULES[1:3])(F.col("text")).alias("s"))
+    count = lambda rule: F.size(F.filter("s", lambda x: x["ruleId"] == rule)).cast("bigint")
+    return found.select("doc_id", count("postal_hyphen").alias("postal"), count("phone_like").alias("phone"))
 
 
 @query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '[REDACTED:EMAIL]', 'g') AS masked FROM documents")
@@ -206,16 +205,16 @@ def axis_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.axis_summary(evaluation.evaluated(_conversation_measures(spark, d), "heuristic", F.lit("scan-pdf")))
 
 
-@query(r"""WITH c AS (SELECT conv_id, regexp_replace(string_agg(text, chr(10) ORDER BY turn), '[\s]+', '', 'g') AS corpus FROM conversations GROUP BY conv_id),
-    f AS (SELECT conv_id, text FROM conversations WHERE turn = 1 UNION ALL SELECT conv_id - 1, text FROM conversations WHERE turn = 1),
-    m AS (SELECT conv_id, contains(corpus, regexp_replace(text, '[\s]+', '', 'g')) AS found FROM f JOIN c USING (conv_id))
-    SELECT conv_id AS "docId", round(CAST(count_if(found) AS DOUBLE) / count(*), 6) AS "keyFieldRecall", count_if(NOT found) AS missing FROM m GROUP BY conv_id""", whole=("missing",))
+@query(r"""WITH l AS (SELECT doc_id, text, regexp_replace(text, '[\s]+', '', 'g') AS corpus, string_split(text, chr(10))[1] AS line FROM documents),
+    f AS (SELECT doc_id, line FROM l UNION ALL SELECT doc_id - 1, line FROM l), m AS (SELECT doc_id, contains(corpus, regexp_replace(f.line, '[\s]+', '', 'g')) AS found FROM f JOIN l USING (doc_id))
+    SELECT doc_id AS "docId", round(CAST(count_if(found) AS DOUBLE) / count(*), 6) AS "keyFieldRecall", count_if(NOT found) AS missing FROM m GROUP BY doc_id""", whole=("missing",))
 def semantic_retention(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as documents; the answers expected of one are its own first and that of the next."""
-    chunks = table(spark, d, "conversations").select(F.col("conv_id").alias("docId"), F.col("turn").alias("ord"), "text")
-    first = chunks.where("ord = 1").select("docId", "text")
+    """All documents, their lines as chunks; the fields expected of one are its own first line and that of the next document."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("docId"), "text")
+    chunks = docs.select("docId", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    first = chunks.where("ord = 0").select("docId", "text")
     fields = first.unionByName(first.withColumn("docId", F.col("docId") - 1)).groupBy("docId").agg(F.collect_list("text").alias("expectedFields"))
-    got = evaluation.retention(chunks, fields.join(chunks.select("docId").distinct(), "docId", "left_semi"))
+    got = evaluation.retention(chunks, fields.join(docs.select("docId"), "docId", "left_semi"))
     return got.select("docId", F.round("keyFieldRecall", 6).alias("keyFieldRecall"), F.size("missingExpectedFields").cast("bigint").alias("missing"))
 
 
@@ -242,13 +241,14 @@ def span_containment(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.maskability(r, spans).withColumn("maskableChunkRate", F.round("maskableChunkRate", 6))
 
 
-@query("""SELECT name, CASE WHEN regexp_matches(lower(head), 'price|fee') THEN 'Confidential' WHEN regexp_matches(lower(head), 'phone|tel|address|e-mail|email') THEN 'Confidential' ELSE 'Internal' END AS sensitivity,
-    CASE WHEN regexp_matches(lower(head), 'tel|phone') THEN '列ヘッダが電話番号情報を示すため' WHEN regexp_matches(lower(head), 'address') THEN '列ヘッダが住所情報を示すため' WHEN regexp_matches(lower(head), 'fee|price') THEN '列ヘッダが個別金額/単価/報酬を示すため' END AS reason
-    FROM (SELECT table_name AS name, string_agg(column_name, ' ') AS head FROM (VALUES """ + ", ".join(f"('{t}', '{c}')" for t, cs in {"part": ("p_partkey", "p_name", "p_retailprice"), "orders": ("o_orderkey", "o_totalprice"), "customer": ("c_custkey", "c_phone", "c_address"), "nation": ("n_nationkey", "n_name")}.items() for c in cs) + """) v(table_name, column_name) GROUP BY 1)""")
+@query("""SELECT c_custkey AS id, CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') OR c_nationkey % 2 = 0 THEN 'Confidential' ELSE 'Internal' END AS sensitivity, CASE c_mktsegment WHEN 'BUILDING' THEN '列ヘッダが電話番号情報を示すため' WHEN 'AUTOMOBILE' THEN '列ヘッダが個別金額/単価/報酬を示すため'
+    ELSE CASE WHEN c_nationkey % 2 = 0 THEN '列ヘッダが住所情報を示すため' END END AS reason FROM customer""")
 def column_rule_promotion(spark: SparkSession, d: str) -> DataFrame:
-    heads = {"part": "| p_partkey | p_name | p_retailprice |\n| --- | --- | --- |\n| 1 | a | 2 |", "orders": "| o_orderkey | o_totalprice |\n| --- | :---: |", "customer": "text\n\n| c_custkey | c_phone | c_address |\n|---|---|---|", "nation": "| n_nationkey | n_name |\n| --- | --- |"}
-    chunks = spark.createDataFrame(list(heads.items()), "name string, text string").withColumns({"sensitivity": F.lit("Internal"), "aiUsePolicy": F.lit("direct")})
-    return columns.promote(chunks).select("name", "sensitivity", F.col("sensitivityReason").cast("string").alias("reason"))
+    """Every customer as a table of one row, whose columns its segment and nation decide."""
+    more = F.when(F.col("c_mktsegment") == "BUILDING", "Phone").when(F.col("c_mktsegment") == "AUTOMOBILE", "unit price").when(F.col("c_nationkey") % 2 == 0, "Address").otherwise("remarks")
+    body = F.concat(F.lit("| id | "), more, F.lit(" |\n| --- | :---: |\n| "), F.col("c_custkey").cast("string"), F.lit(" | "), F.regexp_replace("c_name", r"\|", " "), F.lit(" |"))
+    chunks = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), body.alias("text"), F.lit("Internal").alias("sensitivity"), F.lit("direct").alias("aiUsePolicy"))
+    return columns.promote(chunks).select("id", "sensitivity", F.col("sensitivityReason").cast("string").alias("reason"))
 
 
 @query("""SELECT '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS markdown FROM region""")
@@ -463,8 +463,8 @@ def one_flag_only(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, CAST(list_position(list(turn ORDER BY turn), max(turn)) AS BIGINT) AS last_place, count(*) AS n FROM conversations GROUP BY 1")
 def ordinal_index(spark: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, d, "conversations").select("conv_id", place.alias("p")).groupBy("conv_id").agg(F.max("p").cast("bigint").alias("last_place"), F.count("*").alias("n"))
+    placed = evaluation.ordinals(table(spark, d, "conversations"), "conv_id", F.asc("turn"))
+    return placed.groupBy("conv_id").agg(F.max("ordinal").cast("bigint").alias("last_place"), F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS total, count_if(quality = 1) AS passed, round(CAST(count_if(quality = 1) AS DOUBLE) / count(*), 6) AS rate FROM labels", whole=("passed",))
@@ -504,13 +504,19 @@ def rehydration(spark: SparkSession, d: str) -> DataFrame:
     return labelled(spark, d).select("docId", whole.alias("whole"))
 
 
-@query(DOCS + """SELECT lang AS "docId", count_if(status = 'masking') = 0 AS passed, count_if(status = 'masking') AS errors FROM lab GROUP BY 1""", whole=("errors",))
+@query(DOCS + """SELECT lang AS "docId", count_if(status = 'masking') = 0 AS passed, count_if(status = 'masking') AS errors, 'chunk[' || min(CASE WHEN status = 'masking' THEN doc_id END) || '] invariant failed: not terminal' AS "firstError" FROM lab GROUP BY 1""", whole=("errors",))
 def schema_validity(spark: SparkSession, d: str) -> DataFrame:
     rows = labelled(spark, d).select(F.col("lang").alias("docId"), F.col("doc_id").alias("ord"), "status")
     broken = F.filter(F.array(F.when(F.col("status") == "masking", F.struct(F.lit("status").alias("path"), F.lit("not terminal").alias("message")))), lambda x: x.isNotNull())
-    return reports.schema_validity(rows, broken).select("docId", "passed", F.size("errors").cast("bigint").alias("errors"))
+    return reports.schema_validity(rows, broken).select("docId", "passed", "errors", "firstError")
 
 
-@query()
+@query(MEASURES + """, e AS (SELECT *, list_filter([CASE WHEN "contextPackageReadiness" = 'fail' THEN 'context_package_readiness: fail (downgraded to warn)' END, CASE WHEN coverage = 'fail' THEN 'coverage: fail (downgraded to warn)' END,
+        CASE WHEN "locatorQuality" = 'fail' THEN 'locator_quality: fail (downgraded to warn)' END, CASE WHEN coverage = 'warn' THEN 'coverage: warn' END, CASE WHEN "locatorQuality" = 'warn' THEN 'locator_quality: warn' END], lambda x: contains(x, 'downgraded')) AS reasons FROM ov),
+    n AS (SELECT count_if(status = 'pass') AS p, count_if(status = 'warn') AS w, count_if(status = 'fail') AS f, count_if(coverage = 'pass') AS cp, count_if(coverage = 'warn') AS cw, count_if(coverage = 'fail') AS cf,
+        count_if("locatorQuality" = 'pass') AS lp, count_if("locatorQuality" = 'warn') AS lw, count_if("locatorQuality" = 'fail') AS lf, count(*) AS every FROM e)
+    SELECT CAST(0 AS INTEGER) AS part, NULL AS "docId", format('{{"stage":"heuristic","summary":{{"pass":{},"warn":{},"fail":{}}},"fixtures":[', p, w, f) AS line FROM n
+    UNION ALL SELECT 1, "docId", CASE WHEN "docId" > (SELECT min("docId") FROM e) THEN ',' ELSE '' END || to_json({'docId': "docId", 'status': status, 'reasons': reasons}) FROM e
+    UNION ALL SELECT 2, NULL, format('],"heuristicAxisSummary":[{{"axis":"coverage","pass":{},"warn":{},"fail":{}}},{{"axis":"locator_quality","pass":{},"warn":{},"fail":{}}},{{"axis":"safety_readiness","pass":{},"warn":0,"fail":0}}]}}', cp, cw, cf, lp, lw, lf, every) FROM n""")
 def ci_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.ci_report(evaluation.evaluated(_conversation_measures(spark, d), "heuristic", F.lit("scan-pdf")), "heuristic")

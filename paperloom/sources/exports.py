@@ -12,8 +12,8 @@ from .tables import Store
 SHARD_ROWS, FILE_ROWS = 100_000, 200_000
 
 
-def jsonl(rows: DataFrame, path: str, *order: Column, shard_rows: int = SHARD_ROWS, file_rows: int = FILE_ROWS) -> int:
-    """Writes ``rows`` as JSON lines in the order given and gives their number. Null fields are written, as the export has them.
+def text_lines(rows: DataFrame, path: str, line: str, *order: Column, shard_rows: int = SHARD_ROWS, file_rows: int = FILE_ROWS) -> int:
+    """Writes a column of ``rows`` as lines of text in the order given, and gives their number.
 
     Ranges of the order go to tasks, each sorted; Spark names its files by range and, within one, by number. ``order``
     must tell all rows apart, or equal ones may come in any order.
@@ -21,10 +21,16 @@ def jsonl(rows: DataFrame, path: str, *order: Column, shard_rows: int = SHARD_RO
     rows = settled(rows)  # bounds of the ranges and rows come of the same values
     n = rows.count()
     dealt = rows.repartitionByRange(max(1, -(-n // shard_rows)), *order).sortWithinPartitions(*order)
-    dealt.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.option("maxRecordsPerFile", file_rows).text(path)
+    dealt.select(F.col(line).alias("value")).write.option("maxRecordsPerFile", file_rows).text(path)
     return n
 
 
+def jsonl(rows: DataFrame, path: str, *order: Column, shard_rows: int = SHARD_ROWS, file_rows: int = FILE_ROWS) -> int:
+    """Writes ``rows`` as JSON lines in the order given and gives their number. Null fields are written, as the export has them."""
+    lines = rows.withColumn("_line", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}))
+    return text_lines(lines, path, "_line", *order, shard_rows=shard_rows, file_rows=file_rows)
+
+
 def shards(spark, path: str) -> list[str]:
     """The files of an export, in order."""
     return sorted(f for f in Store(spark, path).below("") if f.rpartition("/")[2].startswith("part-"))
