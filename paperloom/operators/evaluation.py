@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +131,33 @@ def evaluated(measures: DataFrame, stage: str, subtype: Column | None = None) ->
     return got.withColumns({"status": status, "reasons": reasons})
 
 
+#: Subtypes that a stage measures, and what the safety axis has where nothing was inspected.
+SUBTYPES = ("official-doc-pdf", "slide-pdf", "scan-pdf")
+NOT_INSPECTED = {"unmaskablePiiFindings": 0, "maskableChunkRate": 1.0}
+
+
+def run_stage(measures: DataFrame, stage: str, inspect: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Evaluations of documents (docId, sourceSubtype and what ``evaluated`` takes) at one stage.
+
+    A subtype that no stage measures fails its query when it is read, as do measures of the golden stage at another. Only
+    the heuristic and the golden stage have a safety axis. Without ``inspect``, which adds unmaskablePiiFindings and
+    maskableChunkRate, it is a dry run, whatever the input has: no findings, and all chunks maskable.
+    """
+    if stage not in STAGES:
+        raise ValueError(f"unknown stage {stage}")
+    name = {"health": "health check", "heuristic": "heuristic", "golden": "golden check"}[stage]
+    known = F.coalesce(F.col("sourceSubtype").isin(*SUBTYPES), F.lit(False))
+    said = F.concat(F.lit(f'{name} runner supports subtypes {", ".join(SUBTYPES)} only: received "'), F.coalesce("sourceSubtype", F.lit("null")), F.lit('"'))
+    got = measures.where(F.when(known, True).otherwise(F.raise_error(said).cast("boolean")))
+    extra = [c for c in GOLDEN_ONLY if c in got.columns]
+    if extra and stage != "golden":
+        wrong = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in extra))
+        got = got.where(F.when(wrong.isNull(), True).otherwise(F.raise_error(F.concat(wrong, F.lit(f" is measured at golden only, not at {stage}"))).cast("boolean")))
+    safe = "safety_readiness" in STAGES[stage] and inspect is not None
+    got = inspect(got) if safe else got.withColumns({c: F.lit(v) for c, v in NOT_INSPECTED.items()})
+    return evaluated(got, stage, F.col("sourceSubtype"))
+
+
 def shape_violation(stage: str) -> Column:
     """Golden-only measures that are there at another stage."""
     named = [F.when(F.col(c).isNotNull(), F.lit(c)) for c in GOLDEN_ONLY] if stage != "golden" else [F.lit(None).cast("string")]

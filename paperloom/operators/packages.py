@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.policy import EXPORTABLE, blocked_for_ai, gate_rationale, gate_reason, needs_masker, source_label
-from ..functions.text import is_blank, js_trim
+from ..functions.policy import EXPORTABLE, blocked_for_ai, gate_rationale, gate_reason, inventory_eligible, needs_masker, source_label
+from ..functions.text import is_blank, iso_millis, js_trim
 
 MAX_INVENTORY = 1000
 #: Fixed values.
@@ -33,6 +33,26 @@ def top_inventory(docs: DataFrame, limit: int = 100, eligible: Column | None = N
     return top if eligible is None else top.where(eligible)
 
 
+def inventory_rows(docs: DataFrame) -> DataFrame:
+    """Stored documents as inventory rows; those that are not at their end, or lack a label, their curator's or masker's block, have none.
+
+    Times become ISO text, the masker's block also gives its evaluation, and maskingPending stays only where it is true.
+    """
+    has = set(docs.columns)
+    col = lambda c, kind="string": F.col(c) if c in has else F.lit(None).cast(kind)
+    masker = col("masker", "struct<residualRisk:struct<detected:boolean,reasons:array<string>>,recommendedSensitivity:string,rationale:string>")
+    labels = [col(c) for c in ("documentType", "businessDomain", "sensitivity", "freshness", "isAuthoritativeCandidate", "aiUsePolicy", "sensitivitySource", "curator")]
+    ends = docs.where(inventory_eligible(F.col("status"), labels, masker))
+    evaluation = F.when(masker.isNotNull(), F.struct(masker["residualRisk"].alias("residualRisk"), masker["recommendedSensitivity"].alias("recommendedSensitivity"), masker["rationale"].alias("rationale")))
+    external = col("externalSource", "struct<fileId:string,webViewLink:string>")
+    return ends.select(
+        "id", "fileName", F.col("storagePath").alias("sourcePath"), "storagePath", col("aiSafeStoragePath").alias("aiSafeStoragePath"), "status", iso_millis(F.col("createdAt").cast("timestamp")).alias("createdAt"), iso_millis(F.col("updatedAt").cast("timestamp")).alias("updatedAt"),
+        "documentType", "businessDomain", "sensitivity", "freshness", "isAuthoritativeCandidate", "aiUsePolicy", F.col("curator.rationale").alias("rationale"), "sensitivitySource", col("originalCuratorSensitivity").alias("originalCuratorSensitivity"),
+        col("sensitivityReason").alias("sensitivityReason"), "curator", masker.alias("masker"), evaluation.alias("maskerEvaluation"), "sourceKind", external["fileId"].alias("externalSourceFileId"), external["webViewLink"].alias("externalSourceWebViewLink"),
+        F.when(col("maskingPending", "boolean"), True).alias("maskingPending"),
+    )
+
+
 def with_chunks(inventory: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks of the inventory's documents. An inventory is a top-k of a bounded k, so it is broadcast, but for its bodies."""
     parent = F.broadcast(inventory.select(F.col("id").alias("docId"), F.struct(*[c for c in inventory.columns if c not in BODIES]).alias("parent")))

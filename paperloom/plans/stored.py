@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.invariants import document_violations, violations
 from ..operators import packages
 from ..sources import exports, objects, scans
 from ..sources.stores import shared_folder
@@ -127,3 +128,34 @@ def selection_issues(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "restricted_sensitivity").otherwise("purpose_mismatch").alias("reason"),
     )
     return packages.selection_issues(refs)
+
+
+@query(DOCS + """SELECT "docId" AS id, 'doc-' || "docId" || '.txt' AS "fileName", status, sensitivity, 'by label' AS rationale, CASE WHEN lang = 'de' THEN 'true' ELSE 'absent' END AS "maskingPending" FROM lab WHERE status <> 'masking' AND lang <> 'fr'""")
+def inventory_projection(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as stored ones; those in masking are not at their end, French ones lack their curator's block."""
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    curator = F.when(F.col("lang") != "fr", F.struct("sensitivity", "aiUsePolicy", F.lit("by label").alias("rationale")))
+    docs = labelled(spark, d).select(
+        F.col("docId").alias("id"), F.concat(F.lit("doc-"), "docId", F.lit(".txt")).alias("fileName"), F.concat(F.lit("raw/"), "docId").alias("storagePath"), "status", now.alias("createdAt"), now.alias("updatedAt"), F.lit("t").alias("documentType"), F.lit("b").alias("businessDomain"), "sensitivity",
+        F.lit("current").alias("freshness"), F.lit(True).alias("isAuthoritativeCandidate"), "aiUsePolicy", F.lit("curator").alias("sensitivitySource"), curator.alias("curator"), F.lit("upload").alias("sourceKind"), (F.col("lang") == "de").alias("maskingPending"),
+    )
+    return packages.inventory_rows(docs).select("id", "fileName", "status", "sensitivity", "rationale", F.coalesce(F.col("maskingPending").cast("string"), F.lit("absent")).alias("maskingPending"))
+
+
+@query(DOCS + """SELECT "docId" AS id, path FROM (SELECT *, doc_id % 13 AS k FROM lab), (SELECT unnest(range(0, 13)) AS r, unnest(['aiSafeStoragePath', 'sensitivitySource', 'originalCuratorSensitivity', 'curator', 'masker', 'masker', 'masker.sourceContentHash', 'status', 'status', 'status', 'sensitivityReason', 'sourceKind', 'sourceKind']) AS path)
+    WHERE r = k OR k = 3 AND r = 7""")
+def document_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a stored one that breaks the rule of its number modulo 13 (one of them must break a second)."""
+    k, none = F.col("doc_id") % 13, F.lit(None).cast("string")
+    pick = lambda otherwise, **cases: F.coalesce(*(F.when(k == int(n[1:]), F.lit(v)) for n, v in cases.items()), otherwise)
+    status = pick(F.lit("curated"), r1="masking", r4="ai_safe", r6="masking", r8="blocked", r9="restricted", r10="restricted")
+    policy = pick(F.lit("direct"), r6="requires_masking", r9="requires_masking", r10="requires_masking", r7="blocked")
+    decided = k.isin(5, 6, 9, 10)
+    masker = F.when(decided, F.struct(F.when(k == 10, "restricted_promoted").when(k == 9, "ai_safe_ready").otherwise("residual").alias("decision"), F.when(k == 6, "other").otherwise("h").alias("sourceContentHash")))
+    from_masker = k.isin(1, 9, 10)
+    given = labelled(spark, d).select(
+        F.col("docId").alias("id"), status.alias("status"), F.when(from_masker & (k != 1), "Restricted").otherwise(F.lit("Internal")).alias("sensitivity"), F.when(from_masker, "blocked").otherwise(policy).alias("aiUsePolicy"), F.when(from_masker, "masker").otherwise("curator").alias("sensitivitySource"),
+        F.when(from_masker | (k == 2), "Confidential").alias("originalCuratorSensitivity"), F.when(k == 9, "why").otherwise(none).alias("sensitivityReason"), F.lit("h").alias("contentSha256"), F.lit(False).alias("maskingPending"), F.when(k != 3, F.struct(policy.alias("aiUsePolicy"))).alias("curator"), masker.alias("masker"),
+        F.when((k == 0), "masked/x").alias("aiSafeStoragePath"), F.when(k == 11, "other").when(k == 12, "google_workspace").otherwise(F.lit("upload")).alias("sourceKind"), F.lit(None).cast("struct<provider:string>").alias("externalSource"),
+    )
+    return violations(given, "id", document_violations(given)).select("id", "path")

@@ -29,11 +29,17 @@ MAX_SHEETS = 200
 
 
 def directory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, modificationTime, length, content of files, with fileName; sorting is up to the reader of the result."""
+    """path, modificationTime, length, content of files, with fileName (a + stays one); ``in_order`` sorts them."""
     got = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return got.withColumn("fileName", F.url_decode(F.replace(F.regexp_extract("path", "([^/]*)$", 1), F.lit("+"), F.lit("%2B"))))
 
 
+def in_order(files: DataFrame, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """``files`` of some extensions (exactly as written) by path, which ranges of a sort deal out over tasks."""
+    own = F.regexp_extract("fileName", r"(\.[^./]*)$", 1)
+    return (files if extensions is None else files.where(own.isin(*(f".{e}" for e in extensions)))).orderBy("path")
+
+
 def extension(file_name: Column) -> Column:
     got = F.lower(F.regexp_extract(file_name, r"\.([A-Za-z0-9]+)$", 1))
     return F.when(got.isin(*EXTENSIONS), got)

@@ -204,3 +204,30 @@ def test_a_migration_goes_on_where_it_stopped(spark, tmp_path):
     assert len(asked) - first == 2 and stayed in (0, 1) and table.read().count() == 200
     assert {r["docId"] for r in table.read().where("kind IS NULL").collect()} == {"7"} and table.migrate("kinds", lambda rows: change(rows, 0)) == (0, 0)
     assert 0 < changed < 200
+
+
+def test_stages_guard_their_input(spark):
+    from paperloom.operators import evaluation
+
+    rows = spark.createDataFrame([("a", "scan-pdf", 1.0, True, True, 2, 0, 0, 5), ("b", "slide-pdf", 0.5, True, False, 1, 0, 0, 0)], "docId string, sourceSubtype string, pageCoverage double, hasPageLocators boolean, hasTableLocators boolean, chunkCount int, emptyChunks int, oversizedChunks int, unmaskablePiiFindings int")
+    inspect = lambda m: m.withColumns({"unmaskablePiiFindings": F.lit(3), "maskableChunkRate": F.lit(0.5)})
+    dry = {r["docId"]: r for r in evaluation.run_stage(rows, "golden").collect()}
+    assert [dry[k]["safetyReadiness"] for k in "ab"] == ["pass", "pass"] and dry["a"]["unmaskablePiiFindings"] == 0
+    real = {r["docId"]: r for r in evaluation.run_stage(rows, "golden", inspect).collect()}
+    assert [real[k]["safetyReadiness"] for k in "ab"] == ["warn", "fail"]
+    assert {r["safetyReadiness"] for r in evaluation.run_stage(rows, "health", inspect).collect()} == {"pass"}
+    with pytest.raises(Exception, match='health check runner supports subtypes official-doc-pdf, slide-pdf, scan-pdf only: received "csv"'):
+        evaluation.run_stage(rows.withColumn("sourceSubtype", F.lit("csv")), "health").collect()
+    with pytest.raises(Exception, match="keyFieldRecall is measured at golden only"):
+        evaluation.run_stage(rows.withColumn("keyFieldRecall", F.lit(1.0)), "heuristic").collect()
+    assert evaluation.run_stage(rows.withColumn("keyFieldRecall", F.lit(1.0)), "golden").count() == 2
+
+
+def test_directories_in_order(spark, tmp_path):
+    from paperloom.sources import files
+
+    for name in ("b+c.txt", "a d.txt", "x.pdf", "sub/e.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    got = [r["fileName"] for r in files.in_order(files.directory(spark, str(tmp_path)), ("txt",)).select("fileName").collect()]
+    assert got == ["a d.txt", "b+c.txt", "e.txt"]
