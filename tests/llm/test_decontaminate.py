@@ -56,3 +56,34 @@ def test_odd_rows(spark, odd, empty):
     assert d.decontaminate(empty, bench).count() == 0
     none = d.decontaminate(odd, bench.where("false"))
     assert none.count() == 10 and none.where("contaminated").count() == 0
+
+
+def test_blocks_in_one_pass(spark):
+    """Many blocks of the benchmark are one step over the documents, and no table is written between them."""
+    docs, items = cases()
+    got = d.decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), block_chars=200)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_slices(monkeypatch):
+    """Occurrences that go over the ends of slices, at every slice length."""
+    docs, items = cases()
+    tables = d.indexes(items)
+    for size in (1, 3, 10, 40):
+        monkeypatch.setattr("paperloom.llm.common.SLICE", size)
+        for _, text in docs:
+            found = set()
+            inside = d.searched((text or "").encode(), tables, found)
+            assert (len(inside), int(inside.sum()), sorted(found)) == brute(text, items)
+
+
+def test_shared_slots_and_memory():
+    """A shift table of few slots finds the same, and tables take a bounded number of bytes a character."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    items = [(k, " ".join(word() for _ in range(40))) for k in range(3_000)] + [(k, "one hot window of ten words that many items hold") for k in range(3_000, 6_000)]
+    tables = d.indexes(items)
+    assert sum(t.nbytes() for t in tables) < 12 * sum(len(t) for _, t in items)
+    found = set()
+    inside = d.searched(f"x {items[7][1]} y {items[-1][1]} {items[-1][1]}".encode(), tables, found)
+    assert int(inside.sum()) == 40 + 2 * 10 and found == {"7", *map(str, range(3_000, 6_000))}
