@@ -4,7 +4,8 @@ A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings inside texts
 first character, and ones that have backslashes there get one more, so the text comes back exactly. Turns
 of a conversation meet in order by one shuffle on its id. For each Arrow batch, numpy works out every
 segment's length, the running sums of these as offsets, and from them the indices at which headers and
-contents are scattered into one preallocated buffer, which becomes the Arrow column as it is. A conversation
+contents are scattered into one preallocated buffer, which becomes the Arrow column as it is; contents of ``LONG``
+bytes or more are copied as slices, since indices take eight bytes a byte. A conversation
 that goes on in the next batch goes on in the next part (row) of the result, so memory does not depend on
 its length.
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
+LONG = 1 << 12
 START, MIDDLE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 #: Control strings of common chat templates.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -75,7 +77,12 @@ def assemble(conv: np.ndarray, role: pa.Array, text: pa.Array, learned: np.ndarr
     for k, constant in ((0, START), (2, MIDDLE), (4, END)):
         out[begins[:, k, None] + np.arange(len(constant))] = np.frombuffer(constant, np.uint8)
     for k, source, count in ((1, roles, role_n), (3, texts, text_n)):
-        out[np.repeat(begins[:, k] - (np.cumsum(count) - count), count) + np.arange(len(source))] = source
+        at, long = np.cumsum(count) - count, count >= LONG
+        for r in np.flatnonzero(long).tolist():
+            out[begins[r, k] : ends[r, k]] = source[at[r] : at[r] + count[r]]
+        short = np.where(long, 0, count)
+        place = np.arange(short.sum()) - np.repeat(np.cumsum(short) - short, short)
+        out[np.repeat(begins[:, k], short) + place] = source[np.repeat(at, short) + place]
     first = np.flatnonzero(np.r_[True, conv[1:] != conv[:-1]])
     starts = begins[first, 0]
     offsets = np.r_[starts, ends[-1, -1]].astype(np.int64)

@@ -1,6 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from paperloom.llm import chat
@@ -54,3 +57,22 @@ def test_template(spark):
 
 def test_empty_table(spark):
     assert chat.read_back(chat.format_chats(made(spark, []))).count() == 0
+
+
+def test_long_texts_take_no_indices(monkeypatch):
+    """Slices and scattering give the same bytes, and a long text needs a few times its size."""
+    rng = random.Random(6)
+    conv = np.array([0, 0, 1, 2, 2, 2])
+    roles = pa.array(["user", "assistant", "", "user", "x" * 50, "assistant"])
+    texts = pa.array(["é" * rng.randrange(0, 60) for _ in range(5)] + [""])
+    learned = np.zeros(6, bool)
+    scattered = chat.assemble(conv, roles, texts, learned)
+    monkeypatch.setattr(chat, "LONG", 20)
+    mixed = chat.assemble(conv, roles, texts, learned)
+    assert mixed[0] == scattered[0] and all((a == b).all() for a, b in zip(mixed[1:], scattered[1:], strict=True))
+    monkeypatch.undo()
+    long = pa.array(["y" * 20_000_000])
+    tracemalloc.start()
+    chat.assemble(np.array([0]), pa.array(["user"]), long, np.zeros(1, bool))
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
