@@ -9,7 +9,9 @@ templates' shingles, a Jaccard similarity of nearly ``t`` to it, and at worst (i
 from other templates) of 0.8 / 2.2; ``1 - (1 - 0.36) ** 32`` of such windows, all but one in a million, are
 retrieved. Exact containment of the template's shingles then decides, at ``least`` or more.
 
-A match all of whose shingles belong to a better match of the document (another version's notice) is left out.
+What a license has in a document are the shingles of its wordings' best windows. A license all of whose shingles there
+are another's, too, is left out if the other has more of them or a higher containment: another version's notice, or the
+opening that two licenses share.
 Templates are a parameter with a fixed bound (``MAX_TEMPLATES``), so their tables are broadcast.
 
 Edge cases: null, empty and shorter texts hold no shingle and give no rows; a document gives one row for
@@ -39,36 +41,50 @@ TEMPLATES = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
     ),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
         "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation",
     ),
     "LGPL-3.0": (
         "Licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation",
     ),
     "LGPL-2.1": (
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation",
     ),
     "AGPL-3.0": (
         "Licensed under the GNU Affero General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation",
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+        "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"",
+        "Licensed under the BSD 2-Clause License.",
     ),
-    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 2-Clause License."),
     "BSD-3-Clause": (
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"",
         "Licensed under the BSD 3-Clause License.",
     ),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC License."),
@@ -127,13 +143,17 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, l
     places = places.select("doc_id", "h", "at", "hash", "n_words", F.explode(F.expr("array(at div n_words, at div n_words - 1)")).alias("k")).where(f"k >= 0 AND at + {SHINGLE} <= (k + 2) * n_words")
     each = places.groupBy("doc_id", "h", "n_words", "k").agg(F.collect_set("hash").alias("hashes")).select("doc_id", "n_words", (F.col("k") * F.col("n_words")).alias("first_word"), "hashes")
     pairs = each.withColumn("m", F.explode(_minhashes(bands))).select("doc_id", "n_words", "first_word", "hashes", "m.band", "m.value")
-    temp = temps.withColumn("m", F.explode(_minhashes(bands))).select("license", "template", "n_words", F.col("hashes").alias("wanted"), "m.band", "m.value")
-    found = pairs.join(F.broadcast(temp), ["n_words", "band", "value"])
+    temp = temps.withColumn("m", F.explode(_minhashes(bands))).select("license", "template", "n_words", "m.band", "m.value")
+    met = pairs.join(F.broadcast(temp), ["n_words", "band", "value"])
+    found = met.join(F.broadcast(temps.select("template", F.col("hashes").alias("wanted"))), "template")
     found = found.withColumn("shared", F.array_intersect("wanted", "hashes")).withColumn("containment", F.size("shared") / F.size("wanted")).where(F.col("containment") >= least)
-    best = found.groupBy("doc_id", "license").agg(F.max_by(F.struct("license", "containment", "first_word", "shared"), F.struct("containment", -F.col("first_word"))).alias("x"))
-    # a wording that differs from a better match (another version, say) shares only shingles of that match and goes
-    own = best.groupBy("doc_id").agg(F.collect_list("x").alias("xs"))
-    own = own.select("doc_id", F.explode(F.expr("filter(xs, x -> NOT exists(xs, y -> y.containment > x.containment AND size(array_except(x.shared, y.shared)) = 0))")).alias("x"))
+    first = F.struct("containment", -F.col("first_word"))
+    each = found.groupBy("doc_id", "license", "template").agg(F.max_by(F.struct("containment", "first_word", "shared"), first).alias("x")).select("doc_id", "license", "x.*")
+    best = each.groupBy("doc_id", "license").agg(F.max_by(F.struct("containment", "first_word"), first).alias("x"), F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
+    # lists of at most one row for each wording, then for each license
+    own = best.groupBy("doc_id").agg(F.collect_list(F.struct("license", "x.containment", "x.first_word", "shared")).alias("xs"))
+    more = "(y.containment > x.containment OR size(y.shared) > size(x.shared)) AND size(array_except(x.shared, y.shared)) = 0"
+    own = own.select("doc_id", F.explode(F.expr(f"filter(xs, x -> NOT exists(xs, y -> {more}))")).alias("x"))
     return own.select("doc_id", "x.license", "x.containment", "x.first_word")
 
 

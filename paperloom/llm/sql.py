@@ -93,10 +93,11 @@ def license_sql() -> str:
     d AS (SELECT doc_id, {grams} AS gs FROM (SELECT doc_id, {words} AS w FROM documents) WHERE len(w) >= {s}),
     x AS (SELECT doc_id, unnest(gs) AS g, generate_subscripts(gs, 1) - 1 AS pos FROM d),
     hit AS (SELECT DISTINCT doc_id, license, template, s, g, k FROM (SELECT doc_id, license, template, s, x.g, pos, unnest([pos // s, pos // s - 1]) AS k FROM x JOIN ts ON x.g = ts.g) WHERE k >= 0 AND pos + {s} <= (k + 2) * s),
-    best AS (SELECT doc_id, license, max(c) AS containment, arg_max(first_word, (c, -first_word)) AS first_word, arg_max(shared, (c, -first_word)) AS shared FROM (
-        SELECT doc_id, license, template, k * s AS first_word, list(g) AS shared, CAST(count(*) AS DOUBLE) / any_value(m) AS c FROM hit JOIN size USING (template) GROUP BY doc_id, license, template, s, k) WHERE c >= {licenses.LEAST} GROUP BY 1, 2)
+    per AS (SELECT doc_id, license, template, max(c) AS c, arg_max(first_word, (c, -first_word)) AS first_word, arg_max(shared, (c, -first_word)) AS shared FROM (
+        SELECT doc_id, license, template, k * s AS first_word, list(g) AS shared, CAST(count(*) AS DOUBLE) / any_value(m) AS c FROM hit JOIN size USING (template) GROUP BY doc_id, license, template, s, k) WHERE c >= {licenses.LEAST} GROUP BY 1, 2, 3),
+    best AS (SELECT doc_id, license, max(c) AS containment, arg_max(first_word, (c, -first_word)) AS first_word, list_distinct(flatten(list(shared))) AS shared FROM per GROUP BY 1, 2)
     SELECT doc_id, license, round(containment, 6) AS containment, CAST(first_word AS BIGINT) AS first_word FROM best a
-    WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.doc_id = a.doc_id AND b.containment > a.containment AND list_has_all(b.shared, a.shared))"""
+    WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.doc_id = a.doc_id AND (b.containment > a.containment OR len(b.shared) > len(a.shared)) AND list_has_all(b.shared, a.shared))"""
 
 
 def interactions_sql() -> str:
