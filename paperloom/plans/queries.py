@@ -100,12 +100,70 @@ def masked_text_email(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", masking.masked_text(F.col("text"), masking.non_overlapping(F.col("_s"))).alias("masked"))
 
 
-@query()
-def mask_all_rules(spark: SparkSession, d: str) -> DataFrame:
-    got = masking.simple_rule(table(spark, d, "documents").select("doc_id", "text"))
+#: Fixed values, in order: rule, type, what a match may begin with, what is masked. RE2 looks neither back nor ahead, so runs
+#: of digits are judged by their length, and the short form of a representative also matches inside the long one, which
+#: overlaps it and begins earlier.
+RE2_RULES = (
+    ("email", "EMAIL", "", EMAIL),
+    ("phone_like", "PHONE", "", r"\b[0-9]{2,4}-[0-9Xx]{2,4}-[0-9Xx]{4}\b"),
+    ("postal_hyphen", "POSTAL_CODE", "", rf"〒?{WS}*[0-9]{{3}}-[0-9]{{4}}\b"),
+    ("mynumber_12", "JP_MYNUMBER", "", "[0-9]+"),
+    ("bank_account_full", "BANK_ACCOUNT", "", rf"(?:普通|当座){WS}*[0-9]{{7}}(?:[ 　]+[゠-ヿー\-・]{{2,}})?|[0-9]{{7}}[ 　]+[゠-ヿー\-・]{{2,}}"),
+    ("amount_jpy", "AMOUNT_JPY", rf"(?m:^|{WS[:-1]}「『])(?:月額|金額|額|振込)?{WS}*", "[0-9,]+円(?:（[^）]*）)?"),
+    ("label_party", "COMPANY_NAME_HINT", "", rf"(?:甲|乙)[:：]{WS}*[^\n\r]+"),
+    ("label_daihyo_long", "PERSON_NAME_HINT", "", rf"代表取締役{WS}+[^\n\r]{{1,120}}"),
+    ("label_daihyo_short", "PERSON_NAME_HINT", "", rf"(?:代表者|代表){WS}+[^\n\r]{{1,120}}"),
+    ("label_tanto_line", "PERSON_NAME_HINT", "", rf"(?:甲側|乙側)?担当[:：]{WS}*[^\n\r]+"),
+    ("label_shimei", "PERSON_NAME_HINT", "", rf"氏名[:：]{WS}*[^\n\r]+"),
+    ("label_company_name", "COMPANY_NAME_HINT", "", rf"会社名[:：]{WS}*[^\n\r]+"),
+)
+#: Lines that hold each rule's form, close misses and overlaps; {} is the document's id.
+NOTICE = """
+氏名: {} 殿
+会社名： 株式会社{} 03-1234-5678
+甲: {} 社 a{}@one.example.com
+甲側担当：{}　乙側担当: {}
+代表取締役 代表 {}
+代表者  {}
+金額 1,{}円（税込） 20,000円 月額 5円 7円8円
+「300円」 額　{}円
+普通 1234567 タナカ・タ 7654321 ヤマダ
+〒100-0001 100-00012 090-12XX-5678 1100-0002-30004
+123456789012 1234567890123 x210987654321y {}000000000000
+b{}@two.example.com,c@three.example.org"""
+
+
+def mask_sql(rows: str) -> str:
+    """Masked text, spans and hits of rows (doc_id, text): matches are set between marks, which give their places."""
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{rule}' AS id, '{kind}' AS kind, string_split(regexp_replace(text, '({pre})({body})', '\\1' || chr(1) || '\\2' || chr(1), 'g'), chr(1)) AS p FROM t" for k, (rule, kind, pre, body) in enumerate(RE2_RULES)
+    )
+    return rf"""WITH t AS MATERIALIZED ({rows}), found AS ({found}),
+    spans AS (SELECT doc_id, k, id, kind, unnest(list_transform(range(2, len(p), 2), lambda i: {{'s': CAST(list_sum(list_transform(p[1:i - 1], lambda x: length(x))) AS BIGINT), 'n': length(p[i])}})) AS x FROM found),
+    ordered AS (SELECT doc_id, list([{{'s': x.s, 'e': x.s + x.n, 'id': id, 'kind': kind}}] ORDER BY x.s, x.n DESC, k) AS l FROM spans WHERE id <> 'mynumber_12' OR x.n = 12 GROUP BY doc_id),
+    chosen AS (SELECT doc_id, list_reduce(l, lambda a, b: CASE WHEN a[-1].e <= b[1].s THEN list_concat(a, b) ELSE a END) AS c FROM ordered),
+    m AS (SELECT t.doc_id, text, coalesce(c, []) AS c, list_transform(coalesce(c, []), lambda x: x.id) AS ids FROM t LEFT JOIN chosen ON chosen.doc_id = t.doc_id)
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN concat(array_to_string(list_transform(range(1, len(c) + 1), lambda i: concat(substr(text, coalesce(c[i - 1].e, 0) + 1, c[i].s - coalesce(c[i - 1].e, 0)), '[REDACTED:', c[i].kind, ']')), ''), substr(text, coalesce(c[-1].e, 0) + 1)) END AS "maskedContent",
+        CAST(len(c) AS INTEGER) AS spans, concat('{{', array_to_string(list_transform(list_filter(range(1, len(ids) + 1), lambda i: list_position(ids, ids[i]) = i), lambda i: concat('"', ids[i], '":', len(list_filter(ids, lambda x: x = ids[i])))), ','), '}}') AS "ruleHits" FROM m"""
+
+
+def _masked(docs: DataFrame) -> DataFrame:
+    got = masking.simple_rule(docs.select("doc_id", "text"))
     return got.select("doc_id", "maskedContent", F.size("maskedSpans").alias("spans"), F.to_json("ruleHits").alias("ruleHits"))
 
 
+@query(mask_sql("SELECT doc_id, text FROM documents"))
+def mask_all_rules(spark: SparkSession, d: str) -> DataFrame:
+    return _masked(table(spark, d, "documents"))
+
+
+@query(mask_sql("SELECT doc_id, concat(text, replace('" + NOTICE + "', '{}', CAST(doc_id AS VARCHAR))) AS text FROM documents"))
+def mask_notices(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with lines of every rule behind them, filled in with their ids."""
+    docs = table(spark, d, "documents")
+    return _masked(docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.replace(F.lit(NOTICE), F.lit("{}"), F.col("doc_id").cast("string")))))
+
+
 @query(DOCS + f"""SELECT id, "docId", sensitivity, sha256(concat('KNOWLEDGE_CHUNK_SOURCE_HASH_V1', chr(0), 'paragraph', chr(0), text)) AS "sourceHash", length(body) AS chars
     FROM (SELECT *, concat("docId", ':text:paragraph') AS id, {sql_trim('text')} AS body FROM lab) WHERE body <> ''""")
 def plain_text_chunks(spark: SparkSession, d: str) -> DataFrame:
