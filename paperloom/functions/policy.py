@@ -53,11 +53,11 @@ def rehydratable(status: Column, curator: Column, masker: Column, masked_path: C
     return F.coalesce(curator.isNotNull() & full, F.lit(False))
 
 
-def flag_choice(flags, tenant: Column, now: Column, order: tuple[str, ...] = ("pdf-conversion-subtype-3", "pdf-conversion-subtype-2", "pdf-conversion")):
-    """One row: the one enabled flag of ``order``, or the code of what is wrong (none, or several)."""
-    on = flags.where(F.col("flagId").isin(*order) & flag_enabled(F.col("defaultEnabled"), F.col("enabledTenants"), F.col("expiresAt"), tenant, now))
-    got = on.agg(F.count("*").alias("n"), F.min("flagId").alias("first"))
-    return got.select(F.when(F.col("n") == 1, F.col("first")).alias("flagId"), F.when(F.col("n") == 0, "not_enabled").when(F.col("n") > 1, "conflicting_flags").alias("code"))
+def flag_choice(flags, tenant: Column, now: Column, order: tuple[str, ...] = ("pdf-conversion-subtype-3", "pdf-conversion-subtype-2", "pdf-conversion"), by: tuple[str, ...] = ()):
+    """The one enabled flag of ``order``, or the code of what is wrong (none, or several): one row, or one for each ``by`` of ``flags``."""
+    on = F.when(F.col("flagId").isin(*order) & flag_enabled(F.col("defaultEnabled"), F.col("enabledTenants"), F.col("expiresAt"), tenant, now), F.col("flagId"))
+    got = flags.groupBy(*by).agg(F.count(on).alias("n"), F.min(on).alias("first"))
+    return got.select(*by, F.when(F.col("n") == 1, F.col("first")).alias("flagId"), F.when(F.col("n") == 0, "not_enabled").when(F.col("n") > 1, "conflicting_flags").alias("code"))
 
 
 def auth_context(tenant_header: Column, actor_header: Column, proxy_header: Column, local: bool = False) -> Column:

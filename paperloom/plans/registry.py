@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, packages
-from . import stored  # noqa: F401  (registers its queries)
+from . import states, stored  # noqa: F401  (they register their queries)
 from .queries import QUERIES, SQL, labelled
 
 __all__ = ["QUERIES", "SQL", "flagship"]
