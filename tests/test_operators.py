@@ -210,6 +210,8 @@ def test_flag_choice_and_auth(spark):
     assert tuple(policy.flag_choice(flags, F.lit("u"), now).first()) == ("pdf-conversion", None)
     assert tuple(policy.flag_choice(flags, F.lit("t"), now).first()) == (None, "conflicting_flags")
     assert tuple(policy.flag_choice(flags.where("flagId = 'other'"), F.lit("t"), now).first()) == (None, "not_enabled")
+    each = flags.withColumn("tenant", F.explode(F.array(F.lit("u"), F.lit("t"))))
+    assert sorted(map(tuple, policy.flag_choice(each, F.col("tenant"), now, by=("tenant",)).collect())) == [("t", None, "conflicting_flags"), ("u", "pdf-conversion", None)]
     rows = spark.createDataFrame([("T", "a@b.c", None), ("T", "bad", None), (None, None, "x:a@b.co"), (None, None, None)], "t string, a string, p string")
     got = [r[0] for r in rows.select(policy.auth_context(F.col("t"), F.col("a"), F.col("p"))).collect()]
     assert [g and (g["tenantId"], g["email"]) for g in got] == [("t", "a@b.c"), None, ("b.co", "a@b.co"), None]
