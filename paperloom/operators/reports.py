@@ -80,6 +80,13 @@ def schema_validity(chunks: DataFrame, broken: Column) -> DataFrame:
     return got.select("docId", (F.col("errors") == 0).alias("passed"), "errors", F.col("first.m").alias("firstError"))
 
 
+def validity_report(chunks: DataFrame, broken: Column) -> DataFrame:
+    """``schema_validity`` of each document, then every one of its errors: a row with ord and message for each, in which the document's own columns but passed are null."""
+    own = schema_validity(chunks, broken).select("*", F.lit(None).cast(chunks.schema["ord"].dataType).alias("ord"), F.lit(None).cast("string").alias("message"))
+    each = schema_errors(chunks, broken).withColumns({"passed": F.lit(False), "errors": F.lit(None).cast("bigint"), "firstError": F.lit(None).cast("string")})
+    return own.unionByName(each)
+
+
 def ci_report(evals: DataFrame, stage: str) -> DataFrame:
     """part, docId and line: one JSON document as lines in the order of part and docId, of any number of fixtures.
 

@@ -562,11 +562,12 @@ def rehydration(spark: SparkSession, d: str) -> DataFrame:
     return labelled(spark, d).select("docId", whole.alias("whole"))
 
 
-@query(DOCS + """SELECT lang AS "docId", count_if(status = 'masking') = 0 AS passed, count_if(status = 'masking') AS errors, 'chunk[' || min(CASE WHEN status = 'masking' THEN doc_id END) || '] invariant failed: not terminal' AS "firstError" FROM lab GROUP BY 1""", whole=("errors",))
+@query(DOCS + """SELECT lang AS "docId", count_if(status = 'masking') = 0 AS passed, count_if(status = 'masking') AS errors, 'chunk[' || min(CASE WHEN status = 'masking' THEN doc_id END) || '] invariant failed: not terminal' AS "firstError", NULL::BIGINT AS ord, NULL::VARCHAR AS message FROM lab GROUP BY 1
+    UNION ALL SELECT lang, false, NULL, NULL, doc_id, 'chunk[' || doc_id || '] invariant failed: not terminal' FROM lab WHERE status = 'masking'""", whole=("errors",))
 def schema_validity(spark: SparkSession, d: str) -> DataFrame:
     rows = labelled(spark, d).select(F.col("lang").alias("docId"), F.col("doc_id").alias("ord"), "status")
     broken = F.filter(F.array(F.when(F.col("status") == "masking", F.struct(F.lit("status").alias("path"), F.lit("not terminal").alias("message")))), lambda x: x.isNotNull())
-    return reports.schema_validity(rows, broken).select("docId", "passed", "errors", "firstError")
+    return reports.validity_report(rows, broken).select("docId", "passed", "errors", "firstError", "ord", "message")
 
 
 @query(MEASURES + """, e AS (SELECT *, list_filter([CASE WHEN "contextPackageReadiness" = 'fail' THEN 'context_package_readiness: fail (downgraded to warn)' END, CASE WHEN coverage = 'fail' THEN 'coverage: fail (downgraded to warn)' END,

@@ -235,3 +235,11 @@ def test_layout_lifecycle(spark):
     done, made, evals = lifecycle.layout_lifecycle(docs, curate, risk, F.lit("2024-01-01 00:00:00").cast("timestamp"), "2024-01-01T00:00:00.000Z")
     assert done.first()["status"] == "ai_safe" and made.count() == 3 and made.where("maskedText IS NULL").count() == 0
     assert lifecycle.conversion_audit(evals, docs).first()["result"] == "success"
+
+
+def test_validity_report_lists_every_error(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("a", 3, None), ("b", 1, None)], "docId string, ord bigint, bad string")
+    broken = F.filter(F.array(F.when(F.col("bad").isNotNull(), F.struct(F.lit("p").alias("path"), F.col("bad").alias("message")))), lambda x: x.isNotNull())
+    got = {tuple(r) for r in reports.validity_report(rows, broken).select("docId", "passed", "errors", "firstError", "ord", "message").collect()}
+    said = lambda k, m: f"chunk[{k}] invariant failed: {m}"
+    assert got == {("a", False, 2, said(1, "y"), None, None), ("b", True, 0, None, None, None), ("a", False, None, None, 1, said(1, "y")), ("a", False, None, None, 2, said(2, "x"))}
