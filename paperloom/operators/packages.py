@@ -145,12 +145,30 @@ def selection_package(joined: DataFrame, refs: DataFrame) -> DataFrame:
     return chosen.unionByName(held)
 
 
-def reference_violations(refs: DataFrame, allowed: DataFrame) -> DataFrame:
-    """docId, chunkId, message of references that are not allowed, repeat one or are both included and excluded."""
+#: Rows of references and allowed ones that one task compares, and messages that one row is turned into at once.
+TASK_ROWS, AT_ONCE = 500_000, 4096
+
+
+def reference_violations(refs: DataFrame, allowed: DataFrame, rows: int | None = None) -> DataFrame:
+    """docId, chunkId, message of references that are not allowed, repeat one or are both included and excluded.
+
+    Both sides are dealt once by their key, into so many parts that a part has some ``TASK_ROWS``, whatever the size of the
+    input; ``rows`` is how many they have at most together, counted if it is not given.
+    """
     key = ["docId", "chunkId"]
-    unknown = refs.join(allowed.select(*key).distinct(), key, "left_anti").select(*key, F.lit("unknown reference").alias("message"))
-    per = refs.groupBy(*key).agg(F.max(F.col("verdict") == "included").alias("i"), F.max(F.col("verdict") == "excluded").alias("e"), F.count("*").alias("n"), F.count_distinct("verdict").alias("v"))
-    return unknown.unionByName(per.where("i AND e").select(*key, F.lit("included and excluded").alias("message"))).unionByName(per.where("n > v").select(*key, F.lit("repeated reference").alias("message")))
+    rows = refs.count() + allowed.count() if rows is None else rows
+    parts = max(refs.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    known = allowed.dropna(subset=key).select(*key, F.lit(None).cast("string").alias("verdict"), F.lit(0).cast("bigint").alias("n"))
+    every = refs.select(*key, F.col("verdict").cast("string").alias("verdict"), F.lit(1).cast("bigint").alias("n")).unionByName(known).repartition(parts, *key)
+    by = every.groupBy(*key, "verdict").agg(F.sum("n").alias("n"), F.max(F.col("n") == 0).alias("ok"))
+    per = by.groupBy(*key).agg(F.sum("n").alias("n"), F.max("ok").alias("ok"), F.max(F.col("n") > 1).alias("again"), F.max(F.col("verdict") == "included").alias("i"), F.max(F.col("verdict") == "excluded").alias("e"))
+    said = lambda message, times: F.struct(F.lit(message).alias("message"), times.cast("int").alias("times"))
+    # a message for each place of an unknown reference, however many there are
+    unknown = F.transform(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {AT_ONCE}")), lambda k: said("unknown reference", F.least(F.lit(AT_ONCE), F.col("n") - k * AT_ONCE)))
+    both, again = F.when(F.expr("i AND e"), said("included and excluded", F.lit(1))), F.when(F.col("again"), said("repeated reference", F.lit(1)))
+    own = F.filter(F.array(both, again), lambda x: x.isNotNull())
+    met = per.where("n > 0").select(*key, F.explode(F.when(F.col("ok"), own).otherwise(F.concat(own, unknown))).alias("x"))
+    return met.select(*key, F.col("x.message").alias("message"), F.explode(F.expr("array_repeat(0, x.times)")).alias("_")).drop("_")
 
 
 #: Reasons that only the safety gate may give.

@@ -243,3 +243,19 @@ def test_validity_report_lists_every_error(spark):
     got = {tuple(r) for r in reports.validity_report(rows, broken).select("docId", "passed", "errors", "firstError", "ord", "message").collect()}
     said = lambda k, m: f"chunk[{k}] invariant failed: {m}"
     assert got == {("a", False, 2, said(1, "y"), None, None), ("b", True, 0, None, None, None), ("a", False, None, None, 1, said(1, "y")), ("a", False, None, None, 2, said(2, "x"))}
+
+
+def test_reference_violations_grow_in_parts(spark, monkeypatch):
+    verdicts = "docId long, chunkId long, verdict string"
+    refs = spark.createDataFrame([(1, 1, "included"), (1, 1, "excluded"), (1, 2, "included"), (1, 2, "included"), (2, 1, "included"), (2, 1, "included"), (2, 1, "excluded"), (3, 1, "included"), (None, 1, "included"), (4, 1, None)], verdicts)
+    allowed = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (4, 1), (None, 1), (9, 9)], "docId long, chunkId long")
+    both, again, unknown = "included and excluded", "repeated reference", "unknown reference"
+    want = [(1, 1, both), (1, 2, again), (2, 1, both), (2, 1, again), *[(2, 1, unknown)] * 3, (3, 1, unknown), (None, 1, unknown)]
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    monkeypatch.setattr(packages, "AT_ONCE", 2)
+    assert order(packages.reference_violations(refs, allowed).collect()) == order(want)
+    monkeypatch.setattr(packages, "TASK_ROWS", 1000)
+    many = spark.range(0, 30_000).select("id", (F.col("id") % 1000).alias("docId"), (F.col("id") % 29_000).alias("chunkId"), F.lit("included").alias("verdict"))
+    got = packages.reference_violations(many, many)  # 60 000 rows
+    assert max(got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) < 1000 and got.rdd.getNumPartitions() == 60
+    assert got.count() == 1000 and {r["message"] for r in got.collect()} == {again}
