@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .batches import small_batches
+
 #: White space of ECMAScript, as the inside of a Java character class.
 SPACE = r"\t\n\x0B\f\r    -     　﻿"
 SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -37,6 +39,7 @@ def nfkc(c: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
+    small_batches()
     return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(c)
 
 
@@ -203,4 +206,5 @@ def utf16_index(text: Column, byte_offset: Column) -> Column:
         place = lambda t, o: None if t is None or o is None else len(t.encode()[: int(o)].decode("utf-8", "ignore").encode("utf-16-le")) // 2
         return pd.Series([place(t, o) for t, o in zip(texts, offsets, strict=True)], dtype="Int64")
 
+    small_batches()
     return F.pandas_udf(run, "bigint", F.PandasUDFType.SCALAR)(text, byte_offset)

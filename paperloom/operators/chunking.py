@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import release, small_batches
 from ..functions.invariants import MAX_CHUNK_BYTES
 from ..functions.text import SPACE, canonical_locator, js_trim, source_hash
 
@@ -192,7 +193,9 @@ def _parts(big: DataFrame, most: int) -> DataFrame:
                     probe["locator"] = dict(row["locator"], paragraphId=(row["locator"]["paragraphId"] or "") + ":part-999")
                 out.append(split_oversize(row["text"], most, lambda t, probe=probe: _payload(probe, t)))
             yield frame.assign(parts=out)
+        release()
 
+    small_batches(big.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in big.schema) + ", parts array<string>"
     cut = big.mapInPandas(run, schema)
     n = F.size("parts").alias("n")

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import small_batches
 from ..functions.text import a1_range, js_trim, markdown_table, safe_file_name, source_hash
 from ..operators.columns import promote
 
@@ -103,6 +104,7 @@ def _csv(text: Column) -> Column:
             got = [csv_rows(t or "") for t in part]
             yield pd.DataFrame({"rows": [r for r, _ in got], "error": [e for _, e in got]})
 
+    small_batches()
     return F.pandas_udf(run, "rows array<array<string>>, error string", F.PandasUDFType.SCALAR_ITER)(text)
 
 

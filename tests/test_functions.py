@@ -172,3 +172,20 @@ def test_all_amounts_of_a_text_are_masked(spark):
     row = masking.simple_rule(df).first()
     assert row["maskedContent"] == "月額 [REDACTED:AMOUNT_JPY]\n金額 [REDACTED:AMOUNT_JPY] と [REDACTED:AMOUNT_JPY]"
     assert row["ruleHits"] == {"amount_jpy": 3}
+
+
+def _rows_at_once(spark, made):
+    """Most rows that a worker gets at once when ``made`` has been called, whatever was set before."""
+    import pandas as pd
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    made(spark.range(0, 3000, 1, 1).select(F.col("id").alias("docId"), F.concat(F.lit("a@b.com "), F.col("id").cast("string")).alias("text")))
+    size = lambda x: pd.Series([len(x)] * len(x))
+    return spark.range(0, 3000, 1, 1).select(F.pandas_udf(size, "bigint", F.PandasUDFType.SCALAR)("id").alias("n")).agg(F.max("n")).first()[0]
+
+
+def test_oversize_blocks_come_in_small_batches(spark):
+    from paperloom.operators import chunking
+    from paperloom.plans import queries
+
+    assert _rows_at_once(spark, lambda df: chunking.ir_chunks(queries._as_layout(spark, "/root/testdata/sf0.001"))) <= 256
