@@ -7,12 +7,13 @@ Choosing, counting and replacing are higher-order functions on the spans.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import release, small_batches
 from .text import is_blank
 
 _S = r"[\t\n\x0B\f\r    -     　﻿]"
@@ -57,10 +58,16 @@ def finder(rules=RULES) -> Callable[[Column], Column]:
                     out.append({"start": m.start(group), "end": m.end(group), "type": kind, "ruleId": rule, "rule": k})
         return out
 
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(find)
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(find)
+        release()
 
-    return lambda c: F.pandas_udf(spans, SPANS, F.PandasUDFType.SCALAR)(c)
+    def found(c: Column) -> Column:
+        small_batches()
+        return F.pandas_udf(spans, SPANS, F.PandasUDFType.SCALAR_ITER)(c)
+
+    return found
 
 
 def non_overlapping(spans: Column) -> Column:
@@ -117,6 +124,7 @@ def _places(text: Column, findings: Column) -> Column:
     def run(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([one(t, f) for t, f in zip(texts, found, strict=True)])
 
+    small_batches()
     return F.pandas_udf(run, "array<struct<start:int,end:int,infoType:string>>", F.PandasUDFType.SCALAR)(text, findings)
 
 
