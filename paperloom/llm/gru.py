@@ -68,17 +68,20 @@ def initial(counts: np.ndarray, others: int | np.ndarray, seed: int = 7) -> np.n
     return flat
 
 
-def _gates(u: np.ndarray, h: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Next state, update and reset gates, candidate and its recurrent part, from the state and the inputs' rows of the table."""
-    g = h @ u
-    zr = a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
+def _gates(ut: np.ndarray, h: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Next state, update and reset gates, candidate and its recurrent part, from the state and the inputs' rows of the table.
+
+    All have a column for each stream, so each gate is one run of memory.
+    """
+    g = ut @ h
+    zr = a[: 2 * HIDDEN] + g[: 2 * HIDDEN]
     zr *= np.float32(0.5)
     np.tanh(zr, out=zr)
     zr *= np.float32(0.5)
     zr += np.float32(0.5)
-    z, r, gn = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
+    z, r, gn = zr[:HIDDEN], zr[HIDDEN:], g[2 * HIDDEN :]
     n = r * gn
-    n += a[:, 2 * HIDDEN :]
+    n += a[2 * HIDDEN :]
     np.tanh(n, out=n)
     new = h - n
     new *= z
@@ -169,50 +172,51 @@ class Trainer:
 
     def _window(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, h: np.ndarray) -> np.ndarray:
         steps, streams = x.shape
-        p = self.p
-        rows = p["x"][x]
-        before, z, r, n, gn, hs = (np.empty((steps, streams, HIDDEN), np.float32) for _ in range(6))
+        p, h = self.p, np.ascontiguousarray(h.T)
+        rows, ut = np.ascontiguousarray(p["x"].T), np.ascontiguousarray(p["u"].T)
+        before, z, r, n, gn, hs = (np.empty((steps, HIDDEN, streams), np.float32) for _ in range(6))
         for t in range(steps):
-            h = h * keep[t][:, None]
+            h = h * keep[t]
             before[t] = h
-            h, z[t], r[t], n[t], gn[t] = _gates(p["u"], h, rows[t])
+            h, z[t], r[t], n[t], gn[t] = _gates(ut, h, rows.take(x[t], axis=1))
             hs[t] = h
+        tall = lambda a: np.ascontiguousarray(a.transpose(0, 2, 1)).reshape(-1, a.shape[1])
         flat = np.zeros_like(self.flat)
         grads = unpacked(flat, self.cuts)
-        logp, dhs = _output(p, hs.reshape(-1, HIDDEN), y.ravel(), grads)
+        logp, dhs = _output(p, tall(hs), y.ravel(), grads)
         self.loss = -float(logp.mean())
-        dhs = dhs.reshape(steps, streams, HIDDEN)
+        dhs = np.ascontiguousarray(dhs.reshape(steps, streams, HIDDEN).transpose(0, 2, 1))
         # what turns a state's gradient into those of the gates does not depend on it, so it is made for all steps at once
         to_n = (1 - z) * (1 - n * n)
         to_z = (before - n) * z * (1 - z)
         to_r = gn * r * (1 - r)
-        da = np.empty((steps, streams, 3 * HIDDEN), np.float32)
+        da = np.empty((steps, 3 * HIDDEN, streams), np.float32)
         dg = np.empty_like(da)
-        back = np.zeros((streams, HIDDEN), np.float32)
-        ut = np.ascontiguousarray(p["u"].T)
+        back = np.zeros((HIDDEN, streams), np.float32)
+        u = np.ascontiguousarray(p["u"])
         for t in range(steps - 1, -1, -1):
             dh = dhs[t] + back
             dn = dh * to_n[t]
-            np.multiply(dh, to_z[t], out=da[t, :, :HIDDEN])
-            np.multiply(dn, to_r[t], out=da[t, :, HIDDEN : 2 * HIDDEN])
-            da[t, :, 2 * HIDDEN :] = dn
-            dg[t, :, : 2 * HIDDEN] = da[t, :, : 2 * HIDDEN]
-            np.multiply(dn, r[t], out=dg[t, :, 2 * HIDDEN :])
+            np.multiply(dh, to_z[t], out=da[t, :HIDDEN])
+            np.multiply(dn, to_r[t], out=da[t, HIDDEN : 2 * HIDDEN])
+            da[t, 2 * HIDDEN :] = dn
+            dg[t, : 2 * HIDDEN] = da[t, : 2 * HIDDEN]
+            np.multiply(dn, r[t], out=dg[t, 2 * HIDDEN :])
             dh *= z[t]
-            dh += dg[t] @ ut
-            back = dh * keep[t][:, None]
-        grads["u"][:] = before.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
+            dh += u @ dg[t]
+            back = dh * keep[t]
+        grads["u"][:] = np.matmul(before, dg.transpose(0, 2, 1)).sum(0)
         ids = x.ravel().astype(np.int16)
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         begin = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        grads["x"][ids[begin]] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[order], begin)
+        grads["x"][ids[begin]] = np.add.reduceat(tall(da)[order], begin)
         self.t += 1
         self.m += (flat - self.m) * np.float32(0.1)
         self.v += (flat * flat - self.v) * np.float32(0.01)
         step = self.rate * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t)
         self.flat -= np.float32(step) * self.m / (np.sqrt(self.v) + np.float32(1e-8))
-        return h
+        return h.T
 
 
 def score(flat: np.ndarray, cuts: np.ndarray, docs: list[np.ndarray], lanes: int = STREAMS) -> np.ndarray:
@@ -246,7 +250,9 @@ def score(flat: np.ndarray, cuts: np.ndarray, docs: list[np.ndarray], lanes: int
             at += sizes[d]
     x, y, own = (np.ascontiguousarray(a.T) for a in (x, y, own))
     active = np.searchsorted(-lens, -np.arange(steps), "left")  # lanes longer than t
-    h = np.zeros((len(queue), HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, len(queue)), np.float32)
+    rows, ut = np.ascontiguousarray(p["x"].T), np.ascontiguousarray(p["u"].T)
+    fresh = x == start
     a = 0
     while a < steps:
         b, count = a, 0
@@ -256,9 +262,9 @@ def score(flat: np.ndarray, cuts: np.ndarray, docs: list[np.ndarray], lanes: int
         hs, at = np.empty((count, HIDDEN), np.float32), 0
         for t in range(a, b):
             m = int(active[t])
-            h = h[:m] * (x[t, :m] != start)[:, None]
-            h = _gates(p["u"], h, p["x"][x[t, :m]])[0]
-            hs[at : at + m] = h
+            h = h[:, :m] * ~fresh[t, :m]
+            h = _gates(ut, h, rows.take(x[t, :m], axis=1))[0]
+            hs[at : at + m] = h.T
             at += m
         ys = np.concatenate([y[t, : active[t]] for t in range(a, b)])
         logp, _ = _output(p, hs, ys, None)

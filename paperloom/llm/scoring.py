@@ -22,6 +22,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ RARE = 32
 ROUNDS = ((0, 1), (1, 9), (9, 64))
 SLOT = 8192
 FLUSH_WORDS = 200_000
-BUNCH = 1_000_000
+BUNCH = 2_000_000
 END = b""
 
 
@@ -89,19 +90,36 @@ class Ids(dict):
         return Ids, (list(self.items()), self.other)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return np.fromiter(map(self.get, words, repeat(self.other)), np.int32, len(words))
 
 
 def rare_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % RARE
 
 
+class Endings(dict):
+    """Classes of the endings that words had so far, of which there are fewer than 2^17."""
+
+    def __missing__(self, end: bytes) -> int:
+        self[end] = rare_class(end)
+        return self[end]
+
+
+ENDINGS = Endings()
+
+
 class OwnIds(Ids):
     """The model's ids: ``other`` plus its class for a word that is not there."""
 
     def __missing__(self, word: bytes) -> int:
         return self.other + rare_class(word)
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        found = np.fromiter(map(self.get, words, repeat(-1)), np.int32, len(words))
+        unknown = np.flatnonzero(found < 0)
+        found[unknown] = [self.other + ENDINGS[words[k][-2:]] for k in unknown.tolist()]
+        return found
+
     def __reduce__(self):
         return OwnIds, (list(self.items()), self.other)
 
@@ -188,14 +206,14 @@ def train(docs: DataFrame, lex: Lexicon) -> np.ndarray:
     return flat
 
 
-SCORED = "doc_id bigint, h bigint, held_out boolean, n_tokens bigint, n_known bigint, log_norm double, log_known double, log_other double, log_model double"
+SCORED = "doc_id bigint, h bigint, held_out boolean, n_tokens bigint, n_known bigint, log_norm double, log_known double, log_other double, log_model double, rare_words array<binary>, rare_tf array<int>"
 
 
 def _scoring(lex, flat):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexi: Lexicon = lex.value
         own = lexi.own
-        keys, ids, own_ids, held = [], [], [], 0
+        keys, ids, own_ids, rare, held = [], [], [], [], 0
 
         def done() -> pa.RecordBatch:
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -209,6 +227,7 @@ def _scoring(lex, flat):
             return pa.RecordBatch.from_pydict(cols | {
                 "n_tokens": pa.array(sizes), "n_known": pa.array(each(flat_ids >= 0).astype(np.int64)), "log_norm": pa.array(each(norms)),
                 "log_known": pa.array(each(logs)), "log_other": pa.array(each(logs * other)), "log_model": pa.array(logp),
+                "rare_words": pa.array([list(c) for c in rare], pa.list_(pa.binary())), "rare_tf": pa.array([list(c.values()) for c in rare], pa.list_(pa.int32())),
             })
 
         for batch, texts in rows_of(batches):
@@ -218,35 +237,21 @@ def _scoring(lex, flat):
                 found = lexi.ids.of(words)
                 capped = lexi.capped[found]
                 unknown = np.flatnonzero(found < 0)
-                capped[unknown] = [own + rare_class(words[k]) for k in unknown.tolist()]
+                strange = [words[k] for k in unknown.tolist()]
+                capped[unknown] = [own + ENDINGS[w[-2:]] for w in strange]
+                rare.append(Counter(strange))
                 ids.append(found)
                 own_ids.append(capped)
                 held += len(words)
                 if held >= BUNCH:
                     yield done()
-                    keys, ids, own_ids, held = [], [], [], 0
+                    keys, ids, own_ids, rare, held = [], [], [], [], 0
         if keys:
             yield done()
 
     return run
 
 
-def _rare(lex):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = lex.value.ids
-        for batch, texts in rows_of(batches):
-            words, counts, sizes = [], [], []
-            for t in texts:
-                rare = Counter([w for w in tokens_of(t) if w not in sent])
-                words += rare
-                counts += rare.values()
-                sizes.append(len(rare))
-            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(at), "h": batch.column("h").take(at), "word": pa.array(words, pa.binary()), "tf": pa.array(counts, pa.int64())})
-
-    return run
-
-
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -261,7 +266,8 @@ def score(docs: DataFrame) -> DataFrame:
     each = written(keyed.mapInArrow(_scoring(sent, flat), SCORED))
     seldom = counts.where(F.col("n") < lex.least)
     # seldom words are far fewer than their places, so a partition's share of them makes the hash table; nothing is sorted
-    rare = keyed.select("doc_id", "h", "text").mapInArrow(_rare(sent), "doc_id bigint, h bigint, word binary, tf bigint").join(seldom.hint("shuffle_hash"), "word")
+    places = each.select("doc_id", "h", F.explode(F.arrays_zip("rare_words", "rare_tf")).alias("x")).select("doc_id", "h", F.col("x.rare_words").alias("word"), F.col("x.rare_tf").alias("tf"))
+    rare = places.join(seldom.hint("shuffle_hash"), "word")
     sums = rare.groupBy("doc_id", "h").agg(F.sum("tf").alias("rare_n"), F.sum(F.col("tf") * F.log10(F.col("n") + 1.0)).alias("rare_log"))
     copies = each.groupBy("doc_id", "h").agg(F.count("*").alias("copies"))
     sums = sums.withColumnsRenamed({"doc_id": "r_id", "h": "r_h"}).join(copies, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h"))).select("r_id", "r_h", "rare_n", "rare_log", "copies")
