@@ -195,3 +195,9 @@ def test_masked_texts_come_in_small_batches(spark):
     assert _rows_at_once(spark, masking.simple_rule) <= 256
     df = spark.createDataFrame([(1, "a@b.com"), (2, None), (3, "")], "id int, text string").withColumn("s", masking.finder()(F.col("text")))
     assert [r["s"] and len(r["s"]) for r in df.orderBy("id").collect()] == [1, None, []]
+
+
+def test_rule_hits_of_digits_come_in_small_batches(spark):
+    from paperloom.plans import queries
+
+    assert _rows_at_once(spark, lambda df: queries.pii_rule_hits_digits(spark, "/root/testdata/sf0.001")) <= 256
