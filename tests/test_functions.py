@@ -201,3 +201,9 @@ def test_rule_hits_of_digits_come_in_small_batches(spark):
     from paperloom.plans import queries
 
     assert _rows_at_once(spark, lambda df: queries.pii_rule_hits_digits(spark, "/root/testdata/sf0.001")) <= 256
+
+
+def test_emails_are_masked_in_small_batches(spark):
+    from paperloom.plans import queries
+
+    assert _rows_at_once(spark, lambda df: queries.masked_text_email(spark, "/root/testdata/sf0.001")) <= 256
