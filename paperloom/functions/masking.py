@@ -7,9 +7,12 @@ Choosing, counting and replacing are higher-order functions on the spans.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,31 +44,45 @@ NEEDS = {
 SPANS = "array<struct<start:int,end:int,type:string,ruleId:string,rule:int>>"
 
 
+#: Spans in a batch of results; a text with more has a batch of its own.
+MOST_SPANS = 1 << 16
+
+
+def found_spans(batches: Iterator[pa.Array], rules=RULES) -> Iterator[pa.Array]:
+    """All matches of each text as a list of SPANS. They are kept as numbers, not as objects, and handed on from MOST_SPANS on:
+    texts may consist of nothing but matches."""
+    made = [(k, re.compile(p, flags), group, NEEDS.get(rule, "")) for k, (rule, _, p, flags, group) in enumerate(rules)]
+    kinds, ids = (pa.array([r[n] for r in rules], pa.string()) for n in (1, 0))
+    for texts in batches:
+        starts, ends, which, offsets, nulls = array("i"), array("i"), array("i"), array("i", [0]), []
+        for n, text in enumerate((t.as_py() for t in texts), 1):
+            for k, pattern, group, need in made if text else ():
+                if not (need in text if isinstance(need, str) else need.search(text)):
+                    continue
+                for m in pattern.finditer(text):
+                    if m.end(group) > m.start(group):
+                        starts.append(m.start(group))
+                        ends.append(m.end(group))
+                        which.append(k)
+            offsets.append(len(starts))
+            nulls.append(text is None)
+            if len(starts) >= MOST_SPANS or n == len(texts):
+                start, end, rule, at = (pa.array(np.asarray(x, np.int32)) for x in (starts, ends, which, offsets))
+                each = pa.StructArray.from_arrays([start, end, kinds.take(rule), ids.take(rule), rule], ["start", "end", "type", "ruleId", "rule"])
+                yield pa.ListArray.from_arrays(at, each, mask=pa.array(nulls, pa.bool_()))
+                starts, ends, which, offsets, nulls = array("i"), array("i"), array("i"), array("i", [0]), []
+
+
 def finder(rules=RULES) -> Callable[[Column], Column]:
     """All matches of all rules, overlaps and all; places count code points."""
-    made = [(k, rule, kind, re.compile(p, flags), group) for k, (rule, kind, p, flags, group) in enumerate(rules)]
-
-    def find(text: str | None) -> list[dict] | None:
-        if text is None:
-            return None
-        out = []
-        for k, rule, kind, pattern, group in made:
-            need = NEEDS.get(rule, "")
-            if not (need in text if isinstance(need, str) else need.search(text)):
-                continue
-            for m in pattern.finditer(text):
-                if m.end(group) > m.start(group):
-                    out.append({"start": m.start(group), "end": m.end(group), "type": kind, "ruleId": rule, "rule": k})
-        return out
-
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(find)
+
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from found_spans(batches, rules)
         release()
 
     def found(c: Column) -> Column:
         small_batches()
-        return F.pandas_udf(spans, SPANS, F.PandasUDFType.SCALAR_ITER)(c)
+        return F.arrow_udf(spans, SPANS, F.ArrowUDFType.SCALAR_ITER)(c)
 
     return found
 

@@ -207,3 +207,16 @@ def test_emails_are_masked_in_small_batches(spark):
     from paperloom.plans import queries
 
     assert _rows_at_once(spark, lambda df: queries.masked_text_email(spark, "/root/testdata/sf0.001")) <= 256
+
+
+def test_digits_of_dense_texts_are_not_held_as_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["090-1234-5678 " * 50_000] * 4)
+    tracemalloc.start()
+    found = sum(len(x.values) for x in masking.found_spans(iter([texts]), masking.RULES[1:3]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 400_000 and most < 10e6
