@@ -220,3 +220,13 @@ def test_digits_of_dense_texts_are_not_held_as_objects():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == 400_000 and most < 10e6
+
+
+def test_emails_of_dense_texts_are_handed_on_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(masking, "MOST_SPANS", 3)
+    texts = [None, "a@b.com " * 5, "", "x", "😀 a@b.com", None, "a@b.com b@c.org"]
+    got = list(masking.found_spans(iter([pa.array(texts), pa.array([], pa.string()), pa.array(["c@d.net"])]), masking.RULES[:1]))
+    assert [len(x) for x in got] == [2, 5, 1]
+    assert [x and [(s["start"], s["end"]) for s in x] for part in got for x in part.to_pylist()] == [None, [(8 * k, 8 * k + 7) for k in range(5)], [], [], [(2, 9)], None, [(0, 7), (8, 15)], [(0, 7)]]
