@@ -1,11 +1,13 @@
 """Rule-based masking of personal data: finding spans, choosing among them, replacing and counting.
 
-Only the search for spans needs Python (positions of all matches have no built-in); it runs on Arrow batches.
-Choosing, counting and replacing are higher-order functions on the spans.
+The search for spans needs Python (positions of all matches have no built-in), and so do choosing and replacing (as
+higher-order functions their work grows with the square of a text's matches); all run on Arrow batches, in one go.
+Counting is higher-order functions on the chosen spans.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -13,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,7 @@ NEEDS = {
     "label_daihyo_long": "代表取締役", "label_daihyo_short": "代表", "label_tanto_line": "担当", "label_shimei": "氏名", "label_company_name": "会社名",
 }
 SPANS = "array<struct<start:int,end:int,type:string,ruleId:string,rule:int>>"
+REDACTED = "struct<spans:array<struct<start:int,end:int,type:string,ruleId:string>>,masked:string>"
 
 
 #: Spans in a batch of results; a text with more has a batch of its own.
@@ -87,19 +91,86 @@ def finder(rules=RULES) -> Callable[[Column], Column]:
     return found
 
 
+def _ranks(names: pa.Array) -> np.ndarray:
+    """Numbers that sort as the names do."""
+    coded = names.dictionary_encode("encode")
+    return pc.rank(coded.dictionary, null_placement="at_start", tiebreaker="dense").to_numpy()[coded.indices.to_numpy()]
+
+
+def chosen(row: np.ndarray, each: pa.StructArray) -> np.ndarray:
+    """Places of the spans that stay, in order of ``row``. Earliest first, then longest, then by order of rules; a span that
+    overlaps a chosen one goes. Touching ones stay."""
+    start, end, rule = (each.field(n).to_numpy() for n in ("start", "end", "rule"))
+    order = np.lexsort((_ranks(each.field("ruleId")), _ranks(each.field("type")), rule, -end, start, row))
+    base = row[order].astype(np.int64) << 32
+    after, kept, n = memoryview(np.searchsorted(base + start[order], base + end[order])), array("q"), 0
+    while n < len(order):
+        kept.append(n)
+        n = max(n + 1, after[n])
+    return order[np.asarray(kept)]
+
+
+def settled(texts: pa.Array, found: pa.ListArray) -> pa.StructArray:
+    """REDACTED of each text and what was found in it: the chosen spans, and the text with [REDACTED:TYPE] for each of them (null
+    where there are none). The work grows with the texts and with the spans (but for sorting them)."""
+    each = found.flatten()
+    row = np.repeat(np.arange(len(found)), pc.fill_null(pc.list_value_length(found), 0).to_numpy())
+    kept = chosen(row, each)
+    each = each.take(pa.array(kept))
+    offsets = np.searchsorted(row[kept], np.arange(len(found) + 1)).astype(np.int32)
+    spans = pa.StructArray.from_arrays([each.field(n) for n in ("start", "end", "type", "ruleId")], ["start", "end", "type", "ruleId"])
+    kinds = each.field("type").dictionary_encode()
+    tokens, kind, starts, ends = [f"[REDACTED:{t}]" for t in kinds.dictionary.to_pylist()], *(memoryview(x.to_numpy()) for x in (kinds.indices, each.field("start"), each.field("end")))
+    masked = [None] * len(found)
+    for n in np.flatnonzero(np.diff(offsets)).tolist():
+        text, out, at = texts[n].as_py(), io.StringIO(), 0
+        for k in range(offsets[n], offsets[n + 1]) if text is not None else ():
+            out.write(text[at : starts[k]])
+            out.write(tokens[kind[k]])
+            at = ends[k]
+        if text is not None:
+            out.write(text[at:])
+            masked[n] = out.getvalue()
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), spans, mask=found.is_null()), pa.array(masked, pa.string())], ["spans", "masked"])
+
+
+def redacted_texts(batches: Iterator[pa.Array], rules=RULES) -> Iterator[pa.Array]:
+    """REDACTED of each text, handed on in the parts of found_spans."""
+    for texts in batches:
+        done = 0
+        for found in found_spans(iter([texts]), rules):
+            yield settled(texts.slice(done, len(found)), found)
+            done += len(found)
+
+
+def redactor(rules=RULES) -> Callable[[Column], Column]:
+    """REDACTED of a text by all rules; one Python worker a task finds, chooses and replaces."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from redacted_texts(batches, rules)
+        release()
+
+    def made(c: Column) -> Column:
+        small_batches()
+        return F.arrow_udf(run, REDACTED, F.ArrowUDFType.SCALAR_ITER)(c)
+
+    return made
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """REDACTED of a text by SPANS that were found elsewhere."""
+    small_batches()
+    return F.arrow_udf(settled, REDACTED, F.ArrowUDFType.SCALAR)(text, spans)
+
+
 def non_overlapping(spans: Column) -> Column:
-    """Earliest first, then longest, then by order of rules; a span that overlaps a chosen one goes. Touching ones stay."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("by"), s["rule"].alias("rule"), s["end"].alias("end"), s["type"].alias("type"), s["ruleId"].alias("ruleId"))))
-    kept = F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), s["ruleId"].alias("ruleId")))
-    none = F.filter(kept, lambda s: F.lit(False))
-    return F.aggregate(kept, none, lambda acc, s: F.when((F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1))["end"] <= s["start"]), F.concat(acc, F.array(s))).otherwise(acc))
+    """The chosen ones of SPANS."""
+    return redacted(F.lit(None).cast("string"), spans)["spans"]
 
 
-def masked_text(text: Column, spans: Column) -> Column:
-    """``text`` with [REDACTED:TYPE] for each of the chosen spans."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda a, s: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("[REDACTED:"), s["type"], F.lit("]")).alias("out"), s["end"].alias("at"))
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+def masked_text(text: Column, done: Column) -> Column:
+    """``text`` after REDACTED: most texts hold nothing to mask and do not come back from Python."""
+    return F.coalesce(done["masked"], text)
 
 
 def rule_hits(spans: Column) -> Column:
@@ -110,9 +181,12 @@ def rule_hits(spans: Column) -> Column:
 
 def simple_rule(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with maskedContent, maskedSpans, ruleHits and provider."""
-    found = df.withColumn("_found", finder()(F.col(text)))
-    found = found.withColumn("maskedSpans", non_overlapping(F.col("_found"))).drop("_found")
-    return found.withColumns({"maskedContent": masked_text(F.col(text), F.col("maskedSpans")), "ruleHits": rule_hits(F.col("maskedSpans")), "provider": F.lit("simple-rule")})
+    return _with_result(df.withColumn("_done", redactor()(F.col(text))), text, "simple-rule")
+
+
+def _with_result(df: DataFrame, text: str, provider: str) -> DataFrame:
+    got = df.withColumn("maskedSpans", F.col("_done")["spans"]).withColumn("maskedContent", masked_text(F.col(text), F.col("_done")))
+    return got.withColumns({"ruleHits": rule_hits(F.col("maskedSpans")), "provider": F.lit(provider)}).drop("_done")
 
 
 def inspected(inspect: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, str], DataFrame]:
@@ -124,8 +198,8 @@ def inspected(inspect: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame,
         kind = F.create_map(*(F.lit(x) for pair in types.items() for x in pair))
         got = inspect(df).withColumn("_found", _places(F.col(text), F.col("findings")))
         named = F.transform("_found", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), F.coalesce(kind[f["infoType"]], F.lit("CUSTOM_RULE")).alias("type"), F.concat(F.lit("dlp:"), f["infoType"]).alias("ruleId"), F.lit(0).alias("rule")))
-        got = got.withColumn("maskedSpans", non_overlapping(F.filter(named, lambda s: s["start"].isNotNull() & (s["start"] < s["end"])))).drop("_found", "findings")
-        return got.withColumns({"maskedContent": masked_text(F.col(text), F.col("maskedSpans")), "ruleHits": rule_hits(F.col("maskedSpans")), "provider": F.lit("cloud-dlp")})
+        got = got.withColumn("_done", redacted(F.col(text), F.filter(named, lambda s: s["start"].isNotNull() & (s["start"] < s["end"])))).drop("_found", "findings")
+        return _with_result(got, text, "cloud-dlp")
 
     return provider
 

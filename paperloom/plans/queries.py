@@ -96,8 +96,8 @@ def pii_rule_hits_digits(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '[REDACTED:EMAIL]', 'g') AS masked FROM documents")
 def masked_text_email(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text").withColumn("_s", masking.finder(masking.RULES[:1])("text"))
-    return docs.select("doc_id", masking.masked_text(F.col("text"), masking.non_overlapping(F.col("_s"))).alias("masked"))
+    docs = table(spark, d, "documents").select("doc_id", "text").withColumn("_done", masking.redactor(masking.RULES[:1])(F.col("text")))
+    return docs.select("doc_id", masking.masked_text(F.col("text"), F.col("_done")).alias("masked"))
 
 
 #: Fixed values, in order: rule, type, what a match may begin with, what is masked. RE2 looks neither back nor ahead, so runs

@@ -230,3 +230,48 @@ def test_emails_of_dense_texts_are_handed_on_in_parts(monkeypatch):
     got = list(masking.found_spans(iter([pa.array(texts), pa.array([], pa.string()), pa.array(["c@d.net"])]), masking.RULES[:1]))
     assert [len(x) for x in got] == [2, 5, 1]
     assert [x and [(s["start"], s["end"]) for s in x] for part in got for x in part.to_pylist()] == [None, [(8 * k, 8 * k + 7) for k in range(5)], [], [], [(2, 9)], None, [(0, 7), (8, 15)], [(0, 7)]]
+
+
+def test_a_text_full_of_addresses_is_masked_in_linear_time(spark, tmp_path):
+    import time
+
+    from paperloom.plans import queries
+
+    docs = spark.range(2).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, F.repeat(F.lit("a@b.com "), F.lit(32_000))).alias("text"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.time()
+    got = {r["doc_id"]: r["masked"] for r in queries.masked_text_email(spark, str(tmp_path)).collect()}
+    assert got == {0: "[REDACTED:EMAIL] " * 32_000, 1: None}
+    assert time.time() - began < 30
+
+
+def test_masked_dense_texts_are_handed_on_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(masking, "MOST_SPANS", 3)
+    texts = [None, "a@b.com " * 5, "", "x\r\n", "😀 a@b.com\r", None, "a@b.com b@c.org"]
+    got = list(masking.redacted_texts(iter([pa.array(texts), pa.array([], pa.string()), pa.array(["c@d.net"])]), masking.RULES[:1]))
+    assert [len(x) for x in got] == [2, 5, 1]
+    rows = [x for part in got for x in part.to_pylist()]
+    assert [x["masked"] for x in rows] == [None, "[REDACTED:EMAIL] " * 5, None, None, "😀 [REDACTED:EMAIL]\r", None, "[REDACTED:EMAIL] [REDACTED:EMAIL]", "[REDACTED:EMAIL]"]
+    assert [x["spans"] and len(x["spans"]) for x in rows] == [None, 5, [], [], 1, None, 2, 1]
+
+
+def test_chosen_spans_and_masked_texts_are_those_of_brute_force():
+    import random
+
+    import pyarrow as pa
+
+    rnd, names = random.Random(7), ("start", "end", "type", "ruleId", "rule")
+    texts = [None, ""] + ["".join(rnd.choice("ab\r\n😀é円") for _ in range(rnd.randint(1, 40))) for _ in range(200)]
+    some = lambda t: [(a := rnd.randrange(len(t)), a + rnd.randint(1, 6), rnd.choice("XYZ"), rnd.choice("pq"), rnd.randint(0, 2)) for _ in range(rnd.randint(0, 9))]
+    found = [None if t is None else [dict(zip(names, x, strict=True)) for x in (some(t) if t else [])] for t in texts]
+    kind = pa.list_(pa.struct([(n, pa.string() if n in ("type", "ruleId") else pa.int32()) for n in names]))
+    for text, spans, got in zip(texts, found, masking.settled(pa.array(texts), pa.array(found, kind)).to_pylist(), strict=True):
+        kept, want = [], text
+        for s in sorted(spans or [], key=lambda s: (s["start"], -s["end"], s["rule"], s["type"], s["ruleId"])):
+            if not kept or kept[-1]["end"] <= s["start"]:
+                kept.append({n: s[n] for n in names[:4]})
+        for s in reversed(kept):
+            want = f"{want[: s['start']]}[REDACTED:{s['type']}]{want[s['end'] :]}"
+        assert got == {"spans": None if spans is None else kept, "masked": want if kept else None}
